@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, new_path
-from .encoding import Encoder
+from .encoding import encoder
 from .words import slices
 
 _MANIFEST = "part int, path string, bits int, n_docs long, n_tokens long"
@@ -33,7 +33,7 @@ _ROW = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 def _writer(tokenizer: str, end_id: int, folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = None, TaskContext.get().partitionId()
+        part, codes = TaskContext.get().partitionId(), encoder(tokenizer)
         store, root = fs.FileSystem.from_uri(folder)
         name, attempt = f"{root}/part-{part:06d}", uuid.uuid4().hex
         out: Any = None
@@ -41,12 +41,11 @@ def _writer(tokenizer: str, end_id: int, folder: str):
         for whole in batches:
             for batch in slices(whole, "text"):
                 if out is None:
-                    encoder = Encoder(tokenizer)
-                    bits = 16 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 32
+                    bits = 16 if max(codes.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 32
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{name}.{attempt}.bin")
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    tokens = np.frombuffer(encoder.bytes(text or ""), np.uint32)
+                for doc_id, encoded in zip(batch.column("doc_id").to_pylist(), codes.texts(batch.column("text").to_pylist()), strict=True):
+                    tokens = np.frombuffer(encoded, np.uint32)
                     out.write(np.append(tokens, np.uint32(end_id)).astype(f"<u{bits // 8}").tobytes())
                     offsets.append(offsets[-1] + len(tokens) + 1)
                     ids.append(doc_id or 0)
