@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .mixing import mix_report
+from .packing import pack_documents
 from .quality_rules import quality_report
 from .token_counts import token_counts
 from .token_output import token_file_digest
 from .vector_topk import exact_top_k
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -37,6 +42,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
