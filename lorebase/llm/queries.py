@@ -12,12 +12,17 @@ from .common import documents
 from .mixing import mix_report
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .quality_crf import quality_scores
 from .quality_rules import quality_report
 from .token_counts import token_counts
 from .token_output import token_file_digest
 from .vector_topk import exact_top_k
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
@@ -47,6 +52,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
