@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .line_dedup import line_dedup_report
 from .mixing import mix_report
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -39,6 +40,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(documents(spark, sf_dir))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_report(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_exact_topk": op9_exact_topk,
     "op10_near_duplicates": op10_near_duplicates,
