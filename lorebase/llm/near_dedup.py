@@ -225,3 +225,15 @@ def near_duplicates(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     by_text = per_text.select("tid", "class_tid").join(per_class, "class_tid").select("tid", "class_id")
     full = docs.where("full").join(by_text, "tid").select("doc_id", "class_id")
     return full.unionByName(docs.where("not full").select("doc_id", F.col("doc_id").alias("class_id")))
+
+
+def keep_one(df: DataFrame, least: float = 0.8) -> DataFrame:
+    """df with one document of each class: the one with the least doc_id (null last), by a hash of the text where ids are equal. Rows without words all stay."""
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    last = F.lit((1 << 63) - 1)
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.xxhash64("text").alias("_tid"), F.coalesce(F.col("doc_id").cast("long"), last).alias("_doc"), has_words.alias("_full"))
+    classes = near_classes(df.where(has_words).select("doc_id", "text"), least)
+    per_text = whole.where("_full").groupBy("_tid").agg(F.min("_doc").alias("first")).join(classes, F.col("_tid") == F.col("tid"), "left").select("_tid", "first", F.coalesce("class_tid", "_tid").alias("class"))
+    chosen = per_text.groupBy("class").agg(F.min(F.struct("first", "_tid")).alias("c")).select(F.col("c._tid").alias("c_tid"), F.col("c.first").alias("c_doc"))
+    full = whole.where("_full").join(chosen, (F.col("_tid") == F.col("c_tid")) & (F.col("_doc") == F.col("c_doc"))).dropDuplicates(["_tid", "_doc"])
+    return full.select("_row").unionByName(whole.where("NOT _full").select("_row")).select(*(F.col(f"_row.`{c}`").alias(c) for c in df.columns))
