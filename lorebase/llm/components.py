@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping, on edge tables of any size."""
+"""Connected components by repeated contraction, on edge tables of any size."""
 
 from __future__ import annotations
 
@@ -9,20 +9,25 @@ from .common import drop_table, materialize
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, label) of each node in edges (a, b): label is the least node of its component. Nulls aren't allowed.
+    """(node, label) of each node in edges (a, b): label is one of the nodes of its component, the same for all. Nulls aren't allowed.
 
-    A round gives each node the least label around it and then that label's own label. Labels halve their distance to the
-    least node, so stars end in two or three rounds and chains in a logarithm of their length. Each round is written, so it cuts lineage.
+    A round moves each node to the least node around it and then moves the edges along; edges within a node fall away, so what is
+    left shrinks by half or more a round (a star is gone after one). Each round is written, so it cuts lineage.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), f"{name}-edges")
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), name)
+    edges = materialize(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges")
+    labels = None
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "near").alias("to"))
-        of = labels.select(F.col("node").alias("n"), F.col("label").alias("l"))
-        after = materialize(step.join(of, F.col("to") == F.col("n"), "left").select("node", F.least("to", F.coalesce("l", "to")).alias("label"), (F.least("to", F.coalesce("l", "to")) < F.col("was")).alias("moved")), name)
-        drop_table(labels)
-        labels, moved = after.select("node", "label"), after.where("moved").limit(1).count()
-        if not moved:
-            drop_table(both)
+        ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        move = materialize(ends.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("to")), name)
+        if labels is None:
+            after = move.select("node", F.col("to").alias("label"))
+        else:
+            moved = move.select(F.col("node").alias("n"), "to")
+            after = materialize(labels.join(moved, F.col("label") == F.col("n"), "left").select("node", F.coalesce("to", "label").alias("label")), name)
+        labels = after
+        left, right = (move.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b"))
+        fewer = materialize(edges.join(left, "a").join(right, "b").where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), f"{name}-edges")
+        drop_table(edges)
+        edges = fewer
+        if not edges.limit(1).count():
             return labels

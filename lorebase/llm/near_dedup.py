@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 from .components import components
 from .words import column_bytes, mix, slices, spans, window_hashes, word_hashes
 
@@ -103,8 +103,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = mix(keys + np.arange(BANDS, dtype=_U)).astype(np.int64)
             full = counts > 0
             tid = np.asarray(batch.column("tid"))[full]
-            sizes = np.maximum(1, counts[full] - 4)
-            yield pa.record_batch([pa.array(keys[full].ravel()), pa.array(np.repeat(tid, BANDS)), pa.array(np.repeat(sizes, BANDS).astype(np.int32))], names=["band", "tid", "n"])
+            yield pa.record_batch([pa.array(keys[full].ravel()), pa.array(np.repeat(tid, BANDS))], names=["band", "tid"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,12 +172,14 @@ def _links(least: float):
 
 def near_links(texts: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b): links between different texts (tid, text) whose components are the classes of similarity `least` or more."""
-    bands = texts.mapInArrow(_bands, "band long, tid long, n int").distinct()
+    bands = materialize(texts.mapInArrow(_bands, "band long, tid long"), "bands")
     buckets = bands.groupBy("band").agg(F.min("tid").alias("leader"), F.max("tid").alias("other")).where("leader <> other")
     stars = materialize(bands.join(buckets.select("band", "leader"), "band").where("tid <> leader").select(F.col("tid").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
+    drop_table(bands)
     groups = materialize(components(stars, "groups").select(F.col("node").alias("tid"), F.col("label").alias("group")), "grouped")
     sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
-    members = texts.join(groups, "tid").dropDuplicates(["tid"]).select("tid", "text")
+    # always a sort-merge join: what fits a broadcast here wouldn't on a larger corpus
+    members = texts.join(groups.hint("merge"), "tid").dropDuplicates(["tid"]).select("tid", "text")
     sets = materialize(members.mapInArrow(_sets, "tid long, shingles binary"), "sets")
     sized = materialize(groups.join(sizes, "group"), "sized")
     # small groups whole
