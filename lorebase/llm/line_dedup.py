@@ -6,8 +6,8 @@ by a hash of the text), then of lines. Lines without words are not judged and st
 
 Equal lines are one entry with its first place. Words are ordered by rarity (counts over all lines, in a table of 65,536
 hashed places, so its size is fixed; ties by hash). Two sets that are similar enough share a word among the first
-n - ceil(0.8 n) + 1 of each, so only those words are joined on; lengths and places in the order rule out more. The word sets
-themselves are then compared. In a first pass each line meets the earliest line of each of its words' lists, which
+n - ceil(0.8 n) + 1 of each, so only those words are joined on; lengths, places in the order and parity signatures rule out more (and
+no similar pair). The word sets themselves are then compared. In a first pass each line meets the earliest line of each of its words' lists, which
 settles the lines of large groups; only lines that are left meet all earlier lines of their lists. Lists are short, as
 a word stands in a list only for lines whose other words are more common.
 
@@ -17,6 +17,8 @@ rows. Further columns pass through dedup_lines() untouched. DataFrame functions
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from .common import SPACES, drop_table, materialize
 #: Similarity is 4 / 5; whole numbers keep the comparison exact.
 OVER, UNDER = 4, 5
 _PLACES = 1 << 16
+#: Words above which a line has a second signature; classes of keys that are joined one after the other; pairs up to which their ids are broadcast.
+_LONG, PARTS, FEW = 80, 2, 1_000_000
 _LAST = (1 << 63) - 1
 
 
@@ -49,30 +53,58 @@ def _rarity(distinct: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
 
 
-def _postings(distinct: DataFrame) -> DataFrame:
-    """(key, lid, doc, n, at): the first words of each line in order of rarity."""
+def _marks(distinct: DataFrame) -> DataFrame:
+    """(lid, doc, n, sig, sig2, keys) of each line: keys are its first words in order of rarity.
+
+    A signature has a bit for each of 64 hashed classes of words, set where the line has an odd number of them. Each word that
+    two lines don't share changes one bit at most. Long lines get a second one.
+    """
     ranks = _rarity(distinct)
     d = distinct.select("lid", "doc", F.transform(F.array_distinct(_words(F.col("line"))), lambda w: F.xxhash64(w)).alias("h"))
-    key = F.transform("h", lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(_PLACES - 1).cast("int")).cast("long"), 47).bitwiseOR(F.shiftrightunsigned(h, 17)))
-    d = d.select("lid", "doc", F.size("h").alias("n"), F.sort_array(key).alias("keys"))
+    key = F.transform("h", lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(_PLACES - 1).cast("int")).cast("long"), 16).bitwiseOR(F.shiftrightunsigned(h, 17).bitwiseAND((1 << 16) - 1)))
+    sig = lambda by: F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, by).bitwiseAND(63).cast("int"))))
+    d = d.select("lid", "doc", F.size("h").alias("n"), sig(40).alias("sig"), F.when(F.size("h") > _LONG, sig(50)).otherwise(F.lit(0).cast("long")).alias("sig2"), F.sort_array(key).alias("keys"))
     first = F.col("n") - F.expr(f"({OVER} * n + {UNDER - 1}) div {UNDER}").cast("int") + 1
-    return d.select("lid", "doc", "n", F.posexplode(F.slice("keys", F.lit(1), first)).alias("at", "key"))
+    return d.withColumn("keys", F.transform(F.slice("keys", F.lit(1), first), lambda k: (k - F.lit(1 << 31)).cast("int")))
+
 
+def _postings(marks: DataFrame, part: int) -> DataFrame:
+    """(key, lid, doc, n, at, sig, sig2) for one of PARTS classes of keys."""
+    return marks.select("lid", "doc", "n", "sig", "sig2", F.posexplode("keys").alias("at", "key")).where(F.pmod("key", F.lit(PARTS)) == part)
 
-def _may_match(n: str, at: str, m: str, to: str) -> Column:
-    """The length filter, and the positional filter at the first shared word: one word and all after it must be able to give the overlap."""
-    a, b, i, j = (F.col(c).cast("long") for c in (n, m, at, to))
+
+def _may_match(x: str, y: str) -> Column:
+    """The length filter, the positional filter at the first shared word (one word and all after it must be able to give the overlap), and the signatures: what isn't shared may be a ninth of both lines."""
+    a, b, i, j = (F.col(c).cast("long") for c in (f"{x}n", f"{y}n", f"{x}at", f"{y}at"))
     overlap = 1 + F.least(a - i - 1, b - j - 1)
-    return (UNDER * a >= OVER * b) & (UNDER * b >= OVER * a) & ((OVER + UNDER) * overlap >= OVER * (a + b))
+    apart = lambda s: F.bit_count(F.col(f"{x}{s}").bitwiseXOR(F.col(f"{y}{s}"))) * (OVER + UNDER) <= (UNDER - OVER) * (a + b)
+    return (UNDER * a >= OVER * b) & (UNDER * b >= OVER * a) & ((OVER + UNDER) * overlap >= OVER * (a + b)) & apart("sig") & ((F.least(a, b) <= _LONG) | apart("sig2"))
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(lid) of the later line of each pair (x, y) whose word sets are similar enough."""
-    side = lambda c: distinct.select(F.col("lid").alias(c), F.array_distinct(_words(F.col("line"))).alias(f"{c}_w"), F.struct("doc", "rid", "pos", "lid").alias(f"{c}_o"))
+    pairs = materialize(pairs.distinct(), "pairs")
+    ids = pairs.select(F.col("x").alias("lid")).union(pairs.select("y")).distinct()
+    if pairs.count() <= FEW:
+        ids = F.broadcast(ids)
+    needed = materialize(distinct.join(ids, "lid", "left_semi").select("lid", F.array_distinct(_words(F.col("line"))).alias("w"), F.struct("doc", "rid", "pos", "lid").alias("o")), "needed")
+    side = lambda c: needed.select(F.col("lid").alias(c), F.col("w").alias(f"{c}_w"), F.col("o").alias(f"{c}_o"))
     met = pairs.join(side("x"), "x").join(side("y"), "y")
     shared = F.size(F.array_intersect("x_w", "y_w"))
     similar = met.where((OVER + UNDER) * shared >= OVER * (F.size("x_w") + F.size("y_w")))
-    return similar.select(F.when(F.col("x_o") > F.col("y_o"), F.col("x")).otherwise(F.col("y")).alias("lid")).distinct()
+    later = materialize(similar.select(F.when(F.col("x_o") > F.col("y_o"), F.col("x")).otherwise(F.col("y")).alias("lid")).distinct(), "later")
+    drop_table(pairs)
+    drop_table(needed)
+    return later
+
+
+def _in_parts(pairs_of: Callable[[int], DataFrame]) -> DataFrame:
+    """The pairs of all classes of keys, one class after the other: what is shuffled at one time is a part of all postings."""
+    parts = [materialize(pairs_of(part).distinct(), "part") for part in range(PARTS)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
 def removed_lines(df: DataFrame) -> DataFrame:
@@ -80,18 +112,25 @@ def removed_lines(df: DataFrame) -> DataFrame:
     lines = _lines(df)
     first = lines.groupBy("lid").agg(F.min(F.struct("doc", "rid", "pos", "line")).alias("f")).select("lid", "f.doc", "f.rid", "f.pos", "f.line")
     distinct = materialize(first, "lines")
+    marks = materialize(_marks(distinct), "marks")
     by_word = Window.partitionBy("key").orderBy("doc", "lid")
-    listed = _postings(distinct).withColumn("lead", F.first(F.struct("lid", "n", "at")).over(by_word)).withColumn("more", F.lead("lid").over(by_word).isNotNull())
-    listed = materialize(listed.where((F.col("lead.lid") != F.col("lid")) | F.col("more")).select("key", "lid", "doc", "n", "at", F.col("lead.lid").alias("lead"), F.col("lead.n").alias("m"), F.col("lead.at").alias("to")), "listed")
-    to_lead = listed.where((F.col("lead") != F.col("lid")) & _may_match("n", "at", "m", "to")).select(F.col("lid").alias("x"), F.col("lead").alias("y")).distinct()
-    settled = materialize(_verified(to_lead, distinct), "settled")
-    left = listed.join(settled, "lid", "left_anti").select("key", F.col("lid").alias("x"), F.col("doc").alias("x_doc"), "n", "at")
-    others = listed.select("key", F.col("lid").alias("y"), F.col("doc").alias("y_doc"), F.col("n").alias("m"), F.col("at").alias("to"))
-    pairs = left.join(others, "key").where((F.col("y_doc") <= F.col("x_doc")) & (F.col("x") != F.col("y")) & _may_match("n", "at", "m", "to")).select("x", "y").distinct()
-    late = materialize(settled.union(_verified(pairs, distinct)).distinct(), "late")
+
+    def with_lead(part: int) -> DataFrame:
+        listed = _postings(marks, part).withColumn("lead", F.first(F.struct("lid", "n", "at", "sig", "sig2")).over(by_word)).where("lead.lid <> lid")
+        return listed.select("*", *(F.col(f"lead.{c}").alias(f"y_{c}") for c in ("n", "at", "sig", "sig2"))).where(_may_match("", "y_")).select(F.col("lid").alias("x"), F.col("lead.lid").alias("y"))
+
+    settled = _verified(_in_parts(with_lead), distinct)
+    left = materialize(marks.join(settled, "lid", "left_anti"), "left")
+
+    def with_earlier(part: int) -> DataFrame:
+        x = _postings(left, part).select("key", *(F.col(c).alias(f"x_{c}") for c in ("lid", "doc", "n", "at", "sig", "sig2")))
+        y = _postings(marks, part).select("key", *(F.col(c).alias(f"y_{c}") for c in ("lid", "doc", "n", "at", "sig", "sig2")))
+        return x.join(y, "key").where((F.col("y_doc") <= F.col("x_doc")) & (F.col("x_lid") != F.col("y_lid")) & _may_match("x_", "y_")).select(F.col("x_lid").alias("x"), F.col("y_lid").alias("y"))
+
+    late = settled.union(_verified(_in_parts(with_earlier), distinct)).distinct()
     place = materialize(distinct.select("lid", F.col("rid").alias("f_rid"), F.col("pos").alias("f_pos")).join(late.withColumn("late", F.lit(True)), "lid", "left"), "places")
-    drop_table(distinct)
-    drop_table(listed)
+    for done in (distinct, marks, left):
+        drop_table(done)
     again = (F.col("rid") != F.col("f_rid")) | (F.col("pos") != F.col("f_pos"))
     return lines.select("rid", "pos", "lid").join(place, "lid").where(again | F.col("late").isNotNull()).select("rid", "pos")
 
