@@ -7,6 +7,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Multipliers of quantity suffixes.
 SUFFIXES = {"n": 1e-9, "u": 1e-6, "m": 1e-3, "": 1.0, "k": 1e3, "M": 1e6, "G": 1e9, "T": 1e12, "P": 1e15, "E": 1e18, "Ki": 2.0**10, "Mi": 2.0**20, "Gi": 2.0**30, "Ti": 2.0**40, "Pi": 2.0**50, "Ei": 2.0**60}
@@ -49,7 +50,7 @@ def fnv1a64_text(text: str) -> str:
     return f"{h:x}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a64(text: pd.Series) -> pd.Series:
     """FNV-1a, 64 bits, as hex without padding."""
     return text.map(fnv1a64_text, na_action="ignore")

@@ -174,7 +174,8 @@ def _plain(x: float) -> str:
     return str(int(x)) if x == int(x) else repr(x)
 
 
-def _references(doc: dict, kind: str, namespace: str, e: _Evidence) -> None:
+def _references(doc: dict, namespace: str, e: _Evidence) -> None:
+    kind = e.row["kind"]
     for t in TARGETS:
         if kind in t.kinds and t.edge != "pod_on_node":
             for x in walk(doc, t.path):

@@ -17,6 +17,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.documents import dump, pointer_parts, remove_path
 from ..functions.scalars import glob_to_regex
@@ -250,7 +251,7 @@ def merge_rollups(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy(*keys).agg(F.sum("decisions").alias("decisions"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def redact_secret(doc: pd.Series, resource: pd.Series) -> pd.Series:
     """values of secrets become <redacted>; keys stay."""
 

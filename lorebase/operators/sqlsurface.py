@@ -41,7 +41,7 @@ def check_read_only(spark: SparkSession, sql: str) -> None:
 
 def _walk(plan: Any, seen: set[str]) -> None:
     name = plan.nodeName() if hasattr(plan, "nodeName") else plan.getClass().getSimpleName()
-    short = plan.getClass().getSimpleName()
+    short = plan.getClass().getSimpleName().rstrip("$")
     if short not in READ_NODES and name not in READ_NODES:
         raise Refused(f"{short} is not a read")
     if short == "UnresolvedRelation":

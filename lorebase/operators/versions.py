@@ -65,9 +65,9 @@ def canonical(aliases: DataFrame) -> DataFrame:
 
 def canonicalize(df: DataFrame, aliases: DataFrame, column: str) -> DataFrame:
     """Df with ids in column turned into canonical ones; an unknown id stays."""
-    c = canonical(aliases).withColumnRenamed("alias_id", "_alias")
-    out = df.join(c, (df["cluster_id"] == c["cluster_id"]) & (df[column] == c["_alias"]), "left").drop(c["cluster_id"])
-    return out.withColumn(column, F.coalesce("canonical_id", column)).drop("canonical_id", "_alias")
+    c = canonical(aliases).select("cluster_id", F.col("alias_id").alias(column), "canonical_id")
+    out = df.join(c, ["cluster_id", column], "left").withColumn(column, F.coalesce("canonical_id", column))
+    return out.select(*df.columns)
 
 
 def infer_kinds(edges: DataFrame, kinds: DataFrame, aliases: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 from ..functions import identity
 from ..operators.versions import OBJECT, with_identity
@@ -39,7 +38,7 @@ class Versioning(StatefulProcessor):
             marks.append((bool(new), int(seq)))
         self.state.update((int(seq), last, bool(deleted)))
         df["content_changed"], df["seq"] = [m[0] for m in marks], [m[1] for m in marks]
-        yield df[[f.name for f in StructType.fromDDL(VERSIONED)]]
+        yield df[[c.split()[0] for c in VERSIONED.split(", ")]]
 
     def close(self) -> None:
         pass
