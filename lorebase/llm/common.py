@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,12 +35,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _free_shuffles(spark)
     df.write.parquet(path)
-    # Spark deletes the shuffle files of what was written once the driver's garbage is collected
-    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes shuffle files of finished work once the driver's garbage is collected, which may be long after; the pause lets its
+    listeners let go of the last query."""
+    time.sleep(0.2)
+    spark._jvm.System.gc()
+
+
 def drop_table(df: DataFrame) -> None:
     """Removes the files of a materialized table that nothing will read again."""
     spark = df.sparkSession
