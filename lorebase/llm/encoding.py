@@ -34,9 +34,10 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         before, s = spec.get("pre_tokenizer") or {}, UNICODE_SPACES
         self.pieces, self.between = None, None
-        # a word of Latin letters before closing marks is a pre-token, and so are the marks
+        self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        # a word of Latin letters before closing marks is a pre-token, and so are the marks; not U+0130, which lower case turns into two characters
         mark = f"[.,;:!?]++(?![^{s}])"
-        word = f"[A-Za-zÀ-ÖØ-öø-ɏ]++(?={mark})"
+        word = f"[A-Za-zÀ-ÖØ-öø-įı-ɏ]++(?={mark})"
         special = [x for x in spec.get("added_tokens", []) if x["special"] and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"])]
         if special and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer"):
             self.pieces = re.compile(f" ?{word}|{mark}| ?[^{s}]+|[{s}]+(?![^{s}])|[{s}]+").findall
@@ -66,13 +67,15 @@ class Encoder:
             return [self.whole(x or "") for x in texts]
         if len(self.known) > self.most:
             self.known, self.old = {}, self.known
-        split = [self.pieces(x or "") for x in texts]
+        # a text that holds an added token is cut there first, which changes how white space before it is taken: such texts are encoded whole
+        odd = {i: self.whole(x) for i, x in enumerate(texts) if x and any(a in x for a in self.added)}
+        split = [self.pieces(x or "") if i not in odd else [] for i, x in enumerate(texts)]
         missing = set().union(*split).difference(self.known)
         again = missing.intersection(self.old)
         self.known.update((x, self.old[x]) for x in again)
         self._learn(list(missing.difference(again)))
         get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+        return [odd[i] if i in odd else b"".join(map(get, x)) for i, x in enumerate(split)]
 
 
 @lru_cache(1)

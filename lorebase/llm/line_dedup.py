@@ -28,7 +28,7 @@ from .common import SPACES, drop_table, materialize
 OVER, UNDER = 4, 5
 _PLACES = 1 << 16
 #: Words above which a line has a second signature; classes of keys that are joined one after the other; pairs up to which their ids are broadcast.
-_LONG, PARTS, FEW = 80, 2, 1_000_000
+_LONG, PARTS, FEW = 80, 4, 1_000_000
 _LAST = (1 << 63) - 1
 
 
