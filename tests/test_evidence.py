@@ -227,3 +227,14 @@ def test_small_functions(spark):
     assert read.resolve_cluster(["gke-prod-eu", "gke-dev-eu"], "prod") == "gke-prod-eu"
     with pytest.raises(read.Ambiguous):
         read.resolve_cluster(["gke-prod-eu", "gke-dev-eu"], "eu")
+
+
+def test_generate(spark):
+    from lorebase.sources.generate import generate
+
+    pod = lambda ready: {"apiVersion": "v1", "kind": "Pod", "metadata": {"name": "p-@copy@", "namespace": "d", "uid": "u-@copy@"}, "status": {"conditions": [{"type": "Ready", "status": ready}]}}
+    rows = generate(spark, [[pod("True"), pod("False")], [fx.NODE]], fx.T0, clusters=2, copies=3)
+    t = ingest(observations(rows))
+    assert rows.count() == 2 * 3 * 3
+    assert t["versions"].count() == 2 * (3 * 2 + 1)
+    assert recipes.coverage_latest(t["observations"]).where("kind = 'Pod'").agg(F.sum("objects")).first()[0] == 6
