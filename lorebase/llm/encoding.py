@@ -20,6 +20,10 @@ from tokenizers import Tokenizer
 UNICODE_SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 
+#: Finds what isn't Latin or punctuation, and U+0130: characters whose lower case or composition isn't one plain letter for another.
+_NOT_SIMPLE = re.compile("[^\x00-\u012f\u0131-\u024f\u2000-\u206f]").search
+
+
 class Encoder:
     """texts(list) gives each text's ids as native unsigned 32-bit integers. Known pieces are kept in two
     generations of at most `most` each: a full one becomes the old one, of which pieces that come again are taken over.
@@ -34,6 +38,8 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         before, s = spec.get("pre_tokenizer") or {}, UNICODE_SPACES
         self.pieces, self.between = None, None
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        self.fold = bool(steps) and steps[-1]["type"] == "Lowercase"
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         # a word of Latin letters before closing marks is a pre-token, and so are the marks; not U+0130, which lower case turns into two characters
         mark = f"[.,;:!?]++(?![^{s}])"
@@ -67,8 +73,11 @@ class Encoder:
             return [self.whole(x or "") for x in texts]
         if len(self.known) > self.most:
             self.known, self.old = {}, self.known
+        given = texts
+        if self.fold:  # where lower case is simple it may come first: fewer pieces differ
+            texts = [x if not x or _NOT_SIMPLE(x) else x.lower() for x in texts]
         # a text that holds an added token is cut there first, which changes how white space before it is taken: such texts are encoded whole
-        odd = {i: self.whole(x) for i, x in enumerate(texts) if x and any(a in x for a in self.added)}
+        odd = {i: self.whole(given[i]) for i, x in enumerate(texts) if x and any(a in x for a in self.added)}
         split = [self.pieces(x or "") if i not in odd else [] for i, x in enumerate(texts)]
         missing = set().union(*split).difference(self.known)
         again = missing.intersection(self.old)
