@@ -157,8 +157,12 @@ def _anchors(width: int, anchor: int):
             for batch in slices(whole, "text"):
                 w = _Windows(batch.column("text"), width, anchor)
                 first = w.places()
+                owner, anchors = w.owner[first], w.anchor[first]
+                order = np.lexsort((anchors, owner))
+                owner, anchors = owner[order], anchors[order]
+                new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (anchors[1:] != anchors[:-1])]) if len(owner) else owner
                 rid = np.asarray(batch.column("rid"))
-                yield pa.record_batch([pa.array(w.anchor[first]), pa.array(rid[w.owner[first]])], names=["anchor", "rid"])
+                yield pa.record_batch([pa.array(anchors[new]), pa.array(rid[owner[new]]), pa.array(np.diff(np.r_[new, len(owner)]).astype(np.int32))], names=["anchor", "rid", "n"])
 
     return run
 
@@ -276,9 +280,9 @@ def _shard(anchor: str, n: Column) -> Column:
 def remove_repeats(df: DataFrame, width: int = 35, anchor: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) of each row; kept is the text that is left where words were looked for, null where nothing repeats."""
     docs = df.select(F.xxhash64(id_col, text_col).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    anchors = materialize(docs.select("rid", "text").mapInArrow(_anchors(width, anchor), "anchor long, rid long"), "anchors")
-    again = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
-    listed = anchors.join(again, "anchor").groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
+    anchors = materialize(docs.select("rid", "text").mapInArrow(_anchors(width, anchor), "anchor long, rid long, n int"), "anchors")
+    again = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    listed = anchors.select("anchor", "rid").join(again, "anchor").groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
     parted = materialize(docs.join(listed, "rid", "left").mapInArrow(_parted, "rid long, doc_id long, text string, anchors binary, n_words long, kept_sha256 string"), "parted")
     drop_table(anchors)
     texts = parted.where("anchors IS NOT NULL")
