@@ -28,12 +28,13 @@ from .common import SPACES, drop_table, materialize
 OVER, UNDER = 4, 5
 _PLACES = 1 << 16
 #: Words above which a line has a second signature; classes of keys that are joined one after the other; pairs up to which their ids are broadcast.
-_LONG, PARTS, FEW = 80, 4, 1_000_000
+_LONG, PARTS, FEW = 80, 4, 500_000
 _LAST = (1 << 63) - 1
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACES), "")
+    """The words of a line that has any."""
+    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), SPACES)
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -57,15 +58,17 @@ def _marks(distinct: DataFrame) -> DataFrame:
     """(lid, doc, n, sig, sig2, keys) of each line: keys are its first words in order of rarity.
 
     A signature has a bit for each of 64 hashed classes of words, set where the line has an odd number of them. Each word that
-    two lines don't share changes one bit at most. Long lines get a second one.
+    two lines don't share changes one bit at most. Long lines also have the signature of one half of all words, which gives that of the
+    other half, and so 128 classes.
     """
     ranks = _rarity(distinct)
-    d = distinct.select("lid", "doc", F.transform(F.array_distinct(_words(F.col("line"))), lambda w: F.xxhash64(w)).alias("h"))
+    d = distinct.select("lid", "doc", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
     key = F.transform("h", lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(_PLACES - 1).cast("int")).cast("long"), 16).bitwiseOR(F.shiftrightunsigned(h, 17).bitwiseAND((1 << 16) - 1)))
-    sig = lambda by: F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, by).bitwiseAND(63).cast("int"))))
-    d = d.select("lid", "doc", F.size("h").alias("n"), sig(40).alias("sig"), F.when(F.size("h") > _LONG, sig(50)).otherwise(F.lit(0).cast("long")).alias("sig2"), F.sort_array(key).alias("keys"))
+    sig = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 40).bitwiseAND(63).cast("int"))))
+    half = F.filter("h", lambda h: F.shiftrightunsigned(h, 50).bitwiseAND(1) == 1)
+    d = d.select("lid", "doc", F.size("h").alias("n"), sig("h").alias("sig"), F.when(F.size("h") > _LONG, sig(half)).otherwise(F.lit(0).cast("long")).alias("sig2"), F.sort_array(key).alias("keys"))
     first = F.col("n") - F.expr(f"({OVER} * n + {UNDER - 1}) div {UNDER}").cast("int") + 1
-    return d.withColumn("keys", F.transform(F.slice("keys", F.lit(1), first), lambda k: (k - F.lit(1 << 31)).cast("int")))
+    return d.withColumn("keys", F.slice("keys", F.lit(1), first))
 
 
 def _postings(marks: DataFrame, part: int) -> DataFrame:
@@ -77,8 +80,11 @@ def _may_match(x: str, y: str) -> Column:
     """The length filter, the positional filter at the first shared word (one word and all after it must be able to give the overlap), and the signatures: what isn't shared may be a ninth of both lines."""
     a, b, i, j = (F.col(c).cast("long") for c in (f"{x}n", f"{y}n", f"{x}at", f"{y}at"))
     overlap = 1 + F.least(a - i - 1, b - j - 1)
-    apart = lambda s: F.bit_count(F.col(f"{x}{s}").bitwiseXOR(F.col(f"{y}{s}"))) * (OVER + UNDER) <= (UNDER - OVER) * (a + b)
-    return (UNDER * a >= OVER * b) & (UNDER * b >= OVER * a) & ((OVER + UNDER) * overlap >= OVER * (a + b)) & apart("sig") & ((F.least(a, b) <= _LONG) | apart("sig2"))
+    most = (UNDER - OVER) * (a + b)
+    bits = lambda c: F.bit_count(c) * (OVER + UNDER)
+    whole, half = (F.col(f"{x}{s}").bitwiseXOR(F.col(f"{y}{s}")) for s in ("sig", "sig2"))
+    apart = (bits(whole) <= most) & ((F.least(a, b) <= _LONG) | (bits(half) + bits(whole.bitwiseXOR(half)) <= most))
+    return (UNDER * a >= OVER * b) & (UNDER * b >= OVER * a) & ((OVER + UNDER) * overlap >= OVER * (a + b)) & apart
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -116,7 +122,9 @@ def removed_lines(df: DataFrame) -> DataFrame:
     by_word = Window.partitionBy("key").orderBy("doc", "lid")
 
     def with_lead(part: int) -> DataFrame:
-        listed = _postings(marks, part).withColumn("lead", F.first(F.struct("lid", "n", "at", "sig", "sig2")).over(by_word)).where("lead.lid <> lid")
+        # the words that two lines of one length must share one of; which of a group's lines meet their lead first doesn't matter
+        few = F.col("at") <= F.expr(f"n - ({2 * OVER} * n + {OVER + UNDER - 1}) div {OVER + UNDER}")
+        listed = _postings(marks, part).where(few).withColumn("lead", F.first(F.struct("lid", "n", "at", "sig", "sig2")).over(by_word)).where("lead.lid <> lid")
         return listed.select("*", *(F.col(f"lead.{c}").alias(f"y_{c}") for c in ("n", "at", "sig", "sig2"))).where(_may_match("", "y_")).select(F.col("lid").alias("x"), F.col("lead.lid").alias("y"))
 
     settled = _verified(_in_parts(with_lead), distinct)
