@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
+KEY_BITS = 60
+
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """(source, source_size, target) from (source, size): one row a source.
@@ -47,7 +49,7 @@ def taken_words(rows: DataFrame) -> DataFrame:
     """rows (source, size, key, ...) with source_size, target and taken: the words that the mix takes of each row."""
     count = rows.count()
     bits = max(1, min(40, math.ceil(math.log2(max(count, 2)) / 2)))
-    ranged = rows.withColumn("_range", F.shiftrightunsigned("key", 64 - bits))
+    ranged = rows.withColumn("_range", F.shiftright("key", KEY_BITS - bits))
     ranges = ranged.groupBy("source", "_range").agg(F.sum("size").alias("size"))
     before_range = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     targets = source_targets(ranges.select("source", "size"))
@@ -62,9 +64,14 @@ def taken_words(rows: DataFrame) -> DataFrame:
     return joined.withColumn("taken", (whole * F.col("size") + last).cast("long")).drop("_range", "_base")
 
 
+def _key() -> Column:
+    """60 bits of a hash of the id and the text."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "text").cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def _sized(df: DataFrame, *more: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("key"), *more)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), _key().alias("key"), *more)
 
 
 def mix_report(df: DataFrame) -> DataFrame:

@@ -41,6 +41,17 @@ c AS (SELECT a AS tid, min(b) AS class_id FROM reach GROUP BY a)
 SELECT documents.doc_id, CASE WHEN x.ws IS NULL OR len(x.ws) = 0 THEN documents.doc_id ELSE class_id END AS class_id FROM documents LEFT JOIN x ON documents.text = x.text LEFT JOIN c ON c.tid = x.tid
 """
 
+MIXING = f"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_W})) AS BIGINT) AS size, CAST('0x' || substr(md5(concat_ws('|', CAST(doc_id AS VARCHAR), text)), 1, 15) AS BIGINT) AS key FROM documents),
+t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s GROUP BY source),
+o AS (SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER p, 0) AS remaining, sum(w) OVER () - coalesce(sum(w) OVER p, 0) AS w_left FROM t WINDOW p AS (ORDER BY 3 * source_size * (6 // w), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, remaining * w > 3 * source_size * w_left AS stops FROM o),
+g AS (SELECT source, source_size, CASE WHEN stops THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(sum(source_size) OVER () - sum(CASE WHEN stops THEN 3 * source_size ELSE 0 END) OVER () AS DOUBLE) * CAST(w AS DOUBLE) / CAST(sum(CASE WHEN stops THEN 0 ELSE w END) OVER () AS DOUBLE) END AS target FROM c),
+r AS (SELECT s.doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS budget, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS whole,
+  coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, budget - whole * source_size - before)) AS BIGINT) AS taken FROM r
+"""
+
 
 def _quality_rules() -> str:
     classes = [f"length(regexp_replace(t, '{p}', '', 'g'))" for p in CLASSES.values()]

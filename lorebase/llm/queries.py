@@ -78,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op5_quality_rules": oracles.QUALITY_RULES,
+    "op6_mixing": oracles.MIXING,
     "op7_line_dedup": oracles.LINE_DEDUP,
     "op10_near_duplicates": oracles.NEAR_DUPLICATES,
     "op9_exact_topk": """
