@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
+_recording: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +39,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     _free_shuffles(spark)
+    if _recording:
+        _recording[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,16 +50,31 @@ def _free_shuffles(spark: SparkSession) -> None:
     listeners let go of the last query."""
     time.sleep(0.2)
     spark._jvm.System.gc()
+    time.sleep(0.2)
 
 
 def drop_table(df: DataFrame) -> None:
     """Removes the files of a materialized table that nothing will read again."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    drop_paths(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def drop_paths(spark: SparkSession, paths: Iterable[str]) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Gathers the paths of the tables that are materialized inside."""
+    paths: list[str] = []
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording.remove(paths)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -128,7 +128,9 @@ def removed_lines(df: DataFrame) -> DataFrame:
         return listed.select("*", *(F.col(f"lead.{c}").alias(f"y_{c}") for c in ("n", "at", "sig", "sig2"))).where(_may_match("", "y_")).select(F.col("lid").alias("x"), F.col("lead.lid").alias("y"))
 
     settled = _verified(_in_parts(with_lead), distinct)
-    left = materialize(marks.join(settled, "lid", "left_anti"), "left")
+    if settled.count() <= FEW:
+        settled = F.broadcast(settled)
+    left = marks.join(settled, "lid", "left_anti")
 
     def with_earlier(part: int) -> DataFrame:
         x = _postings(left, part).select("key", *(F.col(c).alias(f"x_{c}") for c in ("lid", "doc", "n", "at", "sig", "sig2")))
@@ -137,7 +139,7 @@ def removed_lines(df: DataFrame) -> DataFrame:
 
     late = settled.union(_verified(_in_parts(with_earlier), distinct)).distinct()
     place = materialize(distinct.select("lid", F.col("rid").alias("f_rid"), F.col("pos").alias("f_pos")).join(late.withColumn("late", F.lit(True)), "lid", "left"), "places")
-    for done in (distinct, marks, left):
+    for done in (distinct, marks):
         drop_table(done)
     again = (F.col("rid") != F.col("f_rid")) | (F.col("pos") != F.col("f_pos"))
     return lines.select("rid", "pos", "lid").join(place, "lid").where(again | F.col("late").isNotNull()).select("rid", "pos")

@@ -33,6 +33,8 @@ CLASSES = {"lower": "[^a-z]+", "upper": "[^A-Z]+", "digit": "[^0-9]+", "other_sc
 CHAR_LIMIT, CHAR_LEAST = 0.32, 200
 WORD_LIMIT, WORD_LEAST = 0.30, 100
 REFERENCE_LEAST = 1000
+#: References up to which they are broadcast; with more languages than that the join is left to Spark.
+MANY_LANGUAGES = 10_000
 _N_COMMON = max(map(len, COMMON_WORDS.values()))
 
 
@@ -110,7 +112,10 @@ def jensen_shannon(a: Column, b: Column) -> Column:
 
 def judged(measured: DataFrame) -> DataFrame:
     """measured with char_distance, word_distance and kept."""
-    d = measured.join(references(measured), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    refs = materialize(references(measured), "references")
+    if refs.count() <= MANY_LANGUAGES:
+        refs = F.broadcast(refs)
+    d = measured.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     d = d.withColumn("char_distance", F.when(F.col("word_chars") >= CHAR_LEAST, jensen_shannon(F.col("chars"), F.col("ref_chars")))).withColumn("word_distance", F.when(F.col("n_words") >= WORD_LEAST, jensen_shannon(F.col("common"), F.col("ref_common"))))
     diverges = F.coalesce(F.col("char_distance") > CHAR_LIMIT, F.lit(False)) | F.coalesce(F.col("word_distance") > WORD_LIMIT, F.lit(False))
     return d.withColumn("kept", ~F.col("base_failed") & ~diverges)

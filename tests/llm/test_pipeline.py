@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages(spark):
+def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     outs = {}
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF).cache()
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
         outs[name] = (docs, out)
         if name != "packing":
             assert out.columns == docs.columns
