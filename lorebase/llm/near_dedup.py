@@ -208,7 +208,7 @@ def near_links(texts: DataFrame, least: float = 0.8) -> DataFrame:
     return found.unionByName(verified).unionByName(more)
 
 
-def near_classes(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_classes(df: DataFrame, least: float = 0.8, text_col: str = "text") -> DataFrame:
     """(tid, class_tid) for every text that has a near duplicate with a different text."""
     texts = df.select(F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
     return components(near_links(texts, least), "classes").select(F.col("node").alias("tid"), F.col("label").alias("class_tid"))
@@ -216,7 +216,7 @@ def near_classes(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text
 
 def near_duplicates(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id): one row a document."""
-    classes = near_classes(df, least, id_col, text_col)
+    classes = near_classes(df, least, text_col)
     has_words = F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.coalesce(has_words, F.lit(False)).alias("full"))
     docs = materialize(docs, "docs")
@@ -233,7 +233,7 @@ def keep_one(df: DataFrame, least: float = 0.8) -> DataFrame:
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     last = F.lit((1 << 63) - 1)
     whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.xxhash64("text").alias("_tid"), F.coalesce(F.col("doc_id").cast("long"), last).alias("_doc"), has_words.alias("_full"))
-    classes = near_classes(df.where(has_words).select("doc_id", "text"), least)
+    classes = near_classes(df.where(has_words).select("text"), least)
     per_text = whole.where("_full").groupBy("_tid").agg(F.min("_doc").alias("first")).join(classes, F.col("_tid") == F.col("tid"), "left").select("_tid", "first", F.coalesce("class_tid", "_tid").alias("class"))
     chosen = per_text.groupBy("class").agg(F.min(F.struct("first", "_tid")).alias("c")).select(F.col("c._tid").alias("c_tid"), F.col("c.first").alias("c_doc"))
     full = whole.where("_full").join(chosen, (F.col("_tid") == F.col("c_tid")) & (F.col("_doc") == F.col("c_doc"))).dropDuplicates(["_tid", "_doc"])

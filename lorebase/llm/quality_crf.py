@@ -6,7 +6,7 @@ over the whole text, and the mean of the marginals, weighted by the lines' lengt
 turns into a score. Features come from the text's bytes alone: no label, language, source or id enters.
 
 The model is fitted on the driver from at most SAMPLE labelled documents, those with the least hash of their id, and at most
-SAMPLE_LINES lines of each; all lines of a training document carry its label. Everything else covers all documents
+SAMPLE_LINES lines of the first SAMPLE_CHARS characters of each; all lines of a training document carry its label. Everything else covers all documents
 and their whole texts, in one pass without a shuffle.
 
 Null and empty texts have one empty line and get the score of that. Rows whose label is null aren't learned from. Where there is no labelled row of
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .words import column_bytes, slices, spans, word_hashes
 
 #: Bounds of what the model is fitted on.
-SAMPLE, SAMPLE_LINES = 3000, 48
+SAMPLE, SAMPLE_LINES, SAMPLE_CHARS = 3000, 48, 200_000
 _SYMBOLS, _MARKS = b"#*$%&|<>", b".,;:!?"
 
 
@@ -184,7 +184,7 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 120, rate: float = 0.
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", order: Column | None = None) -> Model | None:
     """A model from at most SAMPLE rows of labelled (those least by order), or None where a class is missing."""
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 200_000).alias("text"), F.col(label_col).cast("int").alias("label"), (order if order is not None else F.xxhash64(text_col)).alias("o"))
+    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, SAMPLE_CHARS).alias("text"), F.col(label_col).cast("int").alias("label"), (order if order is not None else F.xxhash64(text_col)).alias("o"))
     found = rows.orderBy("o").limit(SAMPLE).collect()
     labels = np.array([r["label"] for r in found], np.int64)
     if len(np.unique(labels)) < 2:
