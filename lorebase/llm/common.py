@@ -18,7 +18,6 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
 _recording: list[list[str]] = []
-_freed = [0.0]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,12 +48,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def _free_shuffles(spark: SparkSession) -> None:
     """Spark deletes shuffle files of finished work once the driver's garbage is collected, which may be long after; the pause lets its
     listeners let go of the last query."""
-    if time.monotonic() - _freed[0] < 3:  # little can have gathered
-        return
     time.sleep(0.2)
     spark._jvm.System.gc()
     time.sleep(0.2)
-    _freed[0] = time.monotonic()
 
 
 def drop_table(df: DataFrame) -> None:
