@@ -328,6 +328,12 @@ def evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.evidence_scores(t | {"edges": t["edges"].where("false")}).drop("cluster_id")
 
 
+@_query("""+ sc AS (SELECT object_id, 20 AS s FROM facts UNION ALL SELECT object_id, 15 FROM changes UNION ALL SELECT src_id, 10 FROM edges) SELECT object_id, CAST(sum(s) AS BIGINT) AS score FROM sc GROUP BY object_id""", "facts", "changes", "edges")
+def evidence_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R21 over all evidence, edges too; evidence_score and its SQL are facts and changes alone."""
+    return read.evidence_scores(adapter.tables(spark, sf_dir)).drop("cluster_id")
+
+
 @_query("""+ v AS (SELECT *, lag(new_scalar) OVER (PARTITION BY object_id ORDER BY ts, new_scalar) AS b FROM changes) SELECT object_id, ts, new_scalar FROM v WHERE b IS NULL OR b <> new_scalar""", "changes")
 def value_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.value_history(adapter.changes(spark, sf_dir), "event%").select("object_id", "ts", "new_scalar")
