@@ -6,6 +6,9 @@ document fails where the Jensen-Shannon distance (base 2, 0 to 1) between its hi
 threshold. Short texts say little about a distribution, so each comparison asks for a least length; a language with few
 words in all has no reference. What isn't compared isn't rejected.
 
+On request (by_length) words are compared at any length, and the limit follows the number of words as sampling noise does: see word_limit().
+That comes on top of the fixed limit, so nothing is kept that the fixed limit rejects.
+
 Null texts are empty and fail the base rules. A null or unknown language has no common-word list; its characters are
 compared all the same. Rows are judged one by one, so repeated rows get equal verdicts. Further columns pass through
 filter_documents() untouched; an empty table gives no rows. DataFrame functions alone are used.
@@ -13,6 +16,7 @@ filter_documents() untouched; an empty table gives no rows. DataFrame functions
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +37,8 @@ CLASSES = {"lower": "[^a-z]+", "upper": "[^A-Z]+", "digit": "[^0-9]+", "other_sc
 CHAR_LIMIT, CHAR_LEAST = 0.32, 200
 WORD_LIMIT, WORD_LEAST = 0.30, 100
 REFERENCE_LEAST = 1000
+#: For limits by length: normal deviations that one text in a million exceeds, and the distance that subject and style may make.
+NOISE_DEVIATIONS, STYLE_DISTANCE = 4.75, 0.1
 #: References up to which they are broadcast; with more languages than that the join is left to Spark.
 MANY_LANGUAGES = 10_000
 _N_COMMON = max(map(len, COMMON_WORDS.values()))
@@ -110,24 +116,38 @@ def jensen_shannon(a: Column, b: Column) -> Column:
     return F.when((total(a) > 0) & (total(b) > 0), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda s, x: s + x))))
 
 
-def judged(measured: DataFrame) -> DataFrame:
+def word_limit(n_words: Column) -> Column:
+    """The word distance that n words of the language stay below.
+
+    For n words drawn from the reference, 8 ln 2 n times the squared distance has nearly a chi-square distribution, with a degree of freedom
+    for each common word; its quantile is that of Wilson and Hilferty. STYLE_DISTANCE is added in squares.
+    """
+    f = 2 / (9 * _N_COMMON)
+    quantile = _N_COMMON * (1 - f + NOISE_DEVIATIONS * math.sqrt(f)) ** 3
+    return F.sqrt(F.lit(quantile / (8 * math.log(2))) / n_words + F.lit(STYLE_DISTANCE**2))
+
+
+def judged(measured: DataFrame, by_length: bool = False) -> DataFrame:
     """measured with char_distance, word_distance and kept."""
     refs = materialize(references(measured), "references")
     if refs.count() <= MANY_LANGUAGES:
         refs = F.broadcast(refs)
     d = measured.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    d = d.withColumn("char_distance", F.when(F.col("word_chars") >= CHAR_LEAST, jensen_shannon(F.col("chars"), F.col("ref_chars")))).withColumn("word_distance", F.when(F.col("n_words") >= WORD_LEAST, jensen_shannon(F.col("common"), F.col("ref_common"))))
-    diverges = F.coalesce(F.col("char_distance") > CHAR_LIMIT, F.lit(False)) | F.coalesce(F.col("word_distance") > WORD_LIMIT, F.lit(False))
+    d = d.withColumn("char_distance", F.when(F.col("word_chars") >= CHAR_LEAST, jensen_shannon(F.col("chars"), F.col("ref_chars")))).withColumn("word_distance", F.when(F.col("n_words") >= (1 if by_length else WORD_LEAST), jensen_shannon(F.col("common"), F.col("ref_common"))))
+    limit = F.lit(WORD_LIMIT)
+    if by_length:
+        limit = F.when(F.col("n_words") >= WORD_LEAST, F.least(limit, word_limit(F.col("n_words")))).otherwise(word_limit(F.col("n_words")))
+    diverges = F.coalesce(F.col("char_distance") > CHAR_LIMIT, F.lit(False)) | F.coalesce(F.col("word_distance") > limit, F.lit(False))
     return d.withColumn("kept", ~F.col("base_failed") & ~diverges)
 
 
-def quality_report(df: DataFrame) -> DataFrame:
-    d = judged(materialize(features(df), "measured"))
+def quality_report(df: DataFrame, by_length: bool = False) -> DataFrame:
+    d = judged(materialize(features(df), "measured"), by_length)
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
 
 
-def filter_documents(df: DataFrame) -> DataFrame:
+def filter_documents(df: DataFrame, by_length: bool = False) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     whole = df.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in df.columns)))
-    kept = judged(materialize(features(whole, "_row"), "measured")).where("kept")
+    kept = judged(materialize(features(whole, "_row"), "measured"), by_length).where("kept")
     return kept.select(*(F.col(f"_row.`{c}`").alias(c) for c in df.columns))

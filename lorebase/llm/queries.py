@@ -42,6 +42,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir)).drop("char_distance", "word_distance")
 
 
+def op5_quality_rules_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5_quality_rules with word limits that follow length as well."""
+    return quality_report(documents(spark, sf_dir), by_length=True).drop("char_distance", "word_distance")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(documents(spark, sf_dir))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
+    "op5_quality_rules_by_length": op5_quality_rules_by_length,
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
