@@ -5,11 +5,10 @@ weights tie labels of lines in a row. The label's marginal probability of each l
 over the whole text, and the mean of the marginals, weighted by the lines' lengths, is the document's evidence, which a logistic map
 turns into a score. Features come from the text's bytes alone: no label, language, source or id enters.
 
-The model is fitted on the driver from at most SAMPLE labelled documents, those with the least hash of their id, and at most
-SAMPLE_LINES lines of the first SAMPLE_CHARS characters of each; all lines of a training document carry its label. Everything else covers all documents
-and their whole texts, in one pass without a shuffle.
+The model is fitted on the driver from the whole texts of at most SAMPLE labelled documents, those with the least hash of their id in
+each class, the classes in turn until one has no more; all lines of a training document carry its label. Everything else covers all documents, in one pass without a shuffle.
 
-Null and empty texts have one empty line and get the score of that. Rows whose label is null aren't learned from. Where there is no labelled row of
+Null and empty texts have one empty line and get the score of that. Rows whose label is null, or whose document is missing, aren't learned from and take no place in the sample. Where there is no labelled row of
 each class, all scores are 0.5. Null ids are scored as any; they count as held out (no remainder of theirs is known).
 """
 
@@ -20,13 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import column_bytes, slices, spans, word_hashes
 
-#: Bounds of what the model is fitted on.
-SAMPLE, SAMPLE_LINES, SAMPLE_CHARS = 3000, 48, 200_000
+#: Bound of what the model is fitted on, in documents.
+SAMPLE = 3000
 _SYMBOLS, _MARKS = b"#*$%&|<>", b".,;:!?"
 
 
@@ -140,8 +139,7 @@ def evidence(x: np.ndarray, length: np.ndarray, first: np.ndarray, model: Model)
 
 def fit(texts: list[str], labels: np.ndarray, steps: int = 120, rate: float = 0.15, penalty: float = 3e-3) -> Model:
     """Maximum likelihood of all lines' labels given the texts, by gradient steps with momentum; then the logistic map of the evidence."""
-    clipped = ["\n".join((x or "").split("\n")[:SAMPLE_LINES]) for x in texts]
-    parts = [line_features(pa.array(clipped[a : a + 500])) for a in range(0, len(clipped), 500)]
+    parts = [line_features(pa.array([x or "" for x in texts[a : a + 500]])) for a in range(0, len(texts), 500)]
     x, length = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     counts = np.concatenate([np.diff(p[2]) for p in parts])
     first = np.concatenate([[0], np.cumsum(counts)])
@@ -182,10 +180,17 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 120, rate: float = 0.
     return model
 
 
+def _sampled(rows: DataFrame, label_col: str, *order: str) -> DataFrame:
+    """At most SAMPLE rows labelled 0 or 1: those least by order in each class, the classes in turn until one has no more."""
+    of = [rows.where(F.col(label_col) == c).orderBy(*order).limit(SAMPLE) for c in (0, 1)]
+    ranked = of[0].union(of[1]).withColumn("_rank", F.row_number().over(Window.partitionBy(label_col).orderBy(*order)))
+    return ranked.orderBy("_rank", label_col).limit(SAMPLE).drop("_rank")
+
+
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", order: Column | None = None) -> Model | None:
-    """A model from at most SAMPLE rows of labelled (those least by order), or None where a class is missing."""
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, SAMPLE_CHARS).alias("text"), F.col(label_col).cast("int").alias("label"), (order if order is not None else F.xxhash64(text_col)).alias("o"))
-    found = rows.orderBy("o").limit(SAMPLE).collect()
+    """A model from at most SAMPLE rows of labelled (those least by order in each class), or None where a class is missing."""
+    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"), (order if order is not None else F.xxhash64(text_col)).alias("o"))
+    found = _sampled(rows, "label", "o").collect()
     labels = np.array([r["label"] for r in found], np.int64)
     if len(np.unique(labels)) < 2:
         return None
@@ -210,7 +215,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(doc_id, held_out, score, predicted) of each document. Labels are learned only from rows that aren't held out: crc32(id as text) mod 3 is not 1."""
     held = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(True))
     known = labels.where(~held(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
+    known = known.where(F.col("label").isin(0, 1)).join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi").withColumn("_o", F.xxhash64("_id"))
+    known = F.broadcast(_sampled(known, "label", "_o", "_id"))
     model = train(docs.join(known, F.col(id_col) == F.col("_id")).select(text_col, "label", "_id"), text_col, "label", F.xxhash64("_id"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held(F.col(id_col)).alias("held_out"))
     return rows.mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double, predicted int")
