@@ -359,4 +359,5 @@ def running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def r10_version_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read.version_diffs(versions.versions(_marked(spark, sf_dir))).select("object_id", "seq", F.get("changes", F.lit(0))["path"].alias("path"), F.get("changes", F.lit(0))["old"].alias("old"), F.get("changes", F.lit(0))["new"].alias("new"), "truncated")
+    d = read.version_diffs(versions.versions(_marked(spark, sf_dir))).withColumn("c", F.explode_outer("changes"))
+    return d.select("object_id", "seq", F.col("c.path").alias("path"), F.col("c.old").alias("old"), F.col("c.new").alias("new"), "truncated")

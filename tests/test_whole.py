@@ -19,3 +19,11 @@ def test_scores_count_edges(spark):
             want[f"{kind}/{k}"] += 10 * edges
     got = {r["object_id"]: r["score"] for r in QUERIES["evidence_score_all"](spark, SF).collect()}
     assert got == dict(want)
+
+
+def test_version_diffs_give_every_change(spark, tmp_path):
+    docs = ['{"a": 1, "b": 1, "c": 1}', '{"a": 2, "b": 2, "d": 1}', '{"a": 2, "b": 2, "d": 1}', '{"a": 3, "b": 2, "d": 1}']
+    rows = ", ".join(f"({i}, 1, TIMESTAMP '2024-01-01' + INTERVAL {i} HOUR, '{kind}', '{doc}', 0.0)" for i, (doc, kind) in enumerate(zip(docs, ["signup", "error", "click", "click"], strict=True)))
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {rows}) AS t(event_id, user_id, ts, event_type, props, value)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = sorted((r["seq"], r["path"] or "", r["truncated"]) for r in QUERIES["r10_version_diffs"](spark, str(tmp_path)).collect())
+    assert got == [(2, "/a", False), (2, "/b", False), (2, "/c", False), (2, "/d", False), (3, "", False), (4, "/a", False)]
