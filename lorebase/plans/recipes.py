@@ -79,14 +79,23 @@ def presence_intervals(observations: DataFrame, kind: str, start: datetime, end:
 def presence_peak(intervals: DataFrame, *by: str) -> DataFrame:
     """The largest number of intervals open at one time, by the given columns; ends come before starts of the same time.
 
-    Steps of equal time are added up first, so the sweep is over distinct times.
+    Steps of equal time are added up first. Those of a minute are swept in one task, on top of the sum of all minutes before it; sums by
+    minute are few, as the calendar bounds them.
     """
     keys = list(by) or ["cluster_id"]
     starts = intervals.select(*keys, F.col("interval_start").alias("t"), F.lit(1).alias("up"), F.lit(0).alias("down"))
     ends = intervals.where("interval_end IS NOT NULL").select(*keys, F.col("interval_end").alias("t"), F.lit(0).alias("up"), F.lit(1).alias("down"))
     steps = starts.union(ends).groupBy(*keys, "t").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-    running = F.sum(F.col("up") - F.col("down")).over(Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
-    return steps.withColumn("open", running).groupBy(*keys).agg(F.max("open").alias("peak"))
+    zoned = dict(steps.dtypes)["t"] == "timestamp"
+    minute = F.floor(F.unix_micros("t") / 60_000_000) if zoned else F.floor(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', t)") / 60_000_000)
+    steps = steps.withColumn("minute", minute)
+    rows = lambda *by, to: Window.partitionBy(*keys, *by).rowsBetween(Window.unboundedPreceding, to)
+    sums = steps.groupBy(*keys, "minute").agg(F.sum(F.col("up") - F.col("down")).alias("n"))
+    before = sums.select(*keys, "minute", F.coalesce(F.sum("n").over(rows(to=-1).orderBy("minute")), F.lit(0)).alias("before"))
+    within = steps.withColumn("open", F.sum(F.col("up") - F.col("down")).over(rows("minute", to=0).orderBy("t")))
+    most = within.groupBy(*keys, "minute").agg(F.max("open").alias("most"))
+    met = most.alias("m").join(before.alias("b"), [F.col(f"m.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "minute")])
+    return met.groupBy(*(F.col(f"m.{c}").alias(c) for c in keys)).agg(F.max(F.col("most") + F.col("before")).alias("peak"))
 
 
 def endpoint_readiness(observations: DataFrame, end: datetime | None = None) -> DataFrame:

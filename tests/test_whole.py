@@ -1,9 +1,13 @@
 """Queries that work on all that their operators give, against plain Python over the same tables."""
 
+import random
 from collections import Counter
 
 import duckdb
+import pytest
+from lorebase.plans import recipes
 from lorebase.plans.queries import QUERIES
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +31,18 @@ def test_version_diffs_give_every_change(spark, tmp_path):
     duckdb.sql(f"COPY (SELECT * FROM (VALUES {rows}) AS t(event_id, user_id, ts, event_type, props, value)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     got = sorted((r["seq"], r["path"] or "", r["truncated"]) for r in QUERIES["r10_version_diffs"](spark, str(tmp_path)).collect())
     assert got == [(2, "/a", False), (2, "/b", False), (2, "/c", False), (2, "/d", False), (3, "", False), (4, "/a", False)]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_peak_is_swept_by_minute(spark, kind):
+    r = random.Random(3)
+    rows = [(r.choice(["c1", "c2", None]), a := r.randrange(20_000), a + r.randrange(1, 4000) if r.random() < 0.8 else None) for _ in range(500)]
+    df = spark.createDataFrame(rows, "cluster_id string, a long, b long").select("cluster_id", *(F.timestamp_seconds(c).cast(kind).alias(n) for c, n in (("a", "interval_start"), ("b", "interval_end"))))
+    want = {}
+    for c in ("c1", "c2", None):
+        mine = [x for x in rows if x[0] == c]
+        want[c] = max(sum(a <= t and (b is None or b > t) for _, a, b in mine) for _, t, _ in mine)
+    peak = recipes.presence_peak(df)
+    assert {x["cluster_id"]: x["peak"] for x in peak.collect()} == want
+    by_time = [x for x in peak._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x and "[t#" in x]
+    assert by_time and all("minute#" in x.rsplit("], [t#", 1)[0].rsplit("[", 1)[1] for x in by_time)
