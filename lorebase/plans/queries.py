@@ -317,9 +317,10 @@ def distinct_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("+ d AS (SELECT ts, object_id, fact_value FROM facts WHERE fact_key = 'event.error') SELECT f.fact_key AS value, count(*) AS rows, count(DISTINCT f.object_id) AS objects FROM facts f JOIN d ON f.object_id = d.object_id AND f.fact_value = d.fact_value GROUP BY f.fact_key", "facts")
 def paired_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = adapter.facts(spark, sf_dir)
-    d = f.where("fact_key = 'event.error'").select("object_id", "fact_value")
-    return f.join(d, ["object_id", "fact_value"]).groupBy(F.col("fact_key").alias("value")).agg(F.count("*").alias("rows"), F.countDistinct("object_id").alias("objects"))
+    """Pairs are counted as products of counts, not made."""
+    f = adapter.facts(spark, sf_dir).groupBy("object_id", "fact_value", "fact_key").agg(F.count("*").alias("n"))
+    d = f.where("fact_key = 'event.error'").select("object_id", "fact_value", F.col("n").alias("errors"))
+    return f.join(d, ["object_id", "fact_value"]).groupBy(F.col("fact_key").alias("value")).agg(F.sum(F.col("n") * F.col("errors")).alias("rows"), F.countDistinct("object_id").alias("objects"))
 
 
 @_query("""+ sc AS (SELECT object_id, 20 AS s FROM facts UNION ALL SELECT object_id, 15 FROM changes) SELECT object_id, CAST(sum(s) AS BIGINT) AS score FROM sc GROUP BY object_id""", "facts", "changes")

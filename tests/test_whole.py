@@ -46,3 +46,12 @@ def test_peak_is_swept_by_minute(spark, kind):
     assert {x["cluster_id"]: x["peak"] for x in peak.collect()} == want
     by_time = [x for x in peak._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x and "[t#" in x]
     assert by_time and all("minute#" in x.rsplit("], [t#", 1)[0].rsplit("[", 1)[1] for x in by_time)
+
+
+def test_pairs_are_counted_not_made(spark, tmp_path):
+    n = 300_000  # 9 x 10^10 pairs
+    duckdb.sql(f"""COPY (SELECT i AS event_id, 1 AS user_id, TIMESTAMP '2024-01-01' + INTERVAL (i) SECOND AS ts, CASE WHEN i < {n} THEN 'error' ELSE 'click' END AS event_type, '{{"k": 7}}' AS props, 0.0 AS value FROM range({n} + 10) AS t(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    paired = QUERIES["paired_facts"](spark, str(tmp_path))
+    plan = paired._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.index("Join")
+    assert {r["value"]: (r["rows"], r["objects"]) for r in paired.collect()} == {"event.error": (n * n, 1), "event.click": (10 * n, 1)}
