@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -16,15 +15,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed value: its complement, for split() and replace().
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: The setting by which Spark deletes the shuffle files of a query that has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: list[str] = []
 _recording: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one local process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="lorebase-"))
     return _own_dir[0]
@@ -35,27 +38,34 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage is cut and a lost executor loses nothing."""
+    """Writes df as Parquet to the shared folder and reads it back: lineage is cut and a lost executor loses nothing. Spark deletes the
+    write's shuffle files as it ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    _free_shuffles(spark)
     if _recording:
         _recording[-1].append(path)
-    df.write.parquet(path)
+    with _no_shuffle_files_left(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _free_shuffles(spark: SparkSession) -> None:
-    """Spark deletes shuffle files of finished work once the driver's garbage is collected, which may be long after; the pause lets its
-    listeners let go of the last query."""
-    time.sleep(0.2)
-    spark._jvm.System.gc()
-    time.sleep(0.2)
+@contextmanager
+def _no_shuffle_files_left(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Removes the files of a materialized table that nothing will read again."""
-    drop_paths(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+def drop_table(*tables: DataFrame) -> None:
+    """Removes the files of materialized tables that nothing will read again."""
+    for df in tables:
+        drop_paths(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
 def drop_paths(spark: SparkSession, paths: Iterable[str]) -> None:

@@ -5,80 +5,115 @@ on the input: lines that go themselves count as earlier lines too. The order is
 by a hash of the text), then of lines. Lines without words are not judged and stay.
 
 Equal lines are one entry with its first place. Words are ordered by rarity (counts over all lines, in a table of 65,536
-hashed places, so its size is fixed; ties by hash). Two sets that are similar enough share a word among the first
-n - ceil(0.8 n) + 1 of each, so only those words are joined on; lengths, places in the order and parity signatures rule out more (and
-no similar pair). The word sets themselves are then compared. In a first pass each line meets the earliest line of each of its words' lists, which
-settles the lines of large groups; only lines that are left meet all earlier lines of their lists. Lists are short, as
-a word stands in a list only for lines whose other words are more common.
-
-Null texts have no lines. Rows with equal id and text are one document, and each of them is returned. Empty tables give no
-rows. Further columns pass through dedup_lines() untouched. DataFrame functions alone are used.
+hashed places, so its size is fixed; ties by hash). The first word in that order that two similar lines share is among the first
+n / 5 + 1 words of the longer line and the first n / 9 + 1 of the shorter, so the longer line's list meets the shorter line's. A word that
+stands in more than HEAVY lines is joined on together with the next shared word, which is at most one place further on, so lists don't grow
+with the corpus as words do. Lengths, places in the order and parity signatures rule out more (and no similar pair). The
+word sets themselves are then compared. In a first pass each line meets the earliest line of each of its lists, which
+settles the lines of large groups; two settled lines never meet again.
+
+Lines are told apart by two 64-bit hashes, documents by their id and a 64-bit hash of their text.
+
+Null texts have no lines. Rows with equal id and text are documents one after the other: of those behind the first, all lines with words
+go. Empty tables give no rows. Further columns pass through dedup_lines() untouched. DataFrame functions alone are used.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, drop_table, materialize
+from .common import drop_table, materialize
 
 #: Similarity is 4 / 5; whole numbers keep the comparison exact.
 OVER, UNDER = 4, 5
 _PLACES = 1 << 16
-#: Words above which a line has a second signature; classes of keys that are joined one after the other; pairs up to which their ids are broadcast.
-_LONG, PARTS, FEW = 80, 4, 500_000
+#: Words above which a line has a second signature; lines with a word (as its place counts them) above which the word is joined on with another one.
+_LONG, HEAVY = 80, 1 << 14
+#: Classes of keys that are joined one after the other, so that a third of all lists is shuffled at a time; rows up to which a side is broadcast.
+PARTS, FEW = 3, 500_000
 _LAST = (1 << 63) - 1
+_HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _words(line: Column) -> Column:
-    """The words of a line that has any."""
-    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), SPACES)
+    """The words of a line, and empty strings."""
+    spaces = reduce(lambda x, space: F.replace(x, F.lit(space), F.lit(" ")), "\t\x0b\x0c\r", line)
+    return F.split(spaces, " ")
+
+
+def _places(df: DataFrame) -> DataFrame:
+    """df's (doc, rid): the id (null last), and a hash of the id and the text."""
+    return df.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "rid": F.xxhash64("doc_id", "text")})
 
 
-def _lines(df: DataFrame) -> DataFrame:
-    """(rid, doc, pos, lid, line) of each line with a word."""
-    rid = F.xxhash64("doc_id", "text").alias("rid")
-    lines = df.select(rid, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("lid", F.xxhash64("line"))
+def _lines(df: DataFrame, rows: bool = False) -> DataFrame:
+    """(doc, rid, pos, line, lid, lid2) of each line with a word, lines counted from 1. rows: and an entry 0 for each row that has a text."""
+    split = F.split("text", "\n")
+    d = _places(df).select("doc", "rid", F.posexplode(F.concat(F.array(F.lit("")), split) if rows else split).alias("pos", "line"))
+    d = d if rows else d.withColumn("pos", F.col("pos") + 1)
+    row = F.col("pos") == 0
+    d = d.where(row | F.col("line").rlike(_HAS_WORD))
+    return d.withColumns({"lid": F.when(row, F.col("rid")).otherwise(F.xxhash64("line")), "lid2": F.when(row, F.col("doc")).otherwise(F.xxhash64(F.lit(1), "line"))})
 
 
-def _rarity(distinct: DataFrame) -> Column:
-    """The rank of each hashed place by the count of its words, rarest first, as a constant array."""
-    places = distinct.select(F.explode(_words(F.col("line"))).alias("w")).select((F.xxhash64("w").bitwiseAND(_PLACES - 1)).cast("int").alias("place"))
-    counts = dict(places.groupBy("place").count().collect())  # at most 65,536 rows
+def _place_of(h: Column) -> Column:
+    return h.bitwiseAND(_PLACES - 1).cast("int")
+
+
+def _rarity(distinct: DataFrame) -> tuple[Column, int]:
+    """The rank of each hashed place by the count of its words, rarest first, in the upper half of an integer, as a constant array; and the
+    first of these that is heavy."""
+    words = distinct.select(F.explode(_words(F.col("line"))).alias("w"))
+    counts = dict(words.select(_place_of(F.xxhash64("w")).alias("place")).groupBy("place").count().collect())  # at most 65,536 rows
+    order = sorted(range(_PLACES), key=lambda p: (counts.get(p, 0), p))
     ranks = [0] * _PLACES
-    for rank, place in enumerate(sorted(range(_PLACES), key=lambda p: (counts.get(p, 0), p))):
-        ranks[place] = rank
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+    for rank, place in enumerate(order):
+        ranks[place] = (rank - _PLACES // 2) << 16
+    n_light = sum(counts.get(p, 0) <= HEAVY for p in order)
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>"), (n_light - _PLACES // 2) << 16
+
 
+def _prefix(n: str, over: int, under: int) -> Column:
+    """Words of n among which the first shared one is, where over / under of them are shared."""
+    return F.expr(f"{n} - ({over} * {n} + {under - 1}) div {under} + 1").cast("int")
 
-def _marks(distinct: DataFrame) -> DataFrame:
-    """(lid, doc, n, sig, sig2, keys) of each line: keys are its first words in order of rarity.
+
+def _marks(distinct: DataFrame, ranks: Column) -> DataFrame:
+    """(lid, lid2, doc, n, sig, sig2, keys) of each line: keys are its first words in order of rarity, and one more.
 
     A signature has a bit for each of 64 hashed classes of words, set where the line has an odd number of them. Each word that
     two lines don't share changes one bit at most. Long lines also have the signature of one half of all words, which gives that of the
     other half, and so 128 classes.
     """
-    ranks = _rarity(distinct)
-    d = distinct.select("lid", "doc", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
-    key = F.transform("h", lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(_PLACES - 1).cast("int")).cast("long"), 16).bitwiseOR(F.shiftrightunsigned(h, 17).bitwiseAND((1 << 16) - 1)))
-    sig = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 40).bitwiseAND(63).cast("int"))))
-    half = F.filter("h", lambda h: F.shiftrightunsigned(h, 50).bitwiseAND(1) == 1)
-    d = d.select("lid", "doc", F.size("h").alias("n"), sig("h").alias("sig"), F.when(F.size("h") > _LONG, sig(half)).otherwise(F.lit(0).cast("long")).alias("sig2"), F.sort_array(key).alias("keys"))
-    first = F.col("n") - F.expr(f"({OVER} * n + {UNDER - 1}) div {UNDER}").cast("int") + 1
-    return d.withColumn("keys", F.slice("keys", F.lit(1), first))
-
-
-def _postings(marks: DataFrame, part: int) -> DataFrame:
-    """(key, lid, doc, n, at, sig, sig2) for one of PARTS classes of keys."""
-    return marks.select("lid", "doc", "n", "sig", "sig2", F.posexplode("keys").alias("at", "key")).where(F.pmod("key", F.lit(PARTS)) == part)
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    d = distinct.select("lid", "lid2", "doc", F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("h"))
+    key = F.transform("h", lambda h: F.coalesce(F.get(ranks, _place_of(h)), F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 48).cast("int")))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 40).cast("int"))  # noqa: E731  (modulo 64)
+    sig = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+    half = F.filter("h", lambda h: F.shiftrightunsigned(h, 39).bitwiseAND(1) == 1)
+    d = d.select("lid", "lid2", "doc", F.size("h").alias("n"), sig("h").alias("sig"), F.when(F.size("h") > _LONG, sig(half)).otherwise(F.lit(0).cast("long")).alias("sig2"), F.sort_array(key).alias("keys"))
+    return d.withColumn("keys", F.slice("keys", F.lit(1), _prefix("n", OVER, UNDER) + 1))
+
+
+def _postings(marks: DataFrame, heavy: int, part: int, short: bool) -> DataFrame:
+    """(key, lid, doc, n, at, sig, sig2) for one of PARTS classes of keys. short: of the words that a line shares with longer ones."""
+    length = _prefix("n", 2 * OVER, OVER + UNDER) if short else _prefix("n", OVER, UNDER)
+    d = marks.select("lid", "doc", "n", "sig", "sig2", "keys", length.alias("length"), F.posexplode("keys").alias("at", "word"))
+    d = d.where((F.col("at") < F.col("length")) & (F.pmod("word", F.lit(PARTS)) == part))
+    alone = F.col("word").cast("long") * (1 << 32)
+    # the words behind a heavy one, up to the first that isn't in the prefix
+    behind = F.transform(F.slice("keys", F.col("at") + 2, F.col("length") - F.col("at")), lambda w: F.lit(1 << 31) + w)
+    beside = F.when((F.col("word") < heavy) | (F.col("n") == 1), F.array(F.lit(0).cast("long"))).otherwise(behind)
+    return d.select("lid", "doc", "n", "sig", "sig2", "at", alone.alias("alone"), F.explode(beside).alias("beside")).select((F.col("alone") + F.col("beside")).alias("key"), "lid", "doc", "n", "at", "sig", "sig2")
 
 
 def _may_match(x: str, y: str) -> Column:
     """The length filter, the positional filter at the first shared word (one word and all after it must be able to give the overlap), and the signatures: what isn't shared may be a ninth of both lines."""
-    a, b, i, j = (F.col(c).cast("long") for c in (f"{x}n", f"{y}n", f"{x}at", f"{y}at"))
+    a, b, i, j = (F.col(f"{c}") for c in (f"{x}n", f"{y}n", f"{x}at", f"{y}at"))
     overlap = 1 + F.least(a - i - 1, b - j - 1)
     most = (UNDER - OVER) * (a + b)
     bits = lambda c: F.bit_count(c) * (OVER + UNDER)
@@ -87,75 +122,85 @@ def _may_match(x: str, y: str) -> Column:
     return (UNDER * a >= OVER * b) & (UNDER * b >= OVER * a) & ((OVER + UNDER) * overlap >= OVER * (a + b)) & apart
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, broadcast where it is small."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def _verified(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(lid) of the later line of each pair (x, y) whose word sets are similar enough."""
+    """(lid, lid2) of the later line of each pair (x, y) whose word sets are similar enough."""
     pairs = materialize(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("x").alias("lid")).union(pairs.select("y")).distinct()
-    if pairs.count() <= FEW:
-        ids = F.broadcast(ids)
-    needed = materialize(distinct.join(ids, "lid", "left_semi").select("lid", F.array_distinct(_words(F.col("line"))).alias("w"), F.struct("doc", "rid", "pos", "lid").alias("o")), "needed")
+    words = F.array_remove(F.array_distinct(_words(F.col("line"))), "")
+    needed = distinct.join(F.broadcast(ids) if pairs.count() <= FEW else ids, "lid", "left_semi")
+    needed = materialize(needed.select("lid", words.alias("w"), F.struct("doc", "rid", "pos", "lid", "lid2").alias("o")), "needed")
     side = lambda c: needed.select(F.col("lid").alias(c), F.col("w").alias(f"{c}_w"), F.col("o").alias(f"{c}_o"))
     met = pairs.join(side("x"), "x").join(side("y"), "y")
     shared = F.size(F.array_intersect("x_w", "y_w"))
     similar = met.where((OVER + UNDER) * shared >= OVER * (F.size("x_w") + F.size("y_w")))
-    later = materialize(similar.select(F.when(F.col("x_o") > F.col("y_o"), F.col("x")).otherwise(F.col("y")).alias("lid")).distinct(), "later")
-    drop_table(pairs)
-    drop_table(needed)
+    later = materialize(similar.select(F.greatest("x_o", "y_o").alias("o")).select("o.lid", "o.lid2").distinct(), "later")
+    drop_table(pairs, needed)
     return later
 
 
-def _in_parts(pairs_of: Callable[[int], DataFrame]) -> DataFrame:
-    """The pairs of all classes of keys, one class after the other: what is shuffled at one time is a part of all postings."""
-    parts = [materialize(pairs_of(part).distinct(), "part") for part in range(PARTS)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+def _in_parts(pairs_of: Callable[[int], DataFrame], distinct: DataFrame) -> DataFrame:
+    """The later lines of the pairs of all classes of keys, found one class after the other."""
+    parts = [materialize(pairs_of(part), "part") for part in range(PARTS)]
+    later = _verified(reduce(DataFrame.union, parts), distinct)
+    drop_table(*parts)
+    return later
 
 
-def removed_lines(df: DataFrame) -> DataFrame:
-    """(rid, pos) of the lines that go: rid is the hash of the document's id and text."""
-    lines = _lines(df)
-    first = lines.groupBy("lid").agg(F.min(F.struct("doc", "rid", "pos", "line")).alias("f")).select("lid", "f.doc", "f.rid", "f.pos", "f.line")
-    distinct = materialize(first, "lines")
-    marks = materialize(_marks(distinct), "marks")
+def _removed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, rid, pos) of the lines that go, each first row of its id and text taken for itself; and (doc, rid) of rows that are repeated."""
+    entries = _lines(df, rows=True).groupBy("lid", "lid2").agg(F.min(F.struct("doc", "rid", "pos", "line")).alias("f"), F.count("*").alias("copies"))
+    entries = materialize(entries.select("lid", "lid2", "f.*", "copies").where("pos > 0 OR copies > 1"), "lines")
+    distinct = entries.where("pos > 0")
+    ranks, heavy = _rarity(distinct)
+    marks = materialize(_marks(distinct, ranks), "marks")
     by_word = Window.partitionBy("key").orderBy("doc", "lid")
 
     def with_lead(part: int) -> DataFrame:
         # the words that two lines of one length must share one of; which of a group's lines meet their lead first doesn't matter
-        few = F.col("at") <= F.expr(f"n - ({2 * OVER} * n + {OVER + UNDER - 1}) div {OVER + UNDER}")
-        listed = _postings(marks, part).where(few).withColumn("lead", F.first(F.struct("lid", "n", "at", "sig", "sig2")).over(by_word)).where("lead.lid <> lid")
+        listed = _postings(marks, heavy, part, short=True).withColumn("lead", F.first(F.struct("lid", "n", "at", "sig", "sig2")).over(by_word)).where("lead.lid <> lid")
         return listed.select("*", *(F.col(f"lead.{c}").alias(f"y_{c}") for c in ("n", "at", "sig", "sig2"))).where(_may_match("", "y_")).select(F.col("lid").alias("x"), F.col("lead.lid").alias("y"))
 
-    settled = _verified(_in_parts(with_lead), distinct)
-    if settled.count() <= FEW:
-        settled = F.broadcast(settled)
-    left = marks.join(settled, "lid", "left_anti")
+    settled = _in_parts(with_lead, distinct)
+    known = _few(settled)
+    open_, closed = (marks.join(known, ["lid", "lid2"], how) for how in ("left_anti", "left_semi"))
 
-    def with_earlier(part: int) -> DataFrame:
-        x = _postings(left, part).select("key", *(F.col(c).alias(f"x_{c}") for c in ("lid", "doc", "n", "at", "sig", "sig2")))
-        y = _postings(marks, part).select("key", *(F.col(c).alias(f"y_{c}") for c in ("lid", "doc", "n", "at", "sig", "sig2")))
-        return x.join(y, "key").where((F.col("y_doc") <= F.col("x_doc")) & (F.col("x_lid") != F.col("y_lid")) & _may_match("x_", "y_")).select(F.col("x_lid").alias("x"), F.col("y_lid").alias("y"))
+    def met(longer: DataFrame, shorter: DataFrame, part: int) -> DataFrame:
+        x, y = (_postings(m, heavy, part, short).select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("lid", "n", "at", "sig", "sig2"))) for m, s, short in ((longer, "x", False), (shorter, "y", True)))
+        once = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_lid") > F.col("y_lid")))
+        return x.join(y, "key").where(once & _may_match("x_", "y_")).select(F.col("x_lid").alias("x"), F.col("y_lid").alias("y"))
 
-    late = settled.union(_verified(_in_parts(with_earlier), distinct)).distinct()
-    place = materialize(distinct.select("lid", F.col("rid").alias("f_rid"), F.col("pos").alias("f_pos")).join(late.withColumn("late", F.lit(True)), "lid", "left"), "places")
-    for done in (distinct, marks):
-        drop_table(done)
-    again = (F.col("rid") != F.col("f_rid")) | (F.col("pos") != F.col("f_pos"))
-    return lines.select("rid", "pos", "lid").join(place, "lid").where(again | F.col("late").isNotNull()).select("rid", "pos")
+    late = settled.union(_in_parts(lambda part: met(open_, marks, part).union(met(closed, open_, part)), distinct)).distinct()
+    late = late.withColumn("late", F.lit(True))
+    first = distinct.select("lid", "lid2", *(F.col(c).alias(f"f_{c}") for c in ("doc", "rid", "pos")), "copies")
+    place = materialize(first.join(late, ["lid", "lid2"], "left").where("copies > 1 OR late").drop("copies"), "places")
+    repeated = materialize(entries.where("pos = 0").select("doc", "rid"), "repeated")
+    drop_table(entries, marks, settled)
+    again = F.col("late").isNotNull() | (F.struct("doc", "rid", "pos") != F.struct("f_doc", "f_rid", "f_pos"))
+    gone = _lines(df).select("doc", "rid", "pos", "lid", "lid2").join(_few(place), ["lid", "lid2"]).where(again).select("doc", "rid", "pos")
+    return gone, repeated
 
 
 def dedup_lines(df: DataFrame) -> DataFrame:
     """df with the text of the lines that stay, and n_lines_before, n_lines_removed."""
-    gone = materialize(removed_lines(df).groupBy("rid").agg(F.collect_set("pos").alias("gone")).withColumnRenamed("rid", "_gone_rid"), "gone")
-    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.xxhash64("doc_id", "text").alias("_rid"))
-    met = whole.join(gone, F.col("_rid") == F.col("_gone_rid"), "left").withColumn("_lines", F.split("_row.text", "\n"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+    found, repeated = _removed(df)
+    gone = _few(materialize(found.groupBy("doc", "rid").agg(F.collect_set("pos").alias("gone")), "gone"))
+    whole = _places(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), "doc_id", "text")).select("_row", "doc", "rid")
+    met = whole.join(gone, ["doc", "rid"], "left")
+    met = met.withColumn("_lines", F.split("_row.text", "\n")).withColumn("_worded", F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: F.get("_lines", i - 1).rlike(_HAS_WORD)))
+    if repeated.limit(1).count():
+        again = met.join(_few(repeated), ["doc", "rid"], "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc", "rid").orderBy(F.xxhash64("_row"))))
+        again = again.withColumn("gone", F.when(F.col("_nth") > 1, F.col("_worded")).otherwise(F.col("gone"))).drop("_nth")
+        met = met.join(_few(repeated), ["doc", "rid"], "left_anti").unionByName(again)
+    kept = F.array_except(F.sequence(F.lit(1), F.size("_lines")), "gone")
+    text = F.when(F.col("gone").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i - 1)), "\n"))
     met = met.withColumn("_text", text)
     changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
-    return met.select(*(changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in df.columns), F.coalesce(F.size(F.filter("_lines", has_word)), F.lit(0)).cast("long").alias("n_lines_before"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_lines_removed"))
+    return met.select(*(changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in df.columns), F.coalesce(F.size("_worded"), F.lit(0)).cast("long").alias("n_lines_before"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_lines_removed"))
 
 
 def line_dedup_report(df: DataFrame) -> DataFrame:
