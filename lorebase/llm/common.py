@@ -17,6 +17,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 #: The setting by which Spark deletes the shuffle files of a query that has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows up to which a table is broadcast.
+FEW = 500_000
 _own_dir: list[str] = []
 _recording: list[list[str]] = []
 
@@ -62,6 +64,11 @@ def _no_shuffle_files_left(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
+def few(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df, broadcast where it has few rows; else joins with it shuffle."""
+    return F.broadcast(df) if df.count() <= (FEW if limit is None else limit) else df
+
+
 def drop_table(*tables: DataFrame) -> None:
     """Removes the files of materialized tables that nothing will read again."""
     for df in tables:

@@ -19,15 +19,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         move = materialize(ends.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("to")), name)
-        if labels is None:
-            after = move.select("node", F.col("to").alias("label"))
-        else:
-            moved = move.select(F.col("node").alias("n"), "to")
-            after = materialize(labels.join(moved, F.col("label") == F.col("n"), "left").select("node", F.coalesce("to", "label").alias("label")), name)
-        labels = after
         left, right = (move.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b"))
         fewer = materialize(edges.join(left, "a").join(right, "b").where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), f"{name}-edges")
         drop_table(edges)
         edges = fewer
+        if labels is None:
+            labels = move.withColumnRenamed("to", "label")
+        else:
+            moved = move.select(F.col("node").alias("n"), "to")
+            after = materialize(labels.join(moved, F.col("label") == F.col("n"), "left").select("node", F.coalesce("to", "label").alias("label")), name)
+            drop_table(labels)
+            drop_table(move)
+            labels = after
         if not edges.limit(1).count():
+            drop_table(edges)
             return labels

@@ -26,15 +26,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import FEW, drop_table, few, materialize
 
 #: Similarity is 4 / 5; whole numbers keep the comparison exact.
 OVER, UNDER = 4, 5
 _PLACES = 1 << 16
 #: Words above which a line has a second signature; lines with a word (as its place counts them) above which the word is joined on with another one.
 _LONG, HEAVY = 80, 1 << 14
-#: Classes of keys that are joined one after the other, so that a third of all lists is shuffled at a time; rows up to which a side is broadcast.
-PARTS, FEW = 3, 500_000
+#: Classes of keys that are joined one after the other, so that a third of all lists is shuffled at a time, whatever the input's size.
+PARTS = 3
 _LAST = (1 << 63) - 1
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -122,11 +122,6 @@ def _may_match(x: str, y: str) -> Column:
     return (UNDER * a >= OVER * b) & (UNDER * b >= OVER * a) & ((OVER + UNDER) * overlap >= OVER * (a + b)) & apart
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """df, broadcast where it is small."""
-    return F.broadcast(df) if df.count() <= FEW else df
-
-
 def _verified(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(lid, lid2) of the later line of each pair (x, y) whose word sets are similar enough."""
     pairs = materialize(pairs.distinct(), "pairs")
@@ -166,7 +161,7 @@ def _removed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         return listed.select("*", *(F.col(f"lead.{c}").alias(f"y_{c}") for c in ("n", "at", "sig", "sig2"))).where(_may_match("", "y_")).select(F.col("lid").alias("x"), F.col("lead.lid").alias("y"))
 
     settled = _in_parts(with_lead, distinct)
-    known = _few(settled)
+    known = few(settled)
     open_, closed = (marks.join(known, ["lid", "lid2"], how) for how in ("left_anti", "left_semi"))
 
     def met(longer: DataFrame, shorter: DataFrame, part: int) -> DataFrame:
@@ -181,21 +176,21 @@ def _removed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     repeated = materialize(entries.where("pos = 0").select("doc", "rid"), "repeated")
     drop_table(entries, marks, settled)
     again = F.col("late").isNotNull() | (F.struct("doc", "rid", "pos") != F.struct("f_doc", "f_rid", "f_pos"))
-    gone = _lines(df).select("doc", "rid", "pos", "lid", "lid2").join(_few(place), ["lid", "lid2"]).where(again).select("doc", "rid", "pos")
+    gone = _lines(df).select("doc", "rid", "pos", "lid", "lid2").join(few(place), ["lid", "lid2"]).where(again).select("doc", "rid", "pos")
     return gone, repeated
 
 
 def dedup_lines(df: DataFrame) -> DataFrame:
     """df with the text of the lines that stay, and n_lines_before, n_lines_removed."""
     found, repeated = _removed(df)
-    gone = _few(materialize(found.groupBy("doc", "rid").agg(F.collect_set("pos").alias("gone")), "gone"))
+    gone = few(materialize(found.groupBy("doc", "rid").agg(F.collect_set("pos").alias("gone")), "gone"))
     whole = _places(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), "doc_id", "text")).select("_row", "doc", "rid")
     met = whole.join(gone, ["doc", "rid"], "left")
     met = met.withColumn("_lines", F.split("_row.text", "\n")).withColumn("_worded", F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: F.get("_lines", i - 1).rlike(_HAS_WORD)))
     if repeated.limit(1).count():
-        again = met.join(_few(repeated), ["doc", "rid"], "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc", "rid").orderBy(F.xxhash64("_row"))))
+        again = met.join(few(repeated), ["doc", "rid"], "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc", "rid").orderBy(F.xxhash64("_row"))))
         again = again.withColumn("gone", F.when(F.col("_nth") > 1, F.col("_worded")).otherwise(F.col("gone"))).drop("_nth")
-        met = met.join(_few(repeated), ["doc", "rid"], "left_anti").unionByName(again)
+        met = met.join(few(repeated), ["doc", "rid"], "left_anti").unionByName(again)
     kept = F.array_except(F.sequence(F.lit(1), F.size("_lines")), "gone")
     text = F.when(F.col("gone").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i - 1)), "\n"))
     met = met.withColumn("_text", text)

@@ -1,16 +1,18 @@
 """Near-duplicate documents by DartMinHash signatures and a banded join, verified exactly.
 
-Each distinct shingle of five words is an element with a weighted region (weight x rank); hashed darts land in it at a rate of
-one a unit of area, so equal elements get equal darts in every text. A dart belongs to one coordinate of the signature,
-and the dart of least rank stays for each. Ranks are searched up to a bound that fills a signature for most texts; the
-bound doubles for those with empty coordinates. Two signatures agree at a coordinate with the weighted Jaccard
-similarity as probability. 32 bands of 4 coordinates miss a pair at 0.8 with probability under 1e-7.
+Each distinct shingle of five words is an element; its weight is the number of its places in the text. Hashed darts land in
+its region (weight x rank) at a rate of one a unit of area, so what two texts share of a region gets equal darts in both. A dart
+belongs to one coordinate of the signature, and the dart of least rank stays for each. Ranks are searched up to a bound that fills a
+signature for most texts; the bound doubles for those with empty coordinates. Two signatures agree at a coordinate with the
+weighted Jaccard similarity (sum of the lesser weights over that of the greater ones) as probability. 32 bands of 4 coordinates
+miss a pair at 0.8 with probability under 1e-7.
 
 Equal texts are one node (by a 64-bit hash of the text). Texts that share a band key are joined to the bucket's least
-text, never to one another, and the components of those stars are the groups to look at. A group of up to BLOCK texts is
-compared whole, exactly, by its shingle sets. A larger group is first verified against its stars; only texts outside
-the largest verified class meet all texts of the group, block by block. So no link between different texts is lost,
-and a class of thousands isn't expanded into pairs.
+text, never to one another, and the components of those stars are the groups to look at. A group of up to BLOCK texts (and
+BLOCK_SHINGLES shingles in all) is compared whole, exactly, by its weighted sets. In a larger group each text is first compared with one
+text, of its buckets' least ones that which most others have too; only texts outside the largest verified class meet all texts of the
+group, block by block, each block by itself. So no link between different texts is lost, and a class of thousands isn't expanded
+into pairs.
 
 Results have one row a document: doc_id, class_id (the least doc_id of its class; its own where it has no near
 duplicate). Texts of one to four words are one shingle. Null texts and texts without words form no class with others; a null doc_id gets class_id
@@ -27,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import FEW, drop_table, few, materialize
 from .components import components
 from .words import column_bytes, mix, slices, spans, window_hashes, word_hashes
 
 BANDS, ROWS = 32, 4
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 4 << 20
 _U = np.uint64
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 
@@ -92,11 +94,20 @@ def shingles(column: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate([windows[inside], extra]), np.concatenate([owner[: len(windows)][inside], short]), counts
 
 
+def weighted(elements: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(element, owner, places) of each distinct element of each owner, by owner."""
+    order = np.lexsort((elements, owner))
+    elements, owner = elements[order], owner[order]
+    new = np.flatnonzero(np.r_[True, (elements[1:] != elements[:-1]) | (owner[1:] != owner[:-1])]) if len(elements) else np.zeros(0, np.int64)
+    return elements[new], owner[new], np.diff(np.r_[new, len(elements)])
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", 2 << 20):
             elements, owner, counts = shingles(batch.column("text"))
-            signature = dart_signatures(elements, owner, len(counts), BANDS * ROWS)
+            elements, owner, places = weighted(elements, owner)
+            signature = dart_signatures(elements, owner, len(counts), BANDS * ROWS, places.astype(np.float64))
             keys = np.zeros((len(counts), BANDS), _U)
             for r in range(ROWS):
                 keys = mix(keys * _U(31) + signature[:, r::ROWS][:, :BANDS])
@@ -107,15 +118,17 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted sets as plain ones: the n-th place of a shingle is an element of its own, so plain similarity is the weighted one."""
     for whole in batches:
         for batch in slices(whole, "text"):
             elements, owner, counts = shingles(batch.column("text"))
-            order = np.lexsort((elements, owner))
-            elements, owner = elements[order], owner[order]
-            new = np.r_[True, (elements[1:] != elements[:-1]) | (owner[1:] != owner[:-1])] if len(elements) else np.zeros(0, bool)
-            elements, owner = elements[new], owner[new]
+            elements, owner, places = weighted(elements, owner)
+            nth = np.arange(places.sum()) - np.repeat(np.cumsum(places) - places, places)
+            owner = np.repeat(owner, places)
+            elements = mix(np.repeat(elements, places) + mix(nth.astype(_U)))
             cuts = np.searchsorted(owner, np.arange(len(counts) + 1))
-            yield pa.record_batch([batch.column("tid"), pa.array([elements[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["tid", "shingles"])
+            packed = pa.array([elements[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
+            yield pa.record_batch([batch.column("tid"), packed, pa.array(np.diff(cuts), pa.int64())], names=["tid", "shingles", "n"])
 
 
 def _similar(left: list[np.ndarray], right: list[np.ndarray] | None, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -176,42 +189,54 @@ def near_links(texts: DataFrame, least: float = 0.8) -> DataFrame:
     buckets = bands.groupBy("band").agg(F.min("tid").alias("leader"), F.max("tid").alias("other")).where("leader <> other")
     stars = materialize(bands.join(buckets.select("band", "leader"), "band").where("tid <> leader").select(F.col("tid").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
     drop_table(bands)
-    groups = materialize(components(stars, "groups").select(F.col("node").alias("tid"), F.col("label").alias("group")), "grouped")
-    sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
-    # always a sort-merge join: what fits a broadcast here wouldn't on a larger corpus
-    members = texts.join(groups.hint("merge"), "tid").dropDuplicates(["tid"]).select("tid", "text")
-    sets = materialize(members.mapInArrow(_sets, "tid long, shingles binary"), "sets")
-    sized = materialize(groups.join(sizes, "group"), "sized")
+    groups = components(stars, "groups").select(F.col("node").alias("tid"), F.col("label").alias("group"))
+    # copies of a text are one before the exchange, in either order
+    near = few(groups.select("tid"))
+    members = texts.join(near, "tid", "left_semi").dropDuplicates(["tid"]) if groups.count() <= FEW else texts.dropDuplicates(["tid"]).join(near, "tid", "left_semi")
+    sets = materialize(members.select("tid", "text").mapInArrow(_sets, "tid long, shingles binary, n long"), "sets")
+    placed = groups.join(sets.select("tid", "n"), "tid")
+    sizes = few(materialize(placed.groupBy("group").agg(F.count("*").alias("size"), F.sum("n").alias("total")), "sizes"))
+    sized = materialize(placed.join(sizes, "group").withColumn("whole", (F.col("size") <= BLOCK) & (F.col("total") <= BLOCK_SHINGLES)), "sized")
+    drop_table(groups)
+    packed = F.collect_list(F.struct("tid", "shingles"))
     # small groups whole
-    small = sized.where(F.col("size") <= BLOCK).join(sets, "tid").groupBy("group").agg(F.collect_list(F.struct("tid", "shingles")).alias("x"))
+    small = sized.where("whole").select("tid", "group").join(sets, "tid").groupBy("group").agg(packed.alias("x"))
     found = materialize(small.select("x", F.lit(None).cast("array<struct<tid:long,shingles:binary>>").alias("y")).mapInArrow(_links(least), "a long, b long"), "links")
-    large = sized.where(F.col("size") > BLOCK)
+    large = sized.where("NOT whole")
     if not large.limit(1).count():
+        drop_table(stars, sets, sized)
         return found
-    # large groups: stars first
+    # large groups: each text with one other first
+    stars = materialize(stars.join(few(large.select("tid")), F.col("a") == F.col("tid"), "left_semi"), "large-stars")
+    popular = stars.groupBy("b").agg(F.count("*").alias("n"))
+    nearest = stars.join(popular, "b").groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", "m.b")
     of = lambda c: sets.select(F.col("tid").alias(c), F.array(F.struct("tid", "shingles")).alias("x" if c == "a" else "y"))
-    stars = stars.join(large.select(F.col("tid").alias("a")), "a", "left_semi")
-    verified = materialize(stars.join(of("a"), "a").join(of("b"), "b").select("x", "y").mapInArrow(_links(least), "a long, b long"), "verified")
+    verified = materialize(nearest.join(of("a"), "a").join(of("b"), "b").select("x", "y").mapInArrow(_links(least), "a long, b long"), "verified")
     labels = components(verified, "verified")
     labelled = large.join(labels.select(F.col("node").alias("tid"), "label"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     labelled = materialize(labelled, "labelled")
-    most = labelled.groupBy("group", "label").count().groupBy("group").agg(F.max(F.struct("count", "label")).alias("m")).select(F.col("group").alias("g"), F.col("m.label").alias("main"))
-    placed = labelled.join(most, F.col("group") == F.col("g")).withColumn("rest", F.col("label") != F.col("main")).select("tid", "group", "rest")
+    most = labelled.groupBy("group", "label").count().groupBy("group").agg(F.max(F.struct("count", "label")).alias("m")).select("group", F.col("m.label").alias("main"))
     # a place in its group: by hash ranges, so that no group is numbered in one task
-    n = F.pmod(F.xxhash64("tid"), F.greatest(F.lit(1), F.ceil(F.col("size") * 2 / BLOCK)))
-    placed = placed.join(sizes, "group").withColumn("block", n.cast("long"))
-    full = placed.join(sets, "tid")
-    every = materialize(full.groupBy("group", "block").agg(F.collect_list(F.struct("tid", "shingles")).alias("y")), "every")
-    rest = full.where("rest").groupBy("group", "block").agg(F.collect_list(F.struct("tid", "shingles")).alias("x")).withColumnRenamed("block", "rest_block")
-    pairs = rest.join(every, "group").select("x", "y")
-    more = materialize(pairs.mapInArrow(_links(least), "a long, b long"), "more-links")
-    return found.unionByName(verified).unionByName(more)
+    n_blocks = F.ceil(F.greatest(F.lit(1), F.col("size") * 2 / BLOCK, F.col("total") * 2 / BLOCK_SHINGLES))
+    placed = labelled.join(most, "group").withColumn("blocks", n_blocks.cast("long"))
+    placed = placed.select("tid", "group", "blocks", (F.col("label") != F.col("main")).alias("rest"), F.pmod(F.xxhash64("tid"), "blocks").alias("block"))
+    every = placed.join(sets, "tid").groupBy("group", "block").agg(packed.alias("y"))
+    # a block of the rest is sent to each block of its group
+    rest = placed.where("rest").join(sets, "tid").groupBy("group", "blocks", "block").agg(packed.alias("x"))
+    rest = rest.select("group", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    more = materialize(rest.join(every, ["group", "block"]).select("x", "y").mapInArrow(_links(least), "a long, b long"), "more-links")
+    out = materialize(found.unionByName(verified).unionByName(more), "all-links")
+    drop_table(stars, sets, sized, labels, labelled, found, verified, more)
+    return out
 
 
 def near_classes(df: DataFrame, least: float = 0.8, text_col: str = "text") -> DataFrame:
     """(tid, class_tid) for every text that has a near duplicate with a different text."""
     texts = df.select(F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
-    return components(near_links(texts, least), "classes").select(F.col("node").alias("tid"), F.col("label").alias("class_tid"))
+    links = near_links(texts, least)
+    classes = components(links, "classes")
+    drop_table(links)
+    return classes.select(F.col("node").alias("tid"), F.col("label").alias("class_tid"))
 
 
 def near_duplicates(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

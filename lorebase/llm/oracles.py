@@ -33,9 +33,9 @@ SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0)
 
 NEAR_DUPLICATES = f"""
 WITH RECURSIVE x AS (SELECT min(doc_id) AS tid, text, regexp_extract_all(text, {_W}) AS ws FROM documents WHERE text IS NOT NULL GROUP BY text),
-g AS (SELECT tid, list_distinct(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) END) AS gs FROM x WHERE len(ws) > 0),
-u AS (SELECT tid, len(gs) AS n, unnest(gs) AS sh FROM g),
-e AS (SELECT a.tid AS a, b.tid AS b FROM u AS a JOIN u AS b ON a.sh = b.sh AND a.tid <> b.tid GROUP BY a.tid, b.tid, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+g AS (SELECT tid, CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) END AS gs FROM x WHERE len(ws) > 0),
+u AS (SELECT tid, n, sh, count(*) AS w FROM (SELECT tid, len(gs) AS n, unnest(gs) AS sh FROM g) GROUP BY tid, n, sh),
+e AS (SELECT a.tid AS a, b.tid AS b FROM u AS a JOIN u AS b ON a.sh = b.sh AND a.tid <> b.tid GROUP BY a.tid, b.tid, a.n, b.n HAVING 5 * sum(least(a.w, b.w)) >= 4 * (a.n + b.n - sum(least(a.w, b.w)))),
 reach AS (SELECT tid AS a, tid AS b FROM x UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
 c AS (SELECT a AS tid, min(b) AS class_id FROM reach GROUP BY a)
 SELECT documents.doc_id, CASE WHEN x.ws IS NULL OR len(x.ws) = 0 THEN documents.doc_id ELSE class_id END AS class_id FROM documents LEFT JOIN x ON documents.text = x.text LEFT JOIN c ON c.tid = x.tid
