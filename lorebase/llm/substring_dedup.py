@@ -9,7 +9,8 @@ windows are judged on the input.
    windows join up to passages: one copy of all that is repeated.
 3. Passages are dealt to shards by anchor; a shard of more than SHARD_WORDS words is split. Suffix automata of shards meet blocks of at
    most BLOCK document runs with anchors of that shard. A matching statistic of at least `width` words marks its window.
-   A passage that a third of all documents hold is one passage in one small shard, and the runs that meet it are spread over many blocks.
+   A passage that a third of all documents hold is one passage in one small shard; that shard is copied to each TOGETHER blocks of the runs
+   that meet it, and a task gets no more of them under one key.
 
 Hashes have 64 bits. Null and empty texts have no words. Rows with equal id and text are documents of their own (each is repeated by the
 other), and get equal results; null ids are ids like any other. An empty table gives no rows. Further columns are ignored.
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import drop_table, few, materialize
 from .words import column_bytes, slices, spans, window_hashes, word_hashes
 
-SHARD_WORDS, BLOCK = 200_000, 2000
+SHARD_WORDS, BLOCK, TOGETHER = 200_000, 2000, 4
 
 
 class SuffixAutomaton:
@@ -300,10 +301,14 @@ def remove_repeats(df: DataFrame, width: int = 35, anchor: int = 8, id_col: str
     runs = same.mapInArrow(_runs(width, anchor), "anchor long, rid long, start int, text binary").withColumn("shard", _shard("anchor", n_shards))
     runs = materialize(runs.drop("anchor"), "runs")
     blocks_of = runs.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocks = runs.join(blocks_of, "shard").withColumn("block", F.pmod(F.xxhash64("rid", "start"), "blocks")).groupBy("shard", "block").agg(F.collect_list(F.struct("rid", "start", "text")).alias("members"))
-    met = blocks.join(shards, "shard").select("shard", "sub", "passages", "members")
+    runs_of = runs.join(few(blocks_of), "shard").withColumn("block", F.pmod(F.xxhash64("rid", "start"), "blocks")).withColumn("heap", F.floor(F.col("block") / TOGETHER))
+    # dealt by heap, or else the grouping would stay with the join on the shard, in one task for a hot one
+    blocks = runs_of.repartition("shard", "heap").groupBy("shard", "heap", "block").agg(F.collect_list(F.struct("rid", "start", "text")).alias("members"))
+    heaps_of = blocks_of.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / TOGETHER))).alias("heap"))
+    copies = shards.join(heaps_of, "shard").repartition("shard", "heap")
+    met = blocks.join(copies, ["shard", "heap"]).select("shard", "sub", "passages", "members")
     marks = materialize(met.mapInArrow(_match(width), "rid long, starts binary"), "marks")
-    drop_table(runs)
+    drop_table(runs, passages)
     marked = marks.groupBy("rid").agg(F.collect_list("starts").alias("starts"))
     cut = texts.select("rid", "doc_id", "text").join(marked, "rid", "left").select("doc_id", "text", "starts").mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     done = parted.where("anchors IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
