@@ -6,7 +6,8 @@ the smallest gap seen so far that holds it (its successor), and what remains of
 their own range take, by rank, gaps that ranges before it have left, nearest first; those ranges hold only larger
 sizes, so any of these fits. That pairing works on counts of the ranges (one row a range), so a round costs one sort and
 one join, each even over the tasks whatever the lengths' distribution. Where the pieces still left need more room than all gaps have, or
-none was placed, the largest open new sequences. When few rows are left, one sweep ends the work.
+none was placed, the largest open new sequences. Every input has a round of at least FIRST_RANGES ranges; when few rows are left after
+a round, the last round is one sweep of one range, which ends the work.
 
 Null texts are empty: a document of the end id alone. Null and repeated ids are allowed, each row is a document; an empty
 table gives no rows. Columns besides the two named are ignored by pack_documents() and kept by pack_rows().
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import few, materialize
 from .encoding import encoder
 from .words import slices
 
@@ -32,8 +33,10 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _STATE = "kind int, size long, uid long, doc_id long, piece int, start long, ids_crc32 long, seq long, offset long"
 _SWEPT = f"{_STATE}, part int, nth long"
 _NAMES = [x.split()[0] for x in _SWEPT.split(", ")]
-#: Rows that one range has about; with no more than twice as many rows in all, one sweep ends the work.
+#: Rows that one range has about; with no more than twice as many rows left after a round, one sweep ends the work.
 RANGE_ROWS = 25_000
+#: The least ranges of the first round, and the most of any: the list of ranges goes through the driver, so beyond that ranges grow.
+FIRST_RANGES, MOST_RANGES = 8, 20_000
 #: Kinds of rows: what is placed, a piece to be placed, a sequence with a gap.
 _PLACED, _PIECES, _GAPS = 0, 1, 2
 
@@ -73,17 +76,28 @@ def _sweep(capacity: int, alone: bool):
             return
         t = pa.concat_tables(tables).combine_chunks()
         kind, size, uid, seq, offset = (t.column(c).fill_null(-1).to_numpy().copy() for c in ("kind", "size", "uid", "seq", "offset"))
-        gaps: list[tuple[int, int]] = []
+        sizes: list[int] = []  # of gaps, in order
+        gaps: dict[int, list[int]] = {}  # the sequences that have a gap of each size
         nth = np.full(len(size), -1, np.int64)
         n_left = 0
+
+        def offer(gap: int, s: int) -> None:
+            if gap not in gaps:
+                gaps[gap] = []
+                insort(sizes, gap)
+            gaps[gap].append(s)
+
         for i in range(len(size)):
+            n = int(size[i])
             if kind[i] == _GAPS:
-                insort(gaps, (int(size[i]), int(seq[i])))
+                offer(n, int(seq[i]))
                 continue
-            n = int(size[i])
-            at = bisect_left(gaps, (n, -1))
-            if at < len(gaps):
-                gap, s = gaps.pop(at)
+            at = bisect_left(sizes, n)
+            if at < len(sizes):
+                gap = sizes[at]
+                s = gaps[gap].pop()
+                if not gaps[gap]:
+                    del gaps[gap], sizes[at]
             elif alone:
                 gap, s = capacity, int(uid[i])
             else:
@@ -91,7 +105,7 @@ def _sweep(capacity: int, alone: bool):
                 continue
             kind[i], seq[i], offset[i] = _PLACED, s, capacity - gap
             if gap > n:
-                insort(gaps, (gap - n, s))
+                offer(gap - n, s)
         least = int(size[-1])
         keep = np.flatnonzero(kind != _GAPS)
         out = t.take(keep)
@@ -103,10 +117,11 @@ def _sweep(capacity: int, alone: bool):
         yield from out.select(_NAMES).combine_chunks().to_batches()
         if not alone and gaps:
             # gaps that hold any piece of later ranges are ranked, smallest first
-            size_left = np.array([g for g, _ in gaps], np.int64)
-            ranks = np.where(size_left >= least, np.arange(len(gaps)) - int(np.searchsorted(size_left, least)), -1)
-            none = pa.nulls(len(gaps), pa.int64())
-            columns = {"kind": pa.array(np.full(len(gaps), _GAPS, np.int32)), "size": pa.array(size_left), "piece": pa.nulls(len(gaps), pa.int32()), "seq": pa.array([s for _, s in gaps]), "part": pa.array(np.full(len(gaps), part, np.int32)), "nth": pa.array(ranks)}
+            size_left = np.array([g for g in sizes for _ in gaps[g]], np.int64)
+            ranks = np.where(size_left >= least, np.arange(len(size_left)) - int(np.searchsorted(size_left, least)), -1)
+            n = len(size_left)
+            none = pa.nulls(n, pa.int64())
+            columns = {"kind": pa.array(np.full(n, _GAPS, np.int32)), "size": pa.array(size_left), "piece": pa.nulls(n, pa.int32()), "seq": pa.array([s for g in sizes for s in gaps[g]]), "part": pa.array(np.full(n, part, np.int32)), "nth": pa.array(ranks)}
             yield pa.record_batch([columns.get(c, none) for c in _NAMES], names=_NAMES)
 
     return sweep
@@ -152,14 +167,17 @@ def pack_rows(pieces_df: DataFrame, capacity: int) -> DataFrame:
     done = [state.where(opens).withColumns({"kind": F.lit(_PLACED), "seq": F.col("uid"), "offset": F.lit(0).cast("long")}).select(names)]
     gap_of = lambda df, size: df.select(F.lit(_GAPS).alias("kind"), size.alias("size"), *(F.lit(None).cast("int" if c == "piece" else "long").alias(c) for c in names[2:-2]), F.col("seq"), F.lit(None).cast("long").alias("offset"))
     state = state.where(~opens).unionByName(gap_of(state.where(opens & (F.col("size") < capacity)).withColumn("seq", F.col("uid")), F.lit(capacity) - F.col("size")))
+    rounds = 0
     while True:
         found = state.groupBy().agg(F.count(F.when(F.col("kind") == _PIECES, 1)).alias("pieces"), F.count("*").alias("rows"), F.min(F.when(F.col("kind") == _PIECES, F.col("size"))).alias("least")).first()
         if not found["pieces"]:
             break
         state = state.where((F.col("kind") == _PIECES) | (F.col("size") >= found["least"]))  # other gaps stay as they are
         order = [F.desc("size"), F.desc("kind"), F.xxhash64("uid", "seq")]
-        alone = found["rows"] <= 2 * RANGE_ROWS
-        dealt = state.coalesce(1) if alone else state.repartitionByRange(-(-found["rows"] // RANGE_ROWS), *order)
+        alone = rounds > 0 and found["rows"] <= 2 * RANGE_ROWS
+        ranges = min(MOST_RANGES, max(1 if rounds else FIRST_RANGES, -(-found["rows"] // RANGE_ROWS)))
+        rounds += 1
+        dealt = state.coalesce(1) if alone else state.repartitionByRange(ranges, *order)
         swept = materialize(dealt.sortWithinPartitions(*order).mapInArrow(_sweep(capacity, alone), _SWEPT), "swept")
         done.append(swept.where(F.col("kind") == _PLACED).select(names))
         if alone:
@@ -169,7 +187,9 @@ def pack_rows(pieces_df: DataFrame, capacity: int) -> DataFrame:
             F.count(F.when((F.col("kind") == _GAPS) & (F.col("nth") >= 0), 1)).alias("g"), F.coalesce(F.sum(F.when(F.col("kind") == _GAPS, F.col("size"))), F.lit(0)).alias("room"))
         links, opened = _pair_ranges(sorted((r["part"], r["p"], r["m"], r["g"], r["room"]) for r in counts.collect()), capacity)
         runs = spark.createDataFrame([(p, a, b, q, c) for p, a, b, q, c in links] + [(p, a, b, -1, 0) for p, a, b in opened], "r_part int, r_from long, r_to long, r_gaps int, r_first long")
-        left = swept.where(F.col("kind") == _PIECES).join(F.broadcast(runs), (F.col("part") == F.col("r_part")) & (F.col("nth") >= F.col("r_from")) & (F.col("nth") < F.col("r_to")), "left")
+        # each range begins and ends few runs, and there are MOST_RANGES ranges at most
+        runs = few(runs)
+        left = swept.where(F.col("kind") == _PIECES).join(runs, (F.col("part") == F.col("r_part")) & (F.col("nth") >= F.col("r_from")) & (F.col("nth") < F.col("r_to")), "left")
         takes = left.where(F.col("r_gaps") >= 0).select(F.col("r_gaps").alias("t_part"), (F.col("r_first") + F.col("nth") - F.col("r_from")).alias("t_nth"), F.struct(*names).alias("taker"))
         gaps = swept.where(F.col("kind") == _GAPS)
         met = gaps.join(takes, (gaps["part"] == takes["t_part"]) & (gaps["nth"] == takes["t_nth"]), "left")
