@@ -105,12 +105,17 @@ def vocabulary_of(path: str) -> tuple[str, ...]:
     return tuple(x for text in sorted(found) for x in (text, f"##{text}"))
 
 
+@lru_cache(1)
+def automaton_of(path: str) -> Automaton:
+    """One for each Python worker: its cache serves all tasks that the worker runs."""
+    return Automaton(list(vocabulary_of(path)))
+
+
 def _counter(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, automaton = re.compile(WORD).findall, None
+        words, automaton = re.compile(WORD).findall, automaton_of(path)
         for whole in batches:
             for batch in slices(whole, "text"):
-                automaton = automaton or Automaton(list(vocabulary_of(path)))
                 n_words, n_tokens, n_unknown = [], [], []
                 for text in batch.column("text").to_pylist():
                     counts = list(map(automaton.__getitem__, words(text.lower()))) if text else []

@@ -14,6 +14,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 from lorebase.llm import common, line_dedup, mixing, near_dedup, packing, quality_crf, quality_rules, substring_dedup, token_counts, token_output, vector_topk
+from lorebase.llm.common import materialize
 from lorebase.llm.components import components
 from lorebase.llm.encoding import Encoder
 from pyspark.sql import functions as F
@@ -79,11 +80,14 @@ def test_packing(spark, sample, monkeypatch, range_rows):
     df = frame(spark, ODD).unionByName(sample.withColumn("doc_id", F.col("doc_id") + 1000))
     rows = packing.pack_documents(df, BYTE, 0, 512).toPandas()
     tok = Tokenizer.from_file(BYTE)
-    for text, doc_id in ((None, 1), (ODD[7][1], 6)):
+    want = Counter()
+    for doc_id, text in df.select("doc_id", "text").collect():
         ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
-        mine = rows[rows.doc_id == doc_id].sort_values("piece")
-        crc = {zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(mine.start, mine.length, strict=True)}
-        assert crc <= set(rows.ids_crc32) and (mine[mine.piece > 0].length == 512).all()
+        first = (len(ids) - 1) % 512 + 1
+        for piece, start in enumerate([0, *range(first, len(ids), 512)]):
+            n = 512 if piece else first
+            want[doc_id, piece, start, n, zlib.crc32(ids[start : start + n].tobytes())] += 1
+    assert Counter((None if d != d else d, p, s, n, c) for d, p, s, n, c in zip(rows.doc_id, rows.piece, rows.start, rows.length, rows.ids_crc32, strict=True)) == want
     total = sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for (t,) in df.select("text").collect())
     assert rows.length.sum() == total
     by = rows.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
@@ -109,6 +113,31 @@ def test_word_piece_counts(spark):
     assert rows[1, 0]["n_tokens"] == 0 and rows[4, 1]["n_tokens"] == 1 and rows[6, 9000]["n_tokens"] == 9000
 
 
+def test_word_piece_counts_of_a_table(spark, sample):
+    """Against a greedy splitter that tries all prefixes, longest first."""
+    entries = set(token_counts.vocabulary_of(WORD))
+    longest = max(map(len, entries))
+    known = {}
+
+    def pieces(word):
+        if word not in known:
+            at, n = 0, 0
+            while at < len(word):
+                size = next((k for k in range(min(longest, len(word) - at), 0, -1) if ("##" if at else "") + word[at : at + k] in entries), 0)
+                if not size:
+                    n = -1
+                    break
+                at, n = at + size, n + 1
+            known[word] = n
+        return known[word]
+
+    want = Counter()
+    for doc_id, text in sample.select("doc_id", "text").collect():
+        found = [pieces(w) for w in words((text or "").lower())]
+        want[doc_id, len(found), sum(1 if n < 0 else n for n in found), sum(n < 0 for n in found)] += 1
+    assert Counter(map(tuple, token_counts.token_counts(sample, WORD).collect())) == want
+
+
 # quality
 
 
@@ -193,6 +222,35 @@ def test_substring_dedup(spark, sample):
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_hot_passage_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK", 20)
+    passage = " ".join(f"p{i}" for i in range(60))
+    df = frame(spark, [(i, f"{passage} own{i}") for i in range(600)] + [(1000 + i, f"alone{i} " * 5) for i in range(1200)])
+    rows = substring_dedup.remove_repeats(df).collect()
+    assert sum(r["n_removed"] for r in rows) == 600 * 60
+    runs = []
+
+    def counted(width):
+        def run(batches):
+            n = 0
+            for b in batches:
+                n += sum(len(x) for x in b.column("members").to_pylist())
+            yield pa.record_batch([pa.array([n]), pa.array([b""], pa.binary())], names=["rid", "starts"])
+
+        return run
+
+    monkeypatch.setattr(substring_dedup, "_match", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        monkeypatch.setattr(substring_dedup, "materialize", lambda df, name: (runs.extend(r["rid"] for r in df.collect()) if name == "marks" else None, materialize(df, name))[1])
+        substring_dedup.remove_repeats(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(runs) >= 600 and max(runs) <= sum(runs) / 2
+
+
 def test_suffix_automaton():
     r = random.Random(1)
     for _ in range(200):
@@ -347,6 +405,22 @@ def test_exact_top_k(spark):
     assert vector_topk.exact_top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_exact_top_k_of_any_finite_size(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r.normal(size=3) * 10.0 ** r.integers(-3, 6)]) for i in range(60)]
+    rows += [(100, [2e7, 1.0]), (101, [1e30, 1.0]), (102, [-1e30, 1.0]), (103, [1e30, -1e30]), (104, [1e300, 1e300]), (105, [1e306, -3.0]), (106, [0.5, -0.25]), (107, [1e30, 1.0])]
+    rows += [(200, [1e16, 1.0, -1e16]), (201, [1e16, 3.0, 1e16]), (50, [0.0, 0.0, 0.0]), (50, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = Counter(map(tuple, vector_topk.exact_top_k(df, F.col("vec_id") % 2 == 0, rows_per_block=8, cells=4).collect()))
+    whole = [[(256 * int(x)) if abs(x) > 2**53 else int(np.floor(256 * x)) for x in v] for _, v in rows]
+    want = Counter()
+    for i, (q, v) in enumerate(rows):
+        if q % 2 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(whole[i], whole[j], strict=True)), w) for j, (w, u) in enumerate(rows) if j != i and len(u) == len(v))
+            want.update((q, n + 1, w, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, w) in enumerate(scored[:5]))
+    assert got == want
+
+
 def test_bytes_and_words():
     from lorebase.llm import words as w
 
