@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.documents import dump
@@ -37,6 +37,17 @@ def walk(node: Any, path: str) -> Iterator[Any]:
             yield item
 
 
+def maps(node: Any, path: str) -> Iterator[dict]:
+    """The maps among the values at a path."""
+    return (x for x in walk(node, path) if isinstance(x, dict))
+
+
+def text(node: dict, key: str) -> str:
+    """A member that is a string, else ''."""
+    value = node.get(key)
+    return value if isinstance(value, str) else ""
+
+
 def first(node: Any, path: str, kind: type = str) -> Any:
     return next((x for x in walk(node, path) if isinstance(x, kind) and not (kind is not bool and isinstance(x, bool))), None)
 
@@ -138,8 +149,12 @@ FACTS = [
 #: Named sets of extractors, as in profiles; what isn't listed gives nothing.
 SETS: dict[str, tuple[str, ...]] = {
     "default": ("reference", "pod", "node", "event", "endpointslice", "service"),
-    "reference": ("reference",),
-    "service_topology": ("reference", "endpointslice", "service"),
+    "pod": ("reference", "pod"),
+    "node": ("reference", "node"),
+    "event": ("reference", "event"),
+    "endpointslice": ("reference", "endpointslice"),
+    "service_topology": ("reference", "service"),
+    **dict.fromkeys(("reference", "generic", "secret_metadata", "workload", "gitops", "webhook", "rbac", "certmanager", "crd"), ("reference",)),
     "none": (),
 }
 
@@ -188,15 +203,15 @@ def _references(doc: dict, namespace: str, e: _Evidence) -> None:
                 if isinstance(x, dict):
                     _refer(x, r, namespace, e)
     for kinds, path, edge, key in SERVICES:
-        for x in walk(doc, path) if kind in kinds else ():
-            name, ns = x.get("name") or "", x.get("namespace") or ""
+        for x in maps(doc, path) if kind in kinds else ():
+            name, ns = text(x, "name"), text(x, "namespace")
             if name:
                 e.edge(edge, "", "Service", ns, name)
                 value = f"{ns}/{name}" if ns else name
                 e.fact(key, value, 50)
                 e.change("reference", key, "replace", value, 50)
-    for hook in walk(doc, "webhooks[*]") if kind.endswith("WebhookConfiguration") else ():
-        policy, name = hook.get("failurePolicy"), hook.get("name")
+    for hook in maps(doc, "webhooks[*]") if kind.endswith("WebhookConfiguration") else ():
+        policy, name = text(hook, "failurePolicy"), text(hook, "name")
         if policy:
             severity = 70 if policy == "Fail" else 40
             e.fact("admission_webhook.failure_policy", policy, severity)
@@ -214,18 +229,17 @@ def _references(doc: dict, namespace: str, e: _Evidence) -> None:
 
 
 def _refer(x: dict, r: Reference, namespace: str, e: _Evidence) -> None:
-    version = x.get("apiVersion") or ""
-    group = x.get("group") or x.get("apiGroup") or (version.rpartition("/")[0] if version else "") or r.group
-    kind = x.get("kind") or r.kind
-    own = "" if kind in r.cluster_wide else x.get("namespace") or namespace
+    group = text(x, "group") or text(x, "apiGroup") or text(x, "apiVersion").rpartition("/")[0] or r.group
+    kind = text(x, "kind") or r.kind
+    own = "" if kind in r.cluster_wide else text(x, "namespace") or namespace
     if kind and isinstance(x.get("name"), str):
         e.edge(r.edge, group, kind, own, x["name"])
 
 
 def _binding(doc: dict, namespace: str, e: _Evidence) -> None:
-    role = doc.get("roleRef") or {}
-    if role.get("name"):
-        value = f"{role.get('kind') or 'Role'}/{role['name']}"
+    role = next(maps(doc, "roleRef"), {})
+    if text(role, "name"):
+        value = f"{text(role, 'kind') or 'Role'}/{role['name']}"
         e.fact("rbac.role_ref", value, 50)
         e.change("rbac", "roleRef", "replace", value, 50)
     for s in walk(doc, "subjects[*]"):
@@ -239,7 +253,7 @@ def _binding(doc: dict, namespace: str, e: _Evidence) -> None:
 
 
 def _pod(doc: dict, namespace: str, e: _Evidence) -> None:
-    ready = next((c.get("status") for c in walk(doc, "status.conditions[*]") if isinstance(c, dict) and c.get("type") == "Ready"), None)
+    ready = next((text(c, "status") for c in maps(doc, "status.conditions[*]") if c.get("type") == "Ready"), None)
     if ready:
         severity = 50 if ready == "False" else 20
         e.fact("pod_status.ready", ready, severity)
@@ -247,7 +261,7 @@ def _pod(doc: dict, namespace: str, e: _Evidence) -> None:
     if node := first(doc, "spec.nodeName"):
         e.edge("pod_on_node", "", "Node", "", node)
     for where in ("initContainerStatuses", "containerStatuses", "ephemeralContainerStatuses"):
-        for c in walk(doc, f"status.{where}[*]"):
+        for c in maps(doc, f"status.{where}[*]"):
             at = f"status.containerStatuses.{first(c, 'name') or ''}"
             n = _number(c.get("restartCount"))
             if n is not None:
@@ -311,18 +325,17 @@ def _event(doc: dict, namespace: str, e: _Evidence) -> None:
 
 
 def _endpointslice(doc: dict, namespace: str, e: _Evidence) -> None:
-    labels = (doc.get("metadata") or {}).get("labels") or {}
-    service = labels.get("kubernetes.io/service-name") or ""
+    service = text(next(maps(doc, "metadata.labels"), {}), "kubernetes.io/service-name")
     if service and isinstance(doc.get("endpoints"), list):
         e.edge("endpointslice_for_service", "", "Service", namespace, service)
-    for point in walk(doc, "endpoints[*]"):
-        target = point.get("targetRef") or {}
-        pod = target.get("name") if service and target.get("kind") == "Pod" else None
+    for point in maps(doc, "endpoints[*]"):
+        target = next(maps(point, "targetRef"), {})
+        pod = text(target, "name") if service and target.get("kind") == "Pod" else None
         if pod:
-            e.edge("endpointslice_targets_pod", "", "Pod", target.get("namespace") or namespace, pod)
+            e.edge("endpointslice_targets_pod", "", "Pod", text(target, "namespace") or namespace, pod)
             e.change("topology", "endpoints.targetRef", "add", f"Pod/{pod}", 30)
         for key in ("ready", "serving", "terminating"):
-            value = (point.get("conditions") or {}).get(key)
+            value = next(maps(point, "conditions"), {}).get(key)
             if isinstance(value, bool):
                 e.fact(f"endpoint.{key}", str(value).lower(), 20)
                 e.change("status", f"endpoints.{pod}.conditions.{key}" if pod else f"endpoints.conditions.{key}", "replace", str(value).lower(), 20)
@@ -341,11 +354,11 @@ def _service(doc: dict, namespace: str, e: _Evidence) -> None:
         e.fact("service.load_balancer.pending", str(not ingress).lower(), 10 if ingress else 50)
         if not ingress:
             e.change("status", "status.loadBalancer.ingress", "replace", "pending", 50)
-        for x in ingress:
+        for x in maps(doc, "status.loadBalancer.ingress[*]"):
             for key in ("ip", "hostname"):
-                if x.get(key):
-                    e.fact(f"service.load_balancer.ingress_{key}", x[key], 10, detail={"ipMode": x["ipMode"]} if x.get("ipMode") else None)
-                    e.change("status", f"status.loadBalancer.ingress.{key}", "replace", x[key], 10)
+                if value := text(x, key):
+                    e.fact(f"service.load_balancer.ingress_{key}", value, 10, detail={"ipMode": x["ipMode"]} if x.get("ipMode") else None)
+                    e.change("status", f"status.loadBalancer.ingress.{key}", "replace", value, 10)
     if e.row["observation_type"] == "DELETED":
         e.fact("service.deleted", "true", 60)
         e.change("status", "metadata.deletionTimestamp", "delete", "deleted", 60)
@@ -381,15 +394,22 @@ _EDGE = "array<struct<edge_type:string,dst_id:string,dst_kind:string>>"
 _CHANGE = "array<struct<change_family:string,path:string,op:string,old_scalar:string,new_scalar:string,severity:int>>"
 
 
-def evidence(observations: DataFrame, resolver: Resolver | None = None, extractor_set: str = "default") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts, edges, changes) DataFrames of observation rows that have an object_id. An unknown set matches nothing. Edges never close."""
-    resolver, names = resolver or Resolver(), SETS.get(extractor_set, ())
+def unreadable(observations: DataFrame) -> DataFrame:
+    """Rows whose document isn't a JSON object, which give no evidence: (cluster_id, resource, rows)."""
+    bad = F.col("doc").isNull() | F.expr("try_parse_json(doc) IS NULL OR NOT startswith(schema_of_variant(try_parse_json(doc)), 'OBJECT')")
+    return observations.where(bad).groupBy("cluster_id", "resource").agg(F.count("*").alias("rows"))
+
+
+def evidence(observations: DataFrame, resolver: Resolver | None = None, extractor_set: str | Column = "default") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts, edges, changes) DataFrames of observation rows that have an object_id. extractor_set: a set's name, or a column of names; an unknown set matches nothing. Edges never close."""
+    resolver = resolver or Resolver()
+    named = F.lit(extractor_set) if isinstance(extractor_set, str) else extractor_set
 
     @F.pandas_udf(f"facts {_FACT}, edges {_EDGE}, changes {_CHANGE}")
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([extract(r, resolver, names) for r in rows.fillna("").to_dict("records")], columns=["facts", "edges", "changes"])
+        return pd.DataFrame([extract(r, resolver, SETS.get(r["extractor_set"], ())) for r in rows.fillna("").to_dict("records")], columns=["facts", "edges", "changes"])
 
-    out = observations.withColumn("_e", run(F.struct("cluster_id", "observation_type", "kind", "namespace", "name", "doc")))
+    out = observations.withColumn("_e", run(F.struct("cluster_id", "observation_type", "kind", "namespace", "name", "doc", named.alias("extractor_set"))))
     obj = ["object_id", "kind", "namespace", "name"]
     facts = out.select("cluster_id", F.col("observed_at").alias("ts"), *obj, F.explode("_e.facts").alias("f")).select("cluster_id", "ts", *obj, "f.*")
     edges = out.select("cluster_id", F.col("observed_at").alias("valid_from"), F.col("object_id").alias("src_id"), F.col("kind").alias("src_kind"), F.explode("_e.edges").alias("x")).select("cluster_id", "x.edge_type", "src_id", "x.dst_id", "src_kind", "x.dst_kind", "valid_from", F.lit(None).cast("timestamp").alias("valid_to"), F.lit("").alias("detail"))

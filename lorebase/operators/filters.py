@@ -76,7 +76,8 @@ def secret_payload(name: str = "secret_metadata_only") -> Filter:
     """the payload of secrets."""
 
     def step(doc: dict, ref: dict) -> tuple[str, str, dict]:
-        gone = {k: len(doc.pop(k) or {}) for k in ("data", "stringData") if k in doc}
+        parts = {k: doc.pop(k) for k in ("data", "stringData") if k in doc}
+        gone = {k: len(x) if isinstance(x, dict) else 0 for k, x in parts.items()}
         return (MODIFIED, "secret_payload_removed", {f"{k}_keys": n for k, n in gone.items()}) if gone else (KEEP, "", {})
 
     return Filter(name, step, {"resources": ["secrets"]})
@@ -189,10 +190,17 @@ def _run(text: str, ref: dict, chain: list[Filter]) -> tuple[str, str, list[dict
     try:
         doc = json.loads(text)
     except (TypeError, ValueError):
+        doc = None
+    if not isinstance(doc, dict):  # nothing to filter; what may be a payload isn't kept
+        if ref["resource"] == "secrets" and text:
+            return "", MODIFIED, [{"filter": "secret_metadata_only", "outcome": MODIFIED, "reason": "secret_payload_removed", "meta": "{}"}]
         return text, KEEP, []
     last, decisions = KEEP, []
     for f in chain:
-        outcome, reason, meta = f(doc, ref)
+        try:
+            outcome, reason, meta = f(doc, ref)
+        except (AttributeError, KeyError, TypeError, ValueError):  # a part of the document isn't what the filter reads
+            outcome, reason, meta = KEEP, "malformed", {}
         decisions.append({"filter": f.name, "outcome": outcome, "reason": reason, "meta": dump(meta)})
         if outcome != KEEP:
             last = outcome
@@ -258,7 +266,12 @@ def redact_secret(doc: pd.Series, resource: pd.Series) -> pd.Series:
     def one(text: str, kind: str) -> str:
         if kind != "secrets" or not text:
             return text
-        node = json.loads(text)
+        try:
+            node = json.loads(text)
+        except ValueError:
+            return ""
+        if not isinstance(node, dict):
+            return ""
         for part in ("data", "stringData"):
             if isinstance(node.get(part), dict):
                 node[part] = dict.fromkeys(node[part], "<redacted>")

@@ -6,8 +6,10 @@ answer about one object collect, and only a bounded number of rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +20,6 @@ from ..schema import Tables
 from .versions import OBJECT, canonicalize, latest, merged_offsets
 
 
-
 class NotFound(LookupError):
     pass
 
@@ -167,12 +168,32 @@ def search(tables: Tables, query: str, cluster_id: str = "", kind: str = "", nam
     return out.orderBy(F.desc("score"), "object_id").limit(clamp(limit, 20, 1000))
 
 
+#: Ids up to which they are sent along as literals, which scans can use; rows up to which a frontier is broadcast.
+FEW_IDS, FEW_ROWS = 1000, 500_000
+
+
 def neighbour_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges that touch ids (cluster_id, id), as a union of two equi-joins, with direction and the far end."""
-    i = F.broadcast(ids) if "size_checked" in ids.columns else ids
-    out = edges.join(i, (edges["cluster_id"] == i["cluster_id"]) & (edges["src_id"] == i["id"]), "left_semi").withColumns({"direction": F.lit("out"), "far_id": F.col("dst_id"), "near_id": F.col("src_id")})
-    into = edges.join(i, (edges["cluster_id"] == i["cluster_id"]) & (edges["dst_id"] == i["id"]), "left_semi").withColumns({"direction": F.lit("in"), "far_id": F.col("src_id"), "near_id": F.col("dst_id")})
-    return out.unionByName(into)
+    """Edges that touch ids (cluster_id, id), with direction and the far end; one between two ids has a row for each.
+
+    A handful of ids is a filter on both ends, in one pass over the edges; more of them are two equi-joins.
+    """
+    found = [(r["cluster_id"], r["id"]) for r in ids.select("cluster_id", "id").limit(FEW_IDS + 1).collect()]
+    if len(found) <= FEW_IDS:
+        by_cluster: dict[str, list[str]] = {}
+        for c, i in found:
+            by_cluster.setdefault(c, []).append(i)
+
+        def among(end: str) -> Column:
+            return reduce(Column.__or__, ((F.col("cluster_id") == c) & F.col(end).isin(listed) for c, listed in by_cluster.items()), F.lit(False))
+
+        out, into = among("src_id"), among("dst_id")
+        ways = F.array(F.when(out, "out"), F.when(into, "in"))
+        near = edges.where(out | into).withColumn("direction", F.explode(ways)).where("direction IS NOT NULL")
+        is_out = F.col("direction") == "out"
+        return near.withColumns({"far_id": F.when(is_out, F.col("dst_id")).otherwise(F.col("src_id")), "near_id": F.when(is_out, F.col("src_id")).otherwise(F.col("dst_id"))})
+    i = ids.select("cluster_id", "id")
+    side = lambda near, far, way: edges.join(i.withColumnRenamed("id", near), ["cluster_id", near], "left_semi").select(*(F.col(c) for c in edges.columns), F.lit(way).alias("direction"), F.col(far).alias("far_id"), F.col(near).alias("near_id"))
+    return side("src_id", "dst_id", "out").unionByName(side("dst_id", "src_id", "in"))
 
 
 def grouped_edges(edges: DataFrame) -> DataFrame:
@@ -203,31 +224,46 @@ def expand(edges: DataFrame, roots: DataFrame, rounds: int = 3, through: tuple[s
     """(cluster_id, object_id, kind, hop) of what is reached from roots (cluster_id, object_id, kind) in up to rounds hops, in both directions.
 
     keep: kinds that count at all; through: kinds from which the search goes on (roots always do). Each round is a join of the
-    frontier with the edges, less what was seen; it ends early at an empty frontier. The frontier is checkpointed, so lineage stays short.
+    frontier with the edges, less what was seen; it ends early at an empty frontier. The frontier is written, so lineage stays short.
     """
     e = overlapping(edges, start, end)
-    both = e.select("cluster_id", F.col("src_id").alias("a"), F.col("dst_id").alias("b"), F.col("dst_kind").alias("b_kind")).union(e.select("cluster_id", "dst_id", "src_id", "src_kind")).distinct()
+    ends = [F.struct(F.col(f"{a}_id").alias("a"), F.col(f"{b}_id").alias("object_id"), F.col(f"{b}_kind").alias("kind")) for a, b in (("src", "dst"), ("dst", "src"))]
     seen = roots.select("cluster_id", "object_id", "kind", F.lit(0).alias("hop"))
-    frontier = seen
+    frontier, size = seen, FEW_IDS + 1
     for hop in range(1, rounds + 1):
         go = frontier if hop == 1 or through is None else frontier.where(F.col("kind").isin(*through))
-        near = both.join(go.select("cluster_id", F.col("object_id").alias("a")), ["cluster_id", "a"]).groupBy("cluster_id", F.col("b").alias("object_id")).agg(F.max("b_kind").alias("kind"))
+        go = go.select("cluster_id", F.col("object_id").alias("a"))
+        if hop == 1:
+            size = go.count()
+        if size <= FEW_IDS:  # only edges that touch it are turned about
+            near = neighbour_edges(e, go.withColumnRenamed("a", "id")).select("cluster_id", F.col("far_id").alias("object_id"), F.when(F.col("direction") == "out", F.col("dst_kind")).otherwise(F.col("src_kind")).alias("kind"))
+        else:
+            both = e.select("cluster_id", F.explode(F.array(*ends)).alias("e")).select("cluster_id", "e.*")
+            near = both.join(F.broadcast(go) if size <= FEW_ROWS else go, ["cluster_id", "a"], "left_semi")
+        near = near.groupBy("cluster_id", "object_id").agg(F.max("kind").alias("kind"))
         if keep is not None:
             near = near.where(F.col("kind").isin(*keep))
-        fresh = near.join(seen.select("cluster_id", "object_id"), ["cluster_id", "object_id"], "left_anti").withColumn("hop", F.lit(hop))
-        frontier = _cut(fresh)
-        if frontier.isEmpty():
+        known = seen.select("cluster_id", "object_id")
+        frontier, size = _cut(near.join(known, ["cluster_id", "object_id"], "left_anti").withColumn("hop", F.lit(hop)))
+        if not size:
             break
         seen = seen.unionByName(frontier)
     return seen
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage, in the checkpoint folder that the session names; as it is where there is none."""
+def _cut(df: DataFrame) -> tuple[DataFrame, int]:
+    """df as a table in the folder that spark.checkpoint.dir names, cut off from its lineage, and its rows; in one local process without that folder, kept in memory."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        path = f"{folder.rstrip('/')}/frontier-{uuid4().hex}"
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    elif spark.sparkContext.master.startswith("local"):
+        out = df.persist()
+    else:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return out, out.count()
 
 
 def bundles(tables: Tables, wanted: DataFrame, facts: int = 1000, changes: int = 1000, versions: int = 3) -> DataFrame:
@@ -408,11 +444,3 @@ def coverage(tables: Tables) -> DataFrame:
 def gauges(tables: Tables, streams: DataFrame) -> DataFrame:
     """One row of stats and health for an exporter."""
     return stats(tables).crossJoin(health_summary(streams))
-
-
-@dataclass
-class Report:
-    """A bounded answer with what it leaves out."""
-
-    rows: list[dict] = field(default_factory=list)
-    truncated: bool = False

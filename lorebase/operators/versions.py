@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity
-from ..functions.scalars import glob_match
 
 OBJECT = ["cluster_id", "object_id"]
 
@@ -16,13 +15,17 @@ def with_identity(observations: DataFrame) -> DataFrame:
     return observations.withColumns({"object_id": identity.logical_id(), "doc_hash": identity.doc_hash(F.col("doc"))})
 
 
-def changed(observations: DataFrame, readd_versions: bool = False, order: str = "observed_at", prior: DataFrame | None = None) -> DataFrame:
+#: What decides the order of an object's rows of one time (X8): the same in batch and stream.
+ORDER = ("observed_at", "doc_hash", "observation_type")
+
+
+def changed(observations: DataFrame, readd_versions: bool = False, order: tuple[str, ...] = ORDER, prior: DataFrame | None = None) -> DataFrame:
     """V1, V2: observations with content_changed and seq, the number of the object's version so far.
 
     A row is a change where it is a deletion, the object's first, or its hash isn't the previous one; with readd_versions also
     where the previous row was a deletion. prior (cluster_id, object_id, seq, doc_hash, deleted) is the state before this batch (V3).
     """
-    w = Window.partitionBy(*OBJECT).orderBy(order)
+    w = Window.partitionBy(*OBJECT).orderBy(*order)
     before, gone = F.lag("doc_hash").over(w), F.lag("observation_type").over(w) == "DELETED"
     start: Column = F.lit(0).cast("long")
     df = observations
@@ -164,18 +167,3 @@ def placeholder_objects(edges: DataFrame, objects: DataFrame) -> DataFrame:
     """Targets of edges that no object row stands for."""
     targets = edges.select("cluster_id", F.col("dst_id").alias("object_id"), F.col("dst_kind").alias("kind")).distinct()
     return targets.join(objects, OBJECT, "left_anti")
-
-
-def resource_rules(df: DataFrame, rules: list[dict], default: str = "default") -> DataFrame:
-    """The first rule that matches: groups AND resources AND kinds, each a list of globs; adds profile."""
-    chosen = F.lit(None).cast("string")
-    for rule in reversed(rules):
-        ok = F.lit(True)
-        for key, column in (("groups", "api_group"), ("resources", "resource"), ("kinds", "kind")):
-            if rule.get(key):
-                any_of = F.lit(False)
-                for pattern in rule[key]:
-                    any_of = any_of | glob_match(F.lower(column), pattern.lower())
-                ok = ok & any_of
-        chosen = F.when(ok, F.lit(rule["profile"])).otherwise(chosen)
-    return df.withColumn("profile", F.coalesce(chosen, F.lit(default)))

@@ -6,23 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity
-from ..operators import filters
+from ..operators import filters, profiles
 from ..operators.extract import evidence
 from ..operators.versions import alias_rows, changed, versions
 from ..schema import TABLES, Tables
 from ..sources.resolver import Resolver
 
 
-def ingest(observations: DataFrame, resolver: Resolver | None = None, chain: Column | None = None, extractor_set: str = "default", prior: DataFrame | None = None, readd_versions: bool = True) -> Tables:
-    """All evidence tables of observations. Evidence comes from changed rows alone. CRDs in the batch are known before their instances."""
+def ingest(observations: DataFrame, resolver: Resolver | None = None, chain: Column | None = None, extractor_set: str | None = None, prior: DataFrame | None = None, readd_versions: bool = True) -> Tables:
+    """All evidence tables of observations. Filter chain and extractors go by each row's resource profile, unless chain or extractor_set
+    says otherwise; secrets always go through the chain that removes their payload. Evidence comes from changed rows alone. CRDs in the
+    batch are known before their instances. latest_raw is the newest document of each live object as it came, secrets redacted."""
     resolver = (resolver or Resolver()).with_crds(observations.where("kind = 'CustomResourceDefinition'"))
-    filtered = filters.apply_chains(observations, chain=chain)
+    profiled = profiles.with_profile(observations)
+    secret = (F.col("resource") == "secrets") & (F.col("api_group") == "")
+    chosen = F.when(secret, "secret_metadata_only").otherwise(F.col("chain") if chain is None else chain)
+    filtered = filters.apply_chains(profiled, chain=chosen)
     stored = filters.kept(filtered).withColumns({"object_id": identity.logical_id(), "doc_hash": identity.doc_hash(F.col("doc"))})
-    marked = changed(stored, readd_versions, "observed_at", prior)
+    marked = changed(stored, readd_versions, prior=prior)
     new = marked.where("content_changed")
-    facts, edges, changes = evidence(new, resolver, extractor_set)
+    facts, edges, changes = evidence(new, resolver, F.col("extractor_set") if extractor_set is None else extractor_set)
     pick = lambda df, t: df.select(*(c.strip().split()[0] for c in TABLES[t].split(",")))
+    detail, rollup = filters.persisted_decisions(filters.decision_rows(filtered))
+    more = ["outcome", "decisions", "profile", "chain", "extractor_set"]
     return {
-        "observations": marked.drop("outcome", "decisions"), "versions": pick(versions(marked), "versions"), "object_aliases": alias_rows(stored),
-        "facts": pick(facts, "facts"), "edges": pick(edges, "edges"), "changes": pick(changes, "changes"), "filter_decisions": pick(filters.decision_rows(filtered), "filter_decisions"),
+        "observations": marked.drop(*more), "versions": pick(versions(marked), "versions"), "object_aliases": alias_rows(stored),
+        "facts": pick(facts, "facts"), "edges": pick(edges, "edges"), "changes": pick(changes, "changes"), "filter_decisions": pick(detail, "filter_decisions"), "filter_rollup": rollup,
+        "latest_raw": raw_documents(observations, filtered),
     }
+
+
+def raw_documents(observations: DataFrame, filtered: DataFrame) -> DataFrame:
+    """(cluster_id, object_id, kind, namespace, name, observed_at, doc) of each live object's newest row, before any filter but with secret values
+    redacted. A row whose change alone is discarded counts, a discarded resource doesn't."""
+    key = ["cluster_id", "api_group", "api_version", "resource", "kind", "namespace", "name"]
+    gone = filtered.where(F.col("outcome") == filters.DISCARD_RESOURCE).select(*key).distinct()
+    raw = observations.join(gone, key, "left_anti").withColumn("object_id", identity.logical_id())
+    last = F.struct("observed_at", "observation_type", F.xxhash64("doc"))
+    newest = raw.groupBy("cluster_id", "object_id").agg(F.max_by(F.struct("resource", "kind", "namespace", "name", "observed_at", "observation_type", "doc"), last).alias("n")).select("cluster_id", "object_id", "n.*")
+    live = newest.where("observation_type <> 'DELETED'")
+    return live.withColumn("doc", filters.redact_secret(F.col("doc"), F.col("resource"))).drop("resource", "observation_type")

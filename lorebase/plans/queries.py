@@ -8,7 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import maintain, read, versions
+from ..operators import filters, maintain, profiles, read, versions
+from ..operators.extract import evidence
 from . import adapter, recipes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,9 +217,11 @@ def interval_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.interval_enrich(e, adapter.observations(spark, sf_dir), ["object_id"], "doc")
 
 
-@_query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@_query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def anti_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapter.table(spark, sf_dir, "customer").join(adapter.table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without a large order."""
+    large = adapter.table(spark, sf_dir, "orders").where("o_totalprice > 300000")
+    return adapter.table(spark, sf_dir, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @_query("SELECT object_id, ts, fact_key FROM facts WHERE object_id IN (SELECT 'c1/' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')", "facts")
@@ -237,7 +240,10 @@ def cross_minus_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS decisions, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1, 2")
 def hour_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapter.table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("decisions"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+    """filters.hourly_rollup over events as decisions."""
+    e = adapter.table(spark, sf_dir, "events")
+    d = e.select("ts", F.lit("c1").alias("cluster_id"), F.col("event_type").alias("filter_name"), F.lit("keep_modified").alias("outcome"), F.lit("").alias("reason"))
+    return filters.hourly_rollup(d).select(F.col("hour").cast("timestamp_ntz").alias("hour"), F.col("filter_name").alias("event_type"), "decisions", "first_at", "last_at")
 
 
 @_query("SELECT event_type, CAST(sum(n) AS BIGINT) AS decisions FROM (SELECT event_type, 1 AS n FROM events WHERE value > 50 UNION ALL SELECT event_type, count(*) FROM events WHERE value <= 50 GROUP BY event_type) GROUP BY event_type")
@@ -358,7 +364,73 @@ def running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapter.facts(spark, sf_dir).select("object_id", "ts", F.sum("severity").over(w).cast("long").alias("running"))
 
 
-@_query()
+@_query(_V2 + """, v AS (SELECT object_id, seq, doc, lag(doc) OVER (PARTITION BY object_id ORDER BY seq) AS before FROM s WHERE content_changed),
+d AS (SELECT object_id, CAST(seq AS BIGINT) AS seq, json_extract_string(before, '$.k') AS old, json_extract_string(doc, '$.k') AS new FROM v WHERE before IS NOT NULL)
+SELECT object_id, seq, CASE WHEN old IS DISTINCT FROM new THEN '/k' END AS path, CASE WHEN old IS DISTINCT FROM new THEN old END AS old, CASE WHEN old IS DISTINCT FROM new THEN new END AS new, false AS truncated FROM d""", "obs")
 def r10_version_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read.version_diffs(versions.versions(_marked(spark, sf_dir))).withColumn("c", F.explode_outer("changes"))
     return d.select("object_id", "seq", F.col("c.path").alias("path"), F.col("c.old").alias("old"), F.col("c.new").alias("new"), "truncated")
+
+
+@_query("""+ t AS (SELECT * FROM edges WHERE src_id = 'customer/1' OR dst_id = 'customer/1')
+SELECT edge_type, src_id, dst_id, min(valid_from) AS valid_from, CASE WHEN count(*) FILTER (WHERE valid_to IS NULL) = 0 THEN max(valid_to) END AS valid_to,
+  CASE WHEN src_id = 'customer/1' THEN 'out' ELSE 'in' END AS direction FROM t GROUP BY edge_type, src_id, dst_id""", "edges")
+def topology_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of read.topology around a customer, with their direction."""
+    return read.topology(_graph(spark, sf_dir), "c1", "customer/1")[1].select("edge_type", "src_id", "dst_id", "valid_from", "valid_to", "direction")
+
+
+@_query("""+ t AS (SELECT * FROM edges WHERE src_id = 'customer/1' OR dst_id = 'customer/1')
+SELECT object_id, max(kind) AS kind FROM (SELECT src_id AS object_id, src_kind AS kind FROM t UNION ALL SELECT dst_id, dst_kind FROM t) GROUP BY object_id""", "edges")
+def topology_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of read.topology around a customer."""
+    return read.topology(_graph(spark, sf_dir), "c1", "customer/1")[0].select("object_id", "kind")
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"edges": adapter.edges(spark, sf_dir), "versions": versions.versions(_marked(spark, sf_dir, False))}
+
+
+def _pods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as observed Pod documents."""
+    o = adapter.table(spark, sf_dir, "orders")
+    name = F.concat(F.lit("o-"), F.col("o_orderkey").cast("string"))
+    ready = F.when(F.col("o_orderstatus") == "F", "True").otherwise("False")
+    container = F.struct(F.lit("c").alias("name"), (F.col("o_orderkey") % 4).alias("restartCount"))
+    doc = F.to_json(F.struct(
+        F.struct(name.alias("name"), F.lit("shop").alias("namespace"), name.alias("uid")).alias("metadata"),
+        F.struct(F.concat(F.lit("n-"), (F.col("o_custkey") % 10).cast("string")).alias("nodeName")).alias("spec"),
+        F.struct(F.array(F.struct(F.lit("Ready").alias("type"), ready.alias("status"))).alias("conditions"), F.array(container).alias("containerStatuses")).alias("status"),
+    ))
+    rows = o.select(F.lit("c1").alias("cluster_id"), F.col("o_orderdate").cast("timestamp").alias("observed_at"), F.lit("MODIFIED").alias("observation_type"), F.lit("").alias("api_group"), F.lit("v1").alias("api_version"), F.lit("pods").alias("resource"), F.lit("Pod").alias("kind"), F.lit("shop").alias("namespace"), name.alias("name"), name.alias("uid"), F.lit("").alias("resource_version"), doc.alias("doc"))
+    return profiles.with_profile(rows).withColumn("object_id", F.col("name"))
+
+
+@_query("""SELECT object_id, fact_key, fact_value, severity FROM (
+  SELECT 'o-' || o_orderkey AS object_id, 'pod_status.ready' AS fact_key, CASE o_orderstatus WHEN 'F' THEN 'True' ELSE 'False' END AS fact_value, CASE o_orderstatus WHEN 'F' THEN 20 ELSE 50 END AS severity FROM orders
+  UNION ALL SELECT 'o-' || o_orderkey, 'pod_status.restart_count', CAST(o_orderkey % 4 AS VARCHAR), 30 FROM orders)""")
+def extract_pod_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that the pod extractor of the rows' profile finds."""
+    p = _pods(spark, sf_dir)
+    return evidence(p, extractor_set=F.col("extractor_set"))[0].where("fact_key LIKE 'pod_status.re%'").select("object_id", "fact_key", "fact_value", "severity")
+
+
+@_query("SELECT 'o-' || o_orderkey AS src_id, 'c1/nodes/n-' || (o_custkey % 10) AS dst_id, 'Node' AS dst_kind FROM orders")
+def extract_pod_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from pods to the nodes they run on."""
+    p = _pods(spark, sf_dir)
+    return evidence(p, extractor_set=F.col("extractor_set"))[1].where("edge_type = 'pod_on_node'").select("src_id", "dst_id", "dst_kind")
+
+
+@_query("""SELECT CASE WHEN c_custkey % 3 = 0 THEN 'secrets' ELSE 'configmaps' END AS resource, filter_name, reason, count(*) AS decisions FROM customer,
+(VALUES ('managed_fields', 'paths_removed'), ('resource_version', 'paths_removed'), ('secret_metadata_only', 'secret_payload_removed')) AS f(filter_name, reason)
+WHERE (filter_name = 'resource_version') OR (filter_name = 'managed_fields' AND c_custkey % 2 = 0) OR (filter_name = 'secret_metadata_only' AND c_custkey % 3 = 0) GROUP BY ALL""")
+def filter_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the filter chains of the rows' profiles do to customers as Secrets and ConfigMaps."""
+    c = adapter.table(spark, sf_dir, "customer")
+    secret = F.col("c_custkey") % 3 == 0
+    managed = F.when(F.col("c_custkey") % 2 == 0, F.array(F.struct(F.lit("m").alias("manager"))))
+    doc = F.to_json(F.struct(F.struct(F.col("c_name").alias("name"), F.lit("7").alias("resourceVersion"), managed.alias("managedFields")).alias("metadata"), F.struct(F.col("c_mktsegment").alias("segment")).alias("data")))
+    rows = c.select(F.lit("c1").alias("cluster_id"), F.lit("2024-01-01").cast("timestamp").alias("observed_at"), F.lit("MODIFIED").alias("observation_type"), F.lit("").alias("api_group"), F.lit("v1").alias("api_version"), F.when(secret, "secrets").otherwise("configmaps").alias("resource"), F.when(secret, "Secret").otherwise("ConfigMap").alias("kind"), F.lit("shop").alias("namespace"), F.col("c_name").alias("name"), F.col("c_name").alias("uid"), F.lit("7").alias("resource_version"), doc.alias("doc"))
+    filtered = filters.apply_chains(profiles.with_profile(rows), chain=F.col("chain"))
+    return filters.decision_rows(filtered).groupBy("resource", "filter_name", "reason").agg(F.count("*").alias("decisions"))

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import identity
-from ..operators.versions import OBJECT, with_identity
+from ..operators.versions import OBJECT, ORDER, with_identity
 from ..sources.sinks import write_batch
 
 VERSIONED = "cluster_id string, object_id string, observed_at timestamp, observation_type string, doc_hash string, doc string, content_changed boolean, seq bigint"
 
 
 class Versioning(StatefulProcessor):
-    """V1, V2 per object; rows of one micro-batch are taken in the order of observed_at."""
+    """V1, V2 per object; rows of one micro-batch are taken in the order of ORDER."""
 
     def __init__(self, readd_versions: bool):
         self.readd = readd_versions
@@ -29,7 +29,7 @@ class Versioning(StatefulProcessor):
         self.state = handle.getValueState("object", "seq bigint, hash string, deleted boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        df = pd.concat(list(rows)).sort_values(["observed_at", "doc_hash"], kind="stable")
+        df = pd.concat(list(rows)).sort_values(list(ORDER), kind="stable")
         seq, last, deleted = self.state.get() if self.state.exists() else (0, None, False)
         marks = []
         for kind, h in zip(df["observation_type"], df["doc_hash"], strict=True):

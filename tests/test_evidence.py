@@ -1,12 +1,13 @@
 """Fixtures through ingest, extractors, reads and maintenance."""
 
 import json
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from lorebase.functions.documents import differences, remove_path
 from lorebase.functions.scalars import fnv1a64_text, glob_to_regex, quantity_to_double
-from lorebase.operators import maintain, read, sqlsurface, versions
+from lorebase.operators import maintain, profiles, read, sqlsurface, versions
+from lorebase.operators.extract import unreadable
 from lorebase.operators.filters import apply_chains, decision_rows, kept, merge_rollups, persisted_decisions
 from lorebase.plans import recipes
 from lorebase.plans.ingest import ingest
@@ -52,12 +53,59 @@ def test_incident_edges(tables):
 
 
 def test_secret_payload_and_decisions(tables):
+    payload = set(fx.SECRET["data"].values())
+    for name, df in tables.items():
+        held = [str(r.asDict()) for r in df.collect()]
+        assert not any(x in h for x in payload for h in held), name
     doc = tables["versions"].where("kind = 'Secret'").first()["doc"]
-    assert "data" in json.loads(doc)  # the default chain keeps it; the secret chain removes it
-    d = {r["filter_name"] for r in tables["filter_decisions"].collect()}
+    assert "data" not in json.loads(doc)
+    raw = tables["latest_raw"].where("kind = 'Secret'").first()["doc"]
+    assert json.loads(raw)["data"] == dict.fromkeys(fx.SECRET["data"], "<redacted>")
+    assert {r["reason"] for r in tables["filter_decisions"].collect()} == {"secret_payload_removed"}
+    d = {r["filter_name"] for r in tables["filter_rollup"].collect()}
     assert "resource_version" in d and "status_condition_set" in d
 
 
+def test_malformed_documents(spark):
+    """One odd document neither stops the job nor keeps others from their evidence."""
+    meta = {"name": "x", "namespace": "shop", "uid": "u-odd"}
+    odd = [
+        ("Pod", "pods", {"metadata": "m", "status": {"containerStatuses": ["a", 3], "conditions": ["c", {"type": "Ready", "status": 1}]}, "spec": "s"}),
+        ("Service", "services", {"metadata": meta, "spec": "s", "status": {"loadBalancer": {"ingress": ["i", {"ip": 7}]}}}),
+        ("EndpointSlice", "endpointslices", {"metadata": {"labels": "l"}, "endpoints": ["a", {"targetRef": "t", "conditions": []}]}),
+        ("RoleBinding", "rolebindings", {"metadata": meta, "roleRef": "r", "subjects": ["s", {"kind": 1}]}),
+        ("ValidatingWebhookConfiguration", "validatingwebhookconfigurations", {"metadata": meta, "webhooks": ["a", {"clientConfig": {"service": "s"}}]}),
+        ("ConfigMap", "configmaps", {"metadata": "m", "data": {"status": 5}}),
+        ("Secret", "secrets", {"metadata": meta, "data": 5, "stringData": ["p"]}),
+        ("Node", "nodes", ["not", "a", "map"]),
+    ]
+    base = observations(fx.decoded(spark, [(fx.POD_READY, 0)]))
+    rows = base
+    for kind, resource, doc in [*odd, ("Pod", "pods", None), ("Secret", "secrets", "broken")]:
+        text = "{broken" if doc == "broken" else None if doc is None else json.dumps(doc)
+        rows = rows.unionByName(base.withColumns({"kind": F.lit(kind), "resource": F.lit(resource), "name": F.lit(f"odd-{kind}"), "uid": F.lit(f"odd-{kind}"), "doc": F.lit(text).cast("string")}))
+    t = ingest(rows)
+    assert t["versions"].where("doc LIKE '%broken%' OR doc LIKE '%stringData%'").count() == 0
+    assert t["facts"].where("name = 'odd-Pod'").count() == 0 and t["facts"].where("name NOT LIKE 'odd-%'").count() > 0
+    assert {(r["resource"], r["rows"]) for r in unreadable(rows).collect()} == {("nodes", 1), ("pods", 1), ("secrets", 1)}
+
+
+def test_profiles(spark):
+    rows = [("", "pods", "Pod"), ("events.k8s.io", "events", "Event"), ("", "secrets", "Secret"), ("batch", "cronjobs", "CronJob"), ("argoproj.io", "rollouts", "Rollout"), ("coordination.k8s.io", "leases", "Lease"), ("x.io", "pods", "Pod"), (None, None, None)]
+    got = [(r["profile"], r["chain"], r["extractor_set"]) for r in profiles.with_profile(spark.createDataFrame(rows, "api_group string, resource string, kind string")).collect()]
+    generic = ("generic", "default", "generic")
+    assert got == [("pod_fast_path", "default", "pod"), ("event_rollup", "event_rollup", "event"), ("secret_metadata_only", "secret_metadata_only", "secret_metadata"), ("workload_rollout", "default", "workload"), generic, generic, generic, generic]
+
+
+def test_ties_have_one_order(spark):
+    """Rows of one time are taken by their document's hash, however they lie."""
+    at = datetime(2024, 1, 1)
+    rows = [("c1", "o", at, "MODIFIED", h) for h in ("b", "a", "c", "a", "b")] + [("c1", "o", at + timedelta(seconds=1), "MODIFIED", "c")]
+    df = spark.createDataFrame(rows, "cluster_id string, object_id string, observed_at timestamp, observation_type string, doc_hash string")
+    seen = {tuple((r["doc_hash"], r["content_changed"], r["seq"]) for r in versions.changed(df.repartition(n, "doc_hash")).orderBy("seq", "doc_hash", F.desc("content_changed")).collect()) for n in (1, 3, 5)}
+    assert seen == {(("a", True, 1), ("a", False, 1), ("b", True, 2), ("b", False, 2), ("c", True, 3), ("c", False, 3))}
+
+
 def test_secret_chain_and_scope(spark):
     obs = observations(fx.decoded(spark, [(fx.SECRET, 0), (fx.NODE, 1)]))
     out = apply_chains(obs, chain=F.when(F.col("kind") == "Secret", "secret_metadata_only").otherwise("no such chain"))
