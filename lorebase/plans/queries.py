@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, maintain, profiles, read, versions
 from ..operators.extract import evidence
-from . import adapter, recipes
+from . import adapter, collect, recipes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -434,3 +434,45 @@ def filter_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = c.select(F.lit("c1").alias("cluster_id"), F.lit("2024-01-01").cast("timestamp").alias("observed_at"), F.lit("MODIFIED").alias("observation_type"), F.lit("").alias("api_group"), F.lit("v1").alias("api_version"), F.when(secret, "secrets").otherwise("configmaps").alias("resource"), F.when(secret, "Secret").otherwise("ConfigMap").alias("kind"), F.lit("shop").alias("namespace"), F.col("c_name").alias("name"), F.col("c_name").alias("uid"), F.lit("7").alias("resource_version"), doc.alias("doc"))
     filtered = filters.apply_chains(profiles.with_profile(rows), chain=F.col("chain"))
     return filters.decision_rows(filtered).groupBy("resource", "filter_name", "reason").agg(F.count("*").alias("decisions"))
+
+
+@_query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE (o_custkey, o_orderkey) > (10, 500) ORDER BY o_custkey, o_orderkey LIMIT 100")
+def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of orders behind a row of the page before."""
+    return recipes.page_after(adapter.table(spark, sf_dir, "orders"), ["o_custkey", "o_orderkey"], (10, 500), 100).select("o_orderkey", "o_custkey", "o_orderdate")
+
+
+@_query("SELECT n_nationkey, any_value(n_name) AS n_name, count(c_custkey) AS customers FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+def any_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any value of a column that the key decides."""
+    c = adapter.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"))
+    return adapter.table(spark, sf_dir, "nation").join(c, "n_nationkey").groupBy("n_nationkey").agg(F.any_value("n_name").alias("n_name"), F.sum("customers").alias("customers"))
+
+
+@_query(_V1 + """, v AS (SELECT object_id, seq, doc_hash FROM s WHERE content_changed), i AS (SELECT *, lag(doc_hash) OVER (PARTITION BY object_id ORDER BY seq) AS b FROM v)
+SELECT object_id, CAST(row_number() OVER (PARTITION BY object_id ORDER BY seq) AS BIGINT) AS seq, doc_hash FROM i WHERE b IS NULL OR b <> doc_hash""", "obs")
+def v11_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of neighbouring versions with one hash the first, numbered again."""
+    r = versions.runs(versions.versions(_marked(spark, sf_dir, False))).where("seq = run_seq")
+    return r.select("object_id", F.row_number().over(Window.partitionBy("object_id").orderBy("seq")).cast("long").alias("seq"), "doc_hash")
+
+
+@_query("""SELECT cluster_id, resource, arg_max(resource_version, (observed_at, length(resource_version), resource_version)) AS resource_version, max(observed_at) AS updated_at
+FROM (SELECT cluster_id, 'users' AS resource, resource_version, observed_at FROM obs) GROUP BY cluster_id, resource""", "obs")
+def watch_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offset row of a watched stream."""
+    return collect.offset_rows(adapter.observations(spark, sf_dir), "watch").select("cluster_id", "resource", "resource_version", "updated_at")
+
+
+@_query(""" SELECT DISTINCT dst_id AS object_id, dst_kind AS kind FROM edges WHERE dst_id NOT IN (SELECT DISTINCT src_id FROM edges)""", "edges")
+def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of edges that are no source of any."""
+    e = adapter.edges(spark, sf_dir)
+    return versions.placeholder_objects(e, e.select("cluster_id", F.col("src_id").alias("object_id")).distinct()).select("object_id", "kind")
+
+
+@_query("""SELECT cluster_id, object_id, max(observed_at) AS last_seen, arg_max(observation_type, (observed_at, observation_type)) = 'DELETED' AS deleted FROM obs GROUP BY cluster_id, object_id""", "obs")
+def v20_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each object with its last time, and whether that was a deletion."""
+    m = versions.identity_matches(adapter.observations(spark, sf_dir))
+    return m.select("cluster_id", F.concat(F.lit("c1/"), "name").alias("object_id"), "last_seen", "deleted")

@@ -264,3 +264,17 @@ def restarts_by_namespace(facts: DataFrame) -> DataFrame:
 
 
 RECIPES: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (coverage_latest, fact_rollup, change_rollup, allocation_rollup, container_rows, allocation_delta, presence_intervals, presence_peak, endpoint_readiness, node_capacity, node_lifecycle, interval_enrich, resize_candidates, value_history, doc_fields, object_proof, conditional_counts, transitions, churn, latest_pivot, node_totals, paired_facts, event_objects, two_hops, service_pods, edges_of, severe_facts, degraded_streams, service_topology_counts, inventory, message_search, reason_by_namespace, restarts_by_namespace)}
+
+
+def page_after(df: DataFrame, keys: list[str], after: tuple | None, size: int) -> DataFrame:
+    """The next rows by keys (unique together; null first) behind the last row of the page before, or the first ones. A comparison for each
+    key, so that the scan can skip what lies before."""
+    if after is not None:
+        behind = F.lit(False)
+        for i, key in enumerate(keys):
+            same = F.lit(True)
+            for k, v in zip(keys[:i], after, strict=False):
+                same = same & (F.col(k).isNull() if v is None else F.col(k) == F.lit(v))
+            behind = behind | (same & (F.col(key).isNotNull() if after[i] is None else F.col(key) > F.lit(after[i])))
+        df = df.where(F.coalesce(behind, F.lit(False)))
+    return df.orderBy(*(F.asc_nulls_first(k) for k in keys)).limit(size)
