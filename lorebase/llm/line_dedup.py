@@ -8,7 +8,7 @@ Equal lines are one entry with its first place. Words are ordered by rarity (cou
 hashed places, so its size is fixed; ties by hash). The first word in that order that two similar lines share is among the first
 n / 5 + 1 words of the longer line and the first n / 9 + 1 of the shorter, so the longer line's list meets the shorter line's. A word that
 stands in more than HEAVY lines is joined on together with the next shared word, which is at most one place further on, so lists don't grow
-with the corpus as words do. Lengths, places in the order and parity signatures rule out more (and no similar pair). The
+with the corpus as words do. Lists are made by plain explodes, without higher-order functions, which would end code generation. Lengths, places in the order and parity signatures rule out more (and no similar pair). The
 word sets themselves are then compared. In a first pass each line meets the earliest line of each of its lists, which
 settles the lines of large groups; two settled lines never meet again.
 
@@ -39,10 +39,16 @@ _LAST = (1 << 63) - 1
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
+def _spaced(text: Column) -> Column:
+    """The text with a blank for each other white space but the line feed; most texts have none and aren't rewritten."""
+    spaces = "\t\x0b\x0c\r"
+    found = reduce(Column.__or__, (F.contains(text, F.lit(space)) for space in spaces))
+    return F.when(found, reduce(lambda x, space: F.replace(x, F.lit(space), F.lit(" ")), spaces, text)).otherwise(text)
+
+
 def _words(line: Column) -> Column:
-    """The words of a line, and empty strings."""
-    spaces = reduce(lambda x, space: F.replace(x, F.lit(space), F.lit(" ")), "\t\x0b\x0c\r", line)
-    return F.split(spaces, " ")
+    """The words of a line of _lines(), and empty strings."""
+    return F.split(line, " ")
 
 
 def _places(df: DataFrame) -> DataFrame:
@@ -51,8 +57,8 @@ def _places(df: DataFrame) -> DataFrame:
 
 
 def _lines(df: DataFrame, rows: bool = False) -> DataFrame:
-    """(doc, rid, pos, line, lid, lid2) of each line with a word, lines counted from 1. rows: and an entry 0 for each row that has a text."""
-    split = F.split("text", "\n")
+    """(doc, rid, pos, line, lid, lid2) of each line with a word, lines counted from 1, blanks for its white space. rows: and an entry 0 for each row that has a text."""
+    split = F.split(_spaced(F.col("text")), "\n")
     d = _places(df).select("doc", "rid", F.posexplode(F.concat(F.array(F.lit("")), split) if rows else split).alias("pos", "line"))
     d = d if rows else d.withColumn("pos", F.col("pos") + 1)
     row = F.col("pos") == 0
@@ -92,23 +98,27 @@ def _marks(distinct: DataFrame, ranks: Column) -> DataFrame:
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     d = distinct.select("lid", "lid2", "doc", F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("h"))
     key = F.transform("h", lambda h: F.coalesce(F.get(ranks, _place_of(h)), F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 48).cast("int")))
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 40).cast("int"))  # noqa: E731  (modulo 64)
-    sig = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
-    half = F.filter("h", lambda h: F.shiftrightunsigned(h, 39).bitwiseAND(1) == 1)
-    d = d.select("lid", "lid2", "doc", F.size("h").alias("n"), sig("h").alias("sig"), F.when(F.size("h") > _LONG, sig(half)).otherwise(F.lit(0).cast("long")).alias("sig2"), F.sort_array(key).alias("keys"))
+    d = d.select("lid", "lid2", "doc", F.size("h").alias("n"), key.alias("keys"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)  # noqa: E731  (modulo 64)
+    sig = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
+    half = F.filter("keys", lambda k: k.bitwiseAND(64) != 0)
+    sig2 = F.when(F.col("n") > _LONG, sig(half)).otherwise(F.lit(0).cast("long"))
+    d = d.select("lid", "lid2", "doc", "n", sig("keys").alias("sig"), sig2.alias("sig2"), F.sort_array("keys").alias("keys"))
     return d.withColumn("keys", F.slice("keys", F.lit(1), _prefix("n", OVER, UNDER) + 1))
 
 
-def _postings(marks: DataFrame, heavy: int, part: int, short: bool) -> DataFrame:
-    """(key, lid, doc, n, at, sig, sig2) for one of PARTS classes of keys. short: of the words that a line shares with longer ones."""
+def _postings(marks: DataFrame, heavy: int, part: int, short: bool, *more: str) -> DataFrame:
+    """(key, lid, doc, n, at, sig, sig2, *more) for one of PARTS classes of keys. short: of the words that a line shares with longer ones."""
     length = _prefix("n", 2 * OVER, OVER + UNDER) if short else _prefix("n", OVER, UNDER)
-    d = marks.select("lid", "doc", "n", "sig", "sig2", "keys", length.alias("length"), F.posexplode("keys").alias("at", "word"))
+    own = ("lid", "doc", "n", "sig", "sig2", *more)
+    d = marks.select(*own, "keys", length.alias("length"), F.posexplode("keys").alias("at", "word"))
     d = d.where((F.col("at") < F.col("length")) & (F.pmod("word", F.lit(PARTS)) == part))
-    alone = F.col("word").cast("long") * (1 << 32)
-    # the words behind a heavy one, up to the first that isn't in the prefix
-    behind = F.transform(F.slice("keys", F.col("at") + 2, F.col("length") - F.col("at")), lambda w: F.lit(1 << 31) + w)
-    beside = F.when((F.col("word") < heavy) | (F.col("n") == 1), F.array(F.lit(0).cast("long"))).otherwise(behind)
-    return d.select("lid", "doc", "n", "sig", "sig2", "at", alone.alias("alone"), F.explode(beside).alias("beside")).select((F.col("alone") + F.col("beside")).alias("key"), "lid", "doc", "n", "at", "sig", "sig2")
+    # a heavy word goes with each word behind it, up to the first that isn't in the prefix
+    alone = (F.col("word") < heavy) | (F.col("n") == 1)
+    beside = F.when(alone, F.slice("keys", 1, 1)).otherwise(F.slice("keys", F.col("at") + 2, F.col("length") - F.col("at")))
+    d = d.select(*own, "at", "word", alone.alias("alone"), F.explode(beside).alias("beside"))
+    second = F.when(F.col("alone"), F.lit(0).cast("long")).otherwise(F.lit(1 << 31) + F.col("beside"))
+    return d.select((F.col("word").cast("long") * (1 << 32) + second).alias("key"), "at", *own)
 
 
 def _may_match(x: str, y: str) -> Column:
@@ -153,7 +163,7 @@ def _removed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = entries.where("pos > 0")
     ranks, heavy = _rarity(distinct)
     marks = materialize(_marks(distinct, ranks), "marks")
-    by_word = Window.partitionBy("key").orderBy("doc", "lid")
+    by_word = Window.partitionBy("key").orderBy("doc", "lid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def with_lead(part: int) -> DataFrame:
         # the words that two lines of one length must share one of; which of a group's lines meet their lead first doesn't matter
@@ -161,15 +171,20 @@ def _removed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         return listed.select("*", *(F.col(f"lead.{c}").alias(f"y_{c}") for c in ("n", "at", "sig", "sig2"))).where(_may_match("", "y_")).select(F.col("lid").alias("x"), F.col("lead.lid").alias("y"))
 
     settled = _in_parts(with_lead, distinct)
-    known = few(settled)
-    open_, closed = (marks.join(known, ["lid", "lid2"], how) for how in ("left_anti", "left_semi"))
-
-    def met(longer: DataFrame, shorter: DataFrame, part: int) -> DataFrame:
-        x, y = (_postings(m, heavy, part, short).select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("lid", "n", "at", "sig", "sig2"))) for m, s, short in ((longer, "x", False), (shorter, "y", True)))
+    known = marks.join(few(settled.withColumn("settled", F.lit(True))), ["lid", "lid2"], "left").withColumn("settled", F.col("settled").isNotNull())
+
+    def met(part: int) -> DataFrame:
+        # side 0: open lines meet all shorter ones; side 1: settled lines meet the open shorter ones
+        side = F.when(F.col("settled"), F.lit(1)).otherwise(F.lit(0))
+        sides = F.explode(F.when(F.col("settled"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
+        x, y = (
+            _postings(known, heavy, part, short, "settled").select("key", of.alias("side"), *(F.col(c).alias(f"{s}_{c}") for c in ("lid", "n", "at", "sig", "sig2")))
+            for s, short, of in (("x", False, side), ("y", True, sides))
+        )
         once = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_lid") > F.col("y_lid")))
-        return x.join(y, "key").where(once & _may_match("x_", "y_")).select(F.col("x_lid").alias("x"), F.col("y_lid").alias("y"))
+        return x.join(y, ["key", "side"]).where(once & _may_match("x_", "y_")).select(F.col("x_lid").alias("x"), F.col("y_lid").alias("y"))
 
-    late = settled.union(_in_parts(lambda part: met(open_, marks, part).union(met(closed, open_, part)), distinct)).distinct()
+    late = settled.union(_in_parts(met, distinct)).distinct()
     late = late.withColumn("late", F.lit(True))
     first = distinct.select("lid", "lid2", *(F.col(c).alias(f"f_{c}") for c in ("doc", "rid", "pos")), "copies")
     place = materialize(first.join(late, ["lid", "lid2"], "left").where("copies > 1 OR late").drop("copies"), "places")
