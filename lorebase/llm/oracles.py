@@ -53,6 +53,38 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 """
 
 
+FILTER_AUDIT = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_W}) AS ws, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        {{'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws), 'C': 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t),
+          'D': regexp_matches(t, '[#$%&*|]'), 'E': first_id IS NOT NULL AND (d.doc_id IS NULL OR d.doc_id > first_id)}} AS f FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+w AS (SELECT part, good, toxic, (CASE WHEN f.A THEN 'A' ELSE '' END || CASE WHEN f.B THEN 'B' ELSE '' END || CASE WHEN f.C THEN 'C' ELSE '' END || CASE WHEN f.D THEN 'D' ELSE '' END || CASE WHEN f.E THEN 'E' ELSE '' END) AS fails, count(*) AS n FROM m GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT x AS filter_order FROM letters UNION ALL SELECT filter_order || x FROM o, letters WHERE length(filter_order) < 5 AND NOT contains(filter_order, x)),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS x, filter_order[:step - 1] AS before FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5)),
+c AS (SELECT part, filter_order, step, x, n, good, toxic, contains(fails, x) AS bad, regexp_matches(fails, '[' || before || '_]') AS gone, fails = x AS alone FROM s, w),
+r AS (SELECT part, filter_order, step, x, CAST(sum(n) FILTER (WHERE NOT bad AND NOT gone) AS BIGINT) AS kept, CAST(sum(n) FILTER (WHERE bad AND NOT gone) AS BIGINT) AS removed, CAST(sum(n) FILTER (WHERE bad AND gone) AS BIGINT) AS redundant,
+        CAST(sum(n) FILTER (WHERE alone) AS BIGINT) AS unique_fails, CAST(sum(n) FILTER (WHERE bad AND NOT gone AND good) AS BIGINT) AS good_lost, CAST(sum(n) FILTER (WHERE bad AND NOT gone AND toxic) AS BIGINT) AS toxic_lost FROM c GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM r
+"""
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+LEXICAL_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ws FROM documents WHERE text IS NOT NULL),
+all_docs AS (SELECT CAST(count(*) AS HUGEINT) AS nn, CAST(sum(len(ws)) AS HUGEINT) AS ll FROM d WHERE len(ws) > 0),
+q AS (SELECT row_number() OVER () AS qid, item_id, {_TERMS} AS ws FROM benchmark WHERE text IS NOT NULL),
+a AS (SELECT qid, item_id, term, count(*) AS times FROM (SELECT qid, item_id, unnest(ws) AS term FROM q) GROUP BY qid, item_id, term),
+p AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(ws) AS n, unnest(ws) AS term FROM d) SEMI JOIN a USING (term) GROUP BY rid, doc_id, n, term),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, all_docs GROUP BY term, nn),
+i AS (SELECT rid, doc_id, p.term, w * ((1000000000 * tf) // (1000 * tf + 12 * CAST(75 + (25 * n * nn) // ll AS BIGINT))) AS impact FROM p JOIN f ON f.term = p.term, all_docs),
+s AS (SELECT qid, item_id, rid, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM a JOIN i ON i.term = a.term GROUP BY qid, item_id, rid, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
 def _quality_rules() -> str:
     classes = [f"length(regexp_replace(t, '{p}', '', 'g'))" for p in CLASSES.values()]
     listed = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in COMMON_WORDS.items()) + " END"

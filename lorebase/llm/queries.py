@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .common import documents
+from .filter_audit import filter_audit
+from .html_text import extract_pages
+from .lexical_search import ranked_search
 from .line_dedup import line_dedup_report
 from .mixing import mix_report
 from .near_dedup import near_duplicates
@@ -67,6 +70,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_substring_dedup": op2_substring_dedup,
@@ -79,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_topk": op9_exact_topk,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,6 +105,8 @@ ORACLE_SQL: dict[str, str] = {
     "op6_mixing": oracles.MIXING,
     "op7_line_dedup": oracles.LINE_DEDUP,
     "op10_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op11_filter_audit": oracles.FILTER_AUDIT,
+    "op13_lexical_search": oracles.LEXICAL_SEARCH,
     "op9_exact_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -56,10 +56,10 @@ def is_space(data: np.ndarray) -> np.ndarray:
     return (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first word of each text and the total): words never cross texts."""
+def spans(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first word of each text and the total): words never cross texts. in_word marks the bytes of words, else those that aren't white space."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~is_space(data)
+    inside[1:-1] = ~is_space(data) if in_word is None else in_word
     starts = inside[1:] & ~inside[:-1]
     ends = inside[:-1] & ~inside[1:]
     cut = offsets[1:-1]
