@@ -58,11 +58,11 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def patterns(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, mask, good, toxic, n): documents by what they fail and how they are labelled."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), F.col("text").cast("string").alias("text")).mapInArrow(_mask, _MASKED)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("known"), (F.col("quality") == 1).alias("g"), (F.col("toxic") == 1).alias("t")).where("known IS NOT NULL").groupBy("known").agg(F.max("g").alias("good"), F.max("t").alias("toxic"))
-    once = rows.groupBy("doc_id", "text_key", "part", "mask").agg(F.count("*").alias("c"))
-    labelled = once.where("doc_id IS NOT NULL").join(known, F.col("doc_id") == F.col("known"), "left").select(once.columns + [F.coalesce(x, F.lit(False)).alias(x) for x in ("good", "toxic")])
-    labelled = labelled.unionByName(once.where("doc_id IS NULL").withColumns({"good": F.lit(False), "toxic": F.lit(False)}))
+    with_id, without = (rows.where(c).mapInArrow(_mask, _MASKED).groupBy("doc_id", "text_key", "part", "mask").agg(F.count("*").alias("c")) for c in ("doc_id IS NOT NULL", "doc_id IS NULL"))
+    labelled = with_id.join(known, F.col("doc_id") == F.col("known"), "left").select(with_id.columns + [F.coalesce(x, F.lit(False)).alias(x) for x in ("good", "toxic")])
+    labelled = labelled.unionByName(without.withColumns({"good": F.lit(False), "toxic": F.lit(False)}))
     groups = labelled.groupBy("text_key", "part", "mask", "good", "toxic").agg(F.sum("c").alias("n"), F.min("doc_id").alias("least"), F.min_by("c", "doc_id").alias("at_least"))
     groups = groups.withColumn("first", F.min("least").over(Window.partitionBy("text_key")))
     stays = F.when(F.col("first").isNull(), F.col("n")).when(F.col("least") == F.col("first"), F.col("at_least")).otherwise(0)
