@@ -400,18 +400,30 @@ def unreadable(observations: DataFrame) -> DataFrame:
     return observations.where(bad).groupBy("cluster_id", "resource").agg(F.count("*").alias("rows"))
 
 
-def evidence(observations: DataFrame, resolver: Resolver | None = None, extractor_set: str | Column = "default") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts, edges, changes) DataFrames of observation rows that have an object_id. extractor_set: a set's name, or a column of names; an unknown set matches nothing. Edges never close."""
+def with_evidence(observations: DataFrame, resolver: Resolver | None = None, extractor_set: str | Column = "default", wanted: Column | None = None) -> DataFrame:
+    """observations with a column evidence of facts, edges and changes; rows that aren't wanted have none and aren't parsed."""
     resolver = resolver or Resolver()
     named = F.lit(extractor_set) if isinstance(extractor_set, str) else extractor_set
+    doc = F.col("doc") if wanted is None else F.when(wanted, F.col("doc"))
 
     @F.pandas_udf(f"facts {_FACT}, edges {_EDGE}, changes {_CHANGE}")
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([extract(r, resolver, SETS.get(r["extractor_set"], ())) for r in rows.fillna("").to_dict("records")], columns=["facts", "edges", "changes"])
 
-    out = observations.withColumn("_e", run(F.struct("cluster_id", "observation_type", "kind", "namespace", "name", "doc", named.alias("extractor_set"))))
+    return observations.withColumn("evidence", run(F.struct("cluster_id", "observation_type", "kind", "namespace", "name", doc.alias("doc"), named.alias("extractor_set"))))
+
+
+def split_evidence(out: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts, edges, changes) DataFrames of rows with evidence. Edges never close."""
     obj = ["object_id", "kind", "namespace", "name"]
-    facts = out.select("cluster_id", F.col("observed_at").alias("ts"), *obj, F.explode("_e.facts").alias("f")).select("cluster_id", "ts", *obj, "f.*")
-    edges = out.select("cluster_id", F.col("observed_at").alias("valid_from"), F.col("object_id").alias("src_id"), F.col("kind").alias("src_kind"), F.explode("_e.edges").alias("x")).select("cluster_id", "x.edge_type", "src_id", "x.dst_id", "src_kind", "x.dst_kind", "valid_from", F.lit(None).cast("timestamp").alias("valid_to"), F.lit("").alias("detail"))
-    changes = out.select("cluster_id", F.col("observed_at").alias("ts"), *obj, F.explode("_e.changes").alias("c")).select("cluster_id", "ts", *obj, "c.*")
+    facts = out.select("cluster_id", F.col("observed_at").alias("ts"), *obj, F.explode("evidence.facts").alias("f")).select("cluster_id", "ts", *obj, "f.*")
+    edges = out.select("cluster_id", F.col("observed_at").alias("valid_from"), F.col("object_id").alias("src_id"), F.col("kind").alias("src_kind"), F.explode("evidence.edges").alias("x"))
+    ends = [F.lit(None).cast("timestamp").alias("valid_to"), F.lit("").alias("detail")]
+    edges = edges.select("cluster_id", "x.edge_type", "src_id", "x.dst_id", "src_kind", "x.dst_kind", "valid_from", *ends)
+    changes = out.select("cluster_id", F.col("observed_at").alias("ts"), *obj, F.explode("evidence.changes").alias("c")).select("cluster_id", "ts", *obj, "c.*")
     return facts, edges, changes
+
+
+def evidence(observations: DataFrame, resolver: Resolver | None = None, extractor_set: str | Column = "default") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts, edges, changes) DataFrames of observation rows that have an object_id. extractor_set: a set's name, or a column of names; an unknown set matches nothing."""
+    return split_evidence(with_evidence(observations, resolver, extractor_set))

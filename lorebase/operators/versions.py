@@ -91,7 +91,8 @@ def latest(df: DataFrame, *keys: str, order: tuple[str, ...] = ("observed_at", "
 
 def raw_latest(observations: DataFrame) -> DataFrame:
     """V8: the newest document of each live object, as it came."""
-    return latest(observations, *OBJECT, order=("observed_at", "resource_version")).where("observation_type <> 'DELETED'")
+    digits = observations.withColumn("_digits", F.length("resource_version"))  # of versions of one time, the larger number is the newer
+    return latest(digits, *OBJECT, order=("observed_at", "_digits", "resource_version")).drop("_digits").where("observation_type <> 'DELETED'")
 
 
 def live_refs(observations: DataFrame) -> DataFrame:

@@ -1,21 +1,24 @@
 """List-then-watch ingest (K9, S5, S7, X1-X3): a listed snapshot, the watch events behind it, and offset rows for each step of a stream.
 
-A stream is a resource of a cluster. Tables are appended batch by batch under one folder: the list is batch 0 and micro-batch n is n + 1, and a
-rerun of a batch replaces what it wrote. Versioning goes on from object_state, which has a small row for each object that a batch saw.
+A stream is a resource of a cluster. Each batch is one commit of all tables to the store of a folder: the list is batch 0 and micro-batch n is
+n + 1; a batch that is committed already is left out when it comes again. Versioning goes on from object_state, a small row for each object,
+of which a batch reads the buckets that its own objects fall into.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity
-from ..operators.versions import OBJECT, latest, prior_state, raw_latest, relist_deletes
+from ..operators.versions import latest, raw_latest, relist_deletes
 from ..schema import TABLES, Tables, empty
 from ..sources.documents import decode, observations, read_documents, split_bookmarks
-from ..sources.sinks import coalesced_offsets, write_batch
+from ..sources.sinks import coalesced_offsets
+from ..sources.store import Store
 from ..streaming.ingest import watch
 from .ingest import ingest
 
@@ -87,25 +90,30 @@ def _says(column: str, words: list[str]) -> Column:
     return found
 
 
-def ingest_batch(spark: SparkSession, root: str, number: int, rows: DataFrame, offsets: DataFrame, readd_versions: bool = True) -> None:
-    """Evidence of a batch of observations, with versions that go on from the batches before it, and its offset rows (the last of each stream and event)."""
-    before = _state(spark, root, number)
-    ids = rows.select("cluster_id", identity.logical_id().alias("object_id")).distinct()
-    tables = ingest(rows, prior=before.join(ids, OBJECT, "left_semi"), readd_versions=readd_versions)
-    marked = tables["observations"].persist()
-    tables |= {"observations": marked.drop("object_id", "seq", "content_changed"), "ingestion_offsets": coalesced_offsets(offsets)}
-    write_batch(tables, root, str(number))
-    prior_state(marked).write.mode("overwrite").parquet(f"{root}/object_state/batch={number}")
-    marked.unpersist()
-
-
-def _state(spark: SparkSession, root: str, number: int) -> DataFrame:
-    """The newest state of each object in the batches before a number."""
-    schema = "cluster_id string, object_id string, seq bigint, doc_hash string, deleted boolean"
-    if number == 0:
-        return spark.createDataFrame([], schema)
-    states = spark.read.schema(f"{schema}, batch int").option("basePath", f"{root}/object_state").parquet(f"{root}/object_state").where(F.col("batch") < number)
-    return latest(states, *OBJECT, order=("batch",)).drop("batch")
+def ingest_batch(spark: SparkSession, root: str, number: int, rows: DataFrame, offsets: DataFrame, readd_versions: bool = True) -> bool:
+    """Commits the evidence of a batch of observations, with versions that go on from the batches before it, and its offset rows (the last of
+    each stream and event). False, and nothing done, where the batch is committed already.
+
+    Filtered rows and evidence are written once, to a folder that goes after the commit, and all tables come from there. State and aliases are
+    read by the buckets that the batch's objects fall into.
+    """
+    store = Store(spark, root)
+    last = store.last_batch()
+    if last is not None and number <= last:
+        return False
+    staged = f"{root}/_staged/{number}-{uuid4().hex}"
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{staged}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{staged}/{name}")
+
+    try:
+        tables = ingest(rows, prior=lambda ids: store.touched("object_state", ids), aliases=lambda ids: store.touched("canonical_ids", ids), readd_versions=readd_versions, enrich=True, stage=stage)
+        tables["latest_raw"] = tables.pop("latest_raw_updates")
+        return store.commit(number, tables | {"ingestion_offsets": coalesced_offsets(offsets)})
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def list_then_watch(spark: SparkSession, root: str, streams: DataFrame, listed: DataFrame, events: str, at: datetime, previous: DataFrame | None = None, namespace: str = "", files_per_trigger: int = 100) -> None:

@@ -476,3 +476,6 @@ def v20_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each object with its last time, and whether that was a deletion."""
     m = versions.identity_matches(adapter.observations(spark, sf_dir))
     return m.select("cluster_id", F.concat(F.lit("c1/"), "name").alias("object_id"), "last_seen", "deleted")
+
+
+from . import stored_queries  # noqa: E402, F401  its queries are registered here

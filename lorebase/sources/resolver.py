@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Resource(NamedTuple):
@@ -75,11 +75,14 @@ class Resolver:
         return found or Resource(group, "", plural(kind), kind, True)
 
     def with_crds(self, crd_docs: DataFrame) -> Resolver:
-        """Adds the resources that custom resource definitions (column doc) define; there are few of them, so they are collected."""
-        for row in crd_docs.select("doc").distinct().collect():
-            spec = (json.loads(row["doc"]) or {}).get("spec") or {}
-            names, versions = spec.get("names") or {}, spec.get("versions") or [{}]
-            stored = next((v for v in versions if v.get("storage")), versions[0])
-            if names.get("kind"):
-                self.add(Resource(spec.get("group", ""), stored.get("name", ""), names.get("plural") or plural(names["kind"]), names["kind"], spec.get("scope") != "Cluster"))
+        """Adds the resources that custom resource definitions (column doc) define: a row a group and kind, the newest where observed_at is there.
+        Definitions that aren't JSON, or have no kind, add nothing."""
+        at = lambda path: F.coalesce(F.get_json_object("doc", f"$.spec.{path}"), F.lit(""))
+        versions = F.coalesce(F.from_json(at("versions"), "array<struct<name:string,storage:boolean>>"), F.array())
+        stored = F.coalesce(F.get(F.filter(versions, lambda v: v["storage"]), 0)["name"], F.get(versions, 0)["name"], F.lit(""))
+        when = F.col("observed_at") if "observed_at" in crd_docs.columns else F.lit(0)
+        rows = crd_docs.select(at("group").alias("group"), at("names.kind").alias("kind"), F.struct(when.alias("at"), stored.alias("version"), at("names.plural").alias("plural"), at("scope").alias("scope")).alias("d")).where("kind <> ''")
+        for r in rows.groupBy("group", "kind").agg(F.max("d").alias("d")).collect():  # one row a kind that is defined
+            d = r["d"]
+            self.add(Resource(r["group"], d["version"], d["plural"] or plural(r["kind"]), r["kind"], d["scope"] != "Cluster"))
         return self

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import PARTITIONED, TABLES
+from .store import Store
 
-#: The order in which a batch's tables are written. A batch isn't atomic over tables; a rerun replaces its own files.
+#: The order in which write_batch writes a batch's tables. It isn't atomic over tables (store.Store is); a rerun replaces its own files.
 ORDER = ("observations", "object_aliases", "versions", "facts", "edges", "changes", "filter_decisions", "ingestion_offsets")
 
 
@@ -29,6 +30,9 @@ def write_batch(tables: Mapping[str, DataFrame], root: str, batch: str = "") ->
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of a folder: of one with manifests what they name, else all of its files."""
+    if (store := Store(spark, root)).manifests():
+        return store.read(name)
     columns = [c.strip().split()[0] for c in TABLES[name].split(",")]
     return spark.read.parquet(f"{root}/{name}").select(*columns)
 
@@ -42,8 +46,8 @@ def create_tables(spark: SparkSession, database: str = "default") -> None:
 
 
 def coalesced_offsets(offsets: DataFrame) -> DataFrame:
-    """K5: of a batch's offset rows the last of each stream and event."""
-    w = Window.partitionBy("cluster_id", "api_group", "resource", "namespace", "event").orderBy(F.desc("updated_at"), F.desc("resource_version"))
+    """K5: of a batch's offset rows the last of each stream and event; of one time, the version of most digits, then the larger text."""
+    w = Window.partitionBy("cluster_id", "api_group", "resource", "namespace", "event").orderBy(F.desc("updated_at"), F.desc(F.length("resource_version")), F.desc("resource_version"))
     return offsets.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
 
 
