@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows up to which a table is broadcast.
 FEW = 500_000
 _own_dir: list[str] = []
-_recording: list[list[str]] = []
+#: The list that materialize() adds paths to, of this thread or task alone.
+_recording: ContextVar[list[str] | None] = ContextVar("recording", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,8 +46,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     write's shuffle files as it ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    if _recording:
-        _recording[-1].append(path)
+    if (paths := _recording.get()) is not None:
+        paths.append(path)
     with _no_shuffle_files_left(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -85,11 +87,11 @@ def drop_paths(spark: SparkSession, paths: Iterable[str]) -> None:
 def recorded() -> Iterator[list[str]]:
     """Gathers the paths of the tables that are materialized inside."""
     paths: list[str] = []
-    _recording.append(paths)
+    before = _recording.set(paths)
     try:
         yield paths
     finally:
-        _recording.remove(paths)
+        _recording.reset(before)
 
 
 def text_of(column: str = "text") -> Column:

@@ -6,8 +6,8 @@ the smallest gap seen so far that holds it (its successor), and what remains of
 their own range take, by rank, gaps that ranges before it have left, nearest first; those ranges hold only larger
 sizes, so any of these fits. That pairing works on counts of the ranges (one row a range), so a round costs one sort and
 one join, each even over the tasks whatever the lengths' distribution. Where the pieces still left need more room than all gaps have, or
-none was placed, the largest open new sequences. Every input has a round of at least FIRST_RANGES ranges; when few rows are left after
-a round, the last round is one sweep of one range, which ends the work.
+none was paired, the largest open new sequences. Rounds go on until no piece is left; each of them places some. Ranges are of one size, so what is left has
+fewer of them round by round.
 
 Null texts are empty: a document of the end id alone. Null and repeated ids are allowed, each row is a document; an empty
 table gives no rows. Columns besides the two named are ignored by pack_documents() and kept by pack_rows().
@@ -33,7 +33,7 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _STATE = "kind int, size long, uid long, doc_id long, piece int, start long, ids_crc32 long, seq long, offset long"
 _SWEPT = f"{_STATE}, part int, nth long"
 _NAMES = [x.split()[0] for x in _SWEPT.split(", ")]
-#: Rows that one range has about; with no more than twice as many rows left after a round, one sweep ends the work.
+#: Rows that one range has about.
 RANGE_ROWS = 25_000
 #: The least ranges of the first round, and the most of any: the list of ranges goes through the driver, so beyond that ranges grow.
 FIRST_RANGES, MOST_RANGES = 8, 20_000
@@ -66,8 +66,8 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: st
     return rows.mapInArrow(_cutter(tokenizer, end_id, capacity), _PIECE)
 
 
-def _sweep(capacity: int, alone: bool):
-    """One range, from large to small. alone: it is the only one, so a piece without a gap opens a sequence."""
+def _sweep(capacity: int):
+    """One range, from large to small."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -98,8 +98,6 @@ def _sweep(capacity: int, alone: bool):
                 s = gaps[gap].pop()
                 if not gaps[gap]:
                     del gaps[gap], sizes[at]
-            elif alone:
-                gap, s = capacity, int(uid[i])
             else:
                 nth[i], n_left = n_left, n_left + 1
                 continue
@@ -115,7 +113,7 @@ def _sweep(capacity: int, alone: bool):
             out = out.set_column(out.schema.get_field_index(name), name, pa.array(values, t.schema.field(name).type, mask=None if name == "kind" else values < 0))
         out = out.append_column("part", pa.array(np.full(len(keep), part, np.int32))).append_column("nth", pa.array(nth[keep]))
         yield from out.select(_NAMES).combine_chunks().to_batches()
-        if not alone and gaps:
+        if gaps:
             # gaps that hold any piece of later ranges are ranked, smallest first
             size_left = np.array([g for g in sizes for _ in gaps[g]], np.int64)
             ranks = np.where(size_left >= least, np.arange(len(size_left)) - int(np.searchsorted(size_left, least)), -1)
@@ -147,7 +145,9 @@ def _pair_ranges(counts: list, capacity: int) -> tuple[list[tuple], list[tuple]]
         if n_gaps:
             stack.append((part, 0, n_gaps))
     need = sum((b - a) * mean for _, a, b, mean in short) - sum(x[4] for x in counts)
-    new = max(0, -int(-need // capacity)) or int(not links and bool(short))
+    new = max(0, -int(-need // capacity))
+    if not new and not links and short:  # the room there is fits none of them: half of what their tokens need is opened
+        new = -int(-sum((b - a) * mean for _, a, b, mean in short) // (2 * capacity))
     opened = []
     for part, a, b, _ in short:
         if new > 0:
@@ -174,14 +174,10 @@ def pack_rows(pieces_df: DataFrame, capacity: int) -> DataFrame:
             break
         state = state.where((F.col("kind") == _PIECES) | (F.col("size") >= found["least"]))  # other gaps stay as they are
         order = [F.desc("size"), F.desc("kind"), F.xxhash64("uid", "seq")]
-        alone = rounds > 0 and found["rows"] <= 2 * RANGE_ROWS
         ranges = min(MOST_RANGES, max(1 if rounds else FIRST_RANGES, -(-found["rows"] // RANGE_ROWS)))
         rounds += 1
-        dealt = state.coalesce(1) if alone else state.repartitionByRange(ranges, *order)
-        swept = materialize(dealt.sortWithinPartitions(*order).mapInArrow(_sweep(capacity, alone), _SWEPT), "swept")
+        swept = materialize(state.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT), "swept")
         done.append(swept.where(F.col("kind") == _PLACED).select(names))
-        if alone:
-            break
         counts = swept.where(F.col("kind") != _PLACED).groupBy("part").agg(
             F.count(F.when(F.col("kind") == _PIECES, 1)).alias("p"), F.coalesce(F.avg(F.when(F.col("kind") == _PIECES, F.col("size"))), F.lit(0.0)).alias("m"),
             F.count(F.when((F.col("kind") == _GAPS) & (F.col("nth") >= 0), 1)).alias("g"), F.coalesce(F.sum(F.when(F.col("kind") == _GAPS, F.col("size"))), F.lit(0)).alias("room"))

@@ -214,9 +214,10 @@ def _scorer(model: Model | None):
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted) of each document. Labels are learned only from rows that aren't held out: crc32(id as text) mod 3 is not 1."""
     held = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(True))
+    named = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))  # other columns of docs may have any name
     known = labels.where(~held(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"))
-    known = known.where(F.col("label").isin(0, 1)).join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi").withColumn("_o", F.xxhash64("_id"))
+    known = known.where(F.col("label").isin(0, 1)).join(named.select(F.col("_doc").alias("_id")), "_id", "left_semi").withColumn("_o", F.xxhash64("_id"))
     known = F.broadcast(_sampled(known, "label", "_o", "_id"))
-    model = train(docs.join(known, F.col(id_col) == F.col("_id")).select(text_col, "label", "_id"), text_col, "label", F.xxhash64("_id"))
+    model = train(named.join(known, F.col("_doc") == F.col("_id")).select("_text", "label", "_id"), "_text", "label", F.xxhash64("_id"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held(F.col(id_col)).alias("held_out"))
     return rows.mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double, predicted int")

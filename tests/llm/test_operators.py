@@ -431,3 +431,11 @@ def test_bytes_and_words():
     assert np.diff(first).tolist() == [len(words(t)) for t in texts]
     h = w.word_hashes(data, start, end)
     assert len(set(h.tolist())) == len(h) and h[0] == w.word_hashes(*[np.frombuffer(b"..ab", np.uint8), np.array([2]), np.array([4])])[0]
+
+
+def test_classifier_with_clashing_columns(spark, sample):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    names = ["label", "_id", "_o", "_doc", "_text", "_rank", "quality", "held_out", "score", "predicted", "o"]
+    more = sample.withColumns({c: F.lit("x") for c in names})
+    plain = {tuple(r) for r in quality_crf.quality_scores(sample, labels).collect()}
+    assert {tuple(r) for r in quality_crf.quality_scores(more, labels.withColumns({c: F.lit("x") for c in names if c != "quality"})).collect()} == plain
