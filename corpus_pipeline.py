@@ -1,15 +1,13 @@
 """The corpus pipeline over the documents table: quality rules, line dedup, near-duplicate removal, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns a DataFrame; run() writes each result to the
-shared folder and reads it back. All stages but the last return the columns of documents. No stage can be told in SQL as a whole
+shared folder, reads it back, and removes the stage's own intermediate tables. Stages hold nothing between calls: they can be composed without writing,
+and several runs can go on at once. All stages but the last return the columns of documents. No stage can be told in SQL as a whole
 (near-duplicate classes and packing are iterative), so ORACLE_SQL is None and tests/llm holds the stages against brute force.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,49 +20,28 @@ from lorebase.llm.packing import pack_documents
 from lorebase.llm.quality_rules import filter_documents
 
 ORACLE_SQL = None
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Intermediate tables of the stage before. Its result is written by the time the next stage is called, so they go then.
-_left_over: list[str] = []
-
-
-def _stage(f: Stage) -> Stage:
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_paths(spark, _left_over)
-        _left_over.clear()
-        with recorded() as paths:
-            out = f(spark, docs, sf_dir)
-        _left_over.extend(paths)
-        return out
-
-    return run_stage
 
 
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
     return filter_documents(docs)
 
 
-@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that come again; one that loses all its lines goes."""
     return dedup_lines(docs).where((F.col("n_lines_removed") < F.col("n_lines_before")) | (F.col("n_lines_before") <= 0)).drop("n_lines_before", "n_lines_removed")
 
 
-@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     return keep_one(docs)
 
 
-@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, once for each time it does."""
     return mix(docs)
 
 
-@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the mixed documents and their places in sequences of 2048 tokens."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
@@ -83,5 +60,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with recorded() as tables:
+            lazy = stage(spark, docs, sf_dir)
+        docs = materialize(lazy, name.replace(" ", "_"))
+        drop_paths(spark, tables)
     return docs
