@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import moment, quantity_to_double
+from ..operators.asof import newest_within
 from ..operators.read import between
 
 REFS = ["cluster_id", "namespace", "name", "uid"]
@@ -116,13 +117,8 @@ def node_capacity(observations: DataFrame) -> DataFrame:
 
 
 def interval_enrich(events: DataFrame, observations: DataFrame, keys: list[str], value: str, when: str = "ts", before_min: int = 30, after_min: int = 60, keep: Column | None = None) -> DataFrame:
-    """Each event with the newest value of a row of the same keys within a time range around it. The keys are joined by equality, the range is a residual."""
-    o = observations.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("observed_at").alias("_at"), F.col(value).alias("_value"), (keep if keep is not None else F.lit(True)).alias("_keep"))
-    near = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_at") >= F.col(when) - F.expr(f"INTERVAL {before_min} MINUTES"), F.col("_at") <= F.col(when) + F.expr(f"INTERVAL {after_min} MINUTES")]
-    cond = near[0]
-    for c in near[1:]:
-        cond = cond & c
-    return events.join(o, cond, "left").groupBy(*events.columns).agg(F.max_by(F.when(F.col("_keep"), F.col("_value")), F.when(F.col("_keep"), F.col("_at"))).alias("enriched"), F.count("_at").alias("candidates"))
+    """Each event with the newest value of a row of the same keys within a time range around it, and the number of rows there."""
+    return newest_within(events, observations, keys, value, when, before_s=60 * before_min, after_s=60 * after_min, keep=keep)
 
 
 def node_lifecycle(observations: DataFrame, start: datetime, end: datetime) -> DataFrame:

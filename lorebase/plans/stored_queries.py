@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..operators import filters, versions
+from ..operators.graph import Adjacency, search_edges
+from ..operators.quantiles import nearest_rank
+from ..operators.trigrams import TextIndex
 from ..sources.shared import new_folder
 from ..sources.store import Store
 from . import adapter
@@ -84,3 +87,31 @@ def v5_canonical_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, batch in enumerate(_batches(rows, "observed_at")):
         store.commit(number, {"canonical_ids": canonical_ids(versions.alias_rows(batch))})
     return store.read("canonical_ids").select("alias_id", F.col("object_id").alias("canonical_id"))
+
+
+@_query("SELECT event_type, q AS quantile, count(value) AS n, CASE q WHEN 0.5 THEN quantile_disc(value, 0.5) WHEN 0.95 THEN quantile_disc(value, 0.95) ELSE quantile_disc(value, 0.999) END AS value FROM events, (SELECT unnest([0.5, 0.95, 0.999]::DOUBLE[]) AS q) GROUP BY event_type, q")
+def nearest_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles by histograms of ranges that narrow down."""
+    return nearest_rank(adapter.table(spark, sf_dir, "events"), ["event_type"], "value", [0.5, 0.95, 0.999])
+
+
+@_query("SELECT doc_id, n_chars FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'under the')")
+def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold all terms, through an index of trigrams."""
+    docs = adapter.table(spark, sf_dir, "documents")
+    index = TextIndex.build(docs, ("doc_id",), F.col("text"), new_folder(spark, "trigrams"))
+    return index.search(docs, F.col("text"), ["license", "Under the"]).select("doc_id", "n_chars")
+
+
+def _round(number: int, limit: int) -> str:
+    """A round of the search: the newest edges at what the rounds before have reached."""
+    before = "(SELECT 'order/1' AS id)" if number == 1 else f"(SELECT src_id AS id FROM f{number - 1} UNION SELECT dst_id FROM f{number - 1} UNION SELECT 'order/1')"
+    taken = f"SELECT * FROM r{number}" if number == 1 else f"SELECT * FROM f{number - 1} UNION SELECT * FROM r{number}"
+    return f"""r{number} AS (SELECT DISTINCT * FROM edges WHERE src_id IN {before} OR dst_id IN {before} ORDER BY valid_from DESC, edge_type, src_id, dst_id LIMIT {limit}), f{number} AS ({taken})"""
+
+
+@_query("+ " + ", ".join(_round(i, 200) for i in (1, 2, 3)) + " SELECT edge_type, src_id, dst_id, valid_from, valid_to FROM f3", "edges")
+def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of 200 edges around an order, over the adjacency layout."""
+    graph = Adjacency.build(adapter.edges(spark, sf_dir), new_folder(spark, "adjacency"))
+    return search_edges(graph, ["order/1"], limit=200, rounds=3).select("edge_type", "src_id", "dst_id", "valid_from", "valid_to")
