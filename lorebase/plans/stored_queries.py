@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity
-from ..operators import filters, versions
+from ..operators import blobs, filters, sqlsurface, versions
 from ..operators.graph import Adjacency, search_edges
 from ..operators.quantiles import nearest_rank
 from ..operators.trigrams import TextIndex
 from ..sources.shared import new_folder
 from ..sources.store import Store
-from . import adapter
+from ..streaming.rollup import hourly_store, rollup_stream
+from . import adapter, recipe_sql
 from .ingest import raw_updates
-from .queries import _V2, _query
+from .queries import _V1, _V2, _query
 
 _CUTS = ["2024-01-08", "2024-01-15", "2024-01-22"]
 _VERSIONS = "object_id string, observed_at timestamp_ntz, seq bigint, doc_hash string"
@@ -115,3 +116,51 @@ def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rounds of 200 edges around an order, over the adjacency layout."""
     graph = Adjacency.build(adapter.edges(spark, sf_dir), new_folder(spark, "adjacency"))
     return search_edges(graph, ["order/1"], limit=200, rounds=3).select("edge_type", "src_id", "dst_id", "valid_from", "valid_to")
+
+
+@_query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS decisions, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1, 2")
+def x9_stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of events as a stream of decisions; the delay is longer than the table's time, so that the order of its files doesn't matter."""
+    folder, path = new_folder(spark, "stream"), f"{sf_dir}/events.parquet"
+    e = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/event[s].parquet")  # a pattern may name one file, a path only a folder
+    d = e.select(F.col("ts").cast("timestamp").alias("ts"), F.lit("c1").alias("cluster_id"), F.col("event_type").alias("filter_name"), F.lit("keep_modified").alias("outcome"), F.lit("").alias("reason"))
+    rollup_stream(d, f"{folder}/tables", f"{folder}/checkpoint", "400 days")
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("hour", "first_at", "last_at")]
+    return hourly_store(spark, f"{folder}/tables").read("hourly_counts").select(times[0], F.col("filter_name").alias("event_type"), "decisions", *times[1:])
+
+
+@_query(_V1 + """, v AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY observed_at DESC, seq DESC) AS i FROM s WHERE content_changed)
+SELECT doc_hash, CAST(any_value(strlen(doc)) AS BIGINT) AS size, CAST(count(*) FILTER (WHERE NOT (observed_at < TIMESTAMP '2024-01-28' AND i > 2)) AS BIGINT) AS references FROM v GROUP BY doc_hash""", "obs")
+def m1_blob_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: documents stored once, and how many versions refer to each after retention; those without a reference can go."""
+    v, stored = blobs.split_documents(versions.versions(versions.changed(adapter.observations(spark, sf_dir))))
+    gone = blobs.policy_victims(v, datetime(2024, 1, 30), [blobs.Policy("old users", timedelta(days=2), 2, resources=("users",))])
+    left = v.join(gone.select(*versions.OBJECT, "seq"), [*versions.OBJECT, "seq"], "left_anti")
+    return blobs.references(stored, left)
+
+
+def _recipes(spark: SparkSession, sf_dir: str) -> None:
+    """The driver's tables as views, and the recipes over them."""
+    at = lambda df, *cols: df.withColumns({c: F.col(c).cast("timestamp") for c in cols})
+    o = at(adapter.observations(spark, sf_dir), "observed_at")
+    views = {"observations": o, "versions": versions.versions(versions.changed(o)), "facts": at(adapter.facts(spark, sf_dir), "ts"), "changes": at(adapter.changes(spark, sf_dir), "ts")}
+    sqlsurface.register_views(views)
+    recipe_sql.install(spark)
+
+
+@_query("SELECT fact_key, fact_value, count(*) AS rows, count(DISTINCT object_id) AS objects, max(severity) AS max_severity, max(ts) AS last_ts FROM facts WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY fact_key, fact_value", "facts")
+def q5_fact_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recipe called in SQL with a named parameter."""
+    _recipes(spark, sf_dir)
+    return spark.sql("SELECT fact_key, fact_value, rows, objects, max_severity, CAST(last_ts AS TIMESTAMP_NTZ) AS last_ts FROM recipe_fact_rollup(starting => TIMESTAMP '2024-01-10')")
+
+
+@_query("""+ b AS (SELECT uid FROM obs WHERE observed_at < TIMESTAMP '2024-01-15' GROUP BY uid HAVING arg_max(observation_type, observed_at) <> 'DELETED'),
+i AS (SELECT uid, min(observed_at) FILTER (WHERE observation_type <> 'DELETED') AS fp, min(observed_at) FILTER (WHERE observation_type = 'DELETED') AS fd, count(*) AS n FROM obs WHERE observed_at >= TIMESTAMP '2024-01-15' AND observed_at < TIMESTAMP '2024-01-20' GROUP BY uid)
+SELECT uid, 1 AS from_baseline, TIMESTAMP '2024-01-15' AS interval_start, fd AS interval_end, coalesce(n, 0) AS observation_rows FROM b LEFT JOIN i USING (uid)
+UNION ALL SELECT uid, 0, fp, fd, n FROM i WHERE fp IS NOT NULL AND uid NOT IN (SELECT uid FROM b)""", "obs")
+def q5_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of presence by a recipe called in SQL."""
+    _recipes(spark, sf_dir)
+    times = "CAST(interval_start AS TIMESTAMP_NTZ) AS interval_start, CAST(interval_end AS TIMESTAMP_NTZ) AS interval_end"
+    return spark.sql(f"SELECT uid, from_baseline, {times}, observation_rows FROM recipe_presence_intervals('User', TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-20')")
