@@ -284,7 +284,8 @@ _ADDRESS = re.compile(r"\b(?:\d{1,3}\.){3}\d{1,3}\b")
 
 
 def sanitize(df: DataFrame, salt: str = "") -> DataFrame:
-    """names, addresses, images and messages of documents under aliases; equal values get equal aliases."""
+    """names, addresses, images and messages of documents under aliases; equal values get equal aliases. A document that isn't JSON becomes empty, as
+    what it holds can't be told."""
 
     def alias(kind: str, value: str) -> str:
         return f"{kind}-{hashlib.sha256(f'{salt}/{value}'.encode()).hexdigest()[:10]}"
@@ -302,8 +303,14 @@ def sanitize(df: DataFrame, salt: str = "") -> DataFrame:
             return alias(key, node)
         return _ADDRESS.sub(lambda m: alias("ip", m[0]), node)
 
+    def one(text: str) -> str:
+        try:
+            return dump(clean(json.loads(text)))
+        except ValueError:
+            return ""
+
     @F.pandas_udf("string")
     def run(docs: pd.Series) -> pd.Series:
-        return docs.map(lambda x: dump(clean(json.loads(x))), na_action="ignore")
+        return docs.map(one, na_action="ignore")
 
     return df.withColumn("doc", run("doc"))

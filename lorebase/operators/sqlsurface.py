@@ -6,9 +6,11 @@ import json
 import math
 import time
 from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Thread
 from typing import Any
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -125,6 +127,7 @@ class Script:
     max_output: int = 128 << 10
     used: int = 0
     scratch: dict[str, str] = field(default_factory=dict)
+    group: str = field(default_factory=lambda: f"script-{uuid4().hex}")
 
     def __post_init__(self) -> None:
         self.max_queries, self.max_rows = clamp(self.max_queries, 6, 10), clamp(self.max_rows, 100, 10_000)
@@ -136,6 +139,7 @@ class Script:
         self.used += n
 
     def _run(self, sql: str, max_rows: int | None) -> list[dict]:
+        self.spark.sparkContext.setJobGroup(self.group, "script", interruptOnCancel=True)
         r = query_sql(self.spark, sql, min(max_rows or self.max_rows, self.max_rows))
         return [{c: clean(v) for c, v in zip(r.columns, row, strict=True)} for row in r.rows]
 
@@ -168,10 +172,24 @@ def clean(value: Any) -> Any:
 
 
 def run_script(script: Callable[[Script], Any], spark: SparkSession, timeout_s: float = 3, **bounds: int) -> Any:
-    """Runs a Python function with a Script; its result as JSON must fit the output bound, its time the limit (at most 8 s)."""
+    """Runs a Python function with a Script; its result as JSON must fit the output bound, its time the limit (at most 8 s). At the limit its Spark
+    jobs are cancelled and TimeoutError is raised at once; a thread that computes without Spark is left behind, its result unread."""
     s = Script(spark, **bounds)
-    with ThreadPoolExecutor(1) as pool:
-        result = pool.submit(script, s).result(timeout=min(timeout_s, 8))
+    found: Future = Future()
+
+    def work() -> None:
+        try:
+            found.set_result(script(s))
+        except BaseException as e:  # noqa: BLE001  goes to the caller
+            found.set_exception(e)
+
+    Thread(target=work, daemon=True).start()
+    try:
+        result = found.result(timeout=min(timeout_s, 8))
+    except TimeoutError:
+        s.used = s.max_queries  # it may start no more
+        spark.sparkContext.cancelJobGroup(s.group)
+        raise
     if len(json.dumps(result, default=str)) > s.max_output:
         raise Refused("output too large")
     return result

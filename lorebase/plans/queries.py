@@ -478,4 +478,4 @@ def v20_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("cluster_id", F.concat(F.lit("c1/"), "name").alias("object_id"), "last_seen", "deleted")
 
 
-from . import stored_queries  # noqa: E402, F401  its queries are registered here
+from . import read_queries, stored_queries  # noqa: E402, F401  their queries are registered here
