@@ -31,7 +31,7 @@ class Encoder:
     Pieces not yet known are encoded in one call, with a special token of the vocabulary between each two.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 700_000):
         spec = json.loads(Path(path).read_text())
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[str, bytes] = {}

@@ -176,7 +176,8 @@ def pack_rows(pieces_df: DataFrame, capacity: int) -> DataFrame:
         order = [F.desc("size"), F.desc("kind"), F.xxhash64("uid", "seq")]
         ranges = min(MOST_RANGES, max(1 if rounds else FIRST_RANGES, -(-found["rows"] // RANGE_ROWS)))
         rounds += 1
-        swept = materialize(state.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT), "swept")
+        dealt = state.repartitionByRange(ranges, *order) if ranges > 1 else state.coalesce(1)  # one range, of RANGE_ROWS rows at most, needs no boundaries
+        swept = materialize(dealt.sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT), "swept")
         done.append(swept.where(F.col("kind") == _PLACED).select(names))
         counts = swept.where(F.col("kind") != _PLACED).groupBy("part").agg(
             F.count(F.when(F.col("kind") == _PIECES, 1)).alias("p"), F.coalesce(F.avg(F.when(F.col("kind") == _PIECES, F.col("size"))), F.lit(0.0)).alias("m"),
