@@ -167,3 +167,34 @@ def r25_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = adapter.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), _text("c_nationkey")).alias("cluster_id"), "c_acctbal")
     t = {"clusters": c.select(F.col("cluster_id").alias("name")).distinct(), "observations": c, "versions": c.where("c_acctbal > 0"), "facts": c.where("c_acctbal > 5000"), "edges": c.limit(0)}
     return read.list_clusters(read.without_cluster(t, "c7"))
+
+
+@_query("""SELECT 'rbac_binding_binds_subject' AS edge_type, 'customer/' || c_custkey AS src_id, 'nation/' || c_nationkey AS dst_id, 'Binding' AS source_kind, c_name AS source_name, 'Group' AS target_kind, n_name AS target_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 AND n_regionkey <> 2""")
+def t22_named_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as bindings, nations as subjects; customers in debt and one region's nations aren't known as objects."""
+    t = lambda n: adapter.table(spark, sf_dir, n)
+    named = lambda df, kind, key, name: df.select(F.lit("c1").alias("cluster_id"), F.concat(F.lit(f"{key.split('_')[1].removesuffix('key').replace('cust', 'customer')}/"), _text(key)).alias("object_id"), F.lit(kind).alias("kind"), F.lit("").alias("namespace"), F.col(name).alias("name"))
+    objects = named(t("customer").where("c_acctbal > 0"), "Binding", "c_custkey", "c_name").unionByName(named(t("nation").where("n_regionkey <> 2"), "Group", "n_nationkey", "n_name"))
+    edges = adapter.edges(spark, sf_dir).withColumn("edge_type", F.when(F.col("edge_type") == "customer_nation", "rbac_binding_binds_subject").otherwise(F.col("edge_type")))
+    return recipes.rbac_chain(edges, objects).select("edge_type", "src_id", "dst_id", "source_kind", "source_name", "target_kind", "target_name")
+
+
+@_query("SELECT fact_key, count(*) AS rows, count(DISTINCT object_id) AS objects, count(DISTINCT fact_value) AS values, max(severity) AS max_severity FROM facts GROUP BY fact_key", "facts")
+def t26_fact_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T26."""
+    return recipes.fact_inventory(adapter.facts(spark, sf_dir))
+
+
+@_query(_V1 + """, v AS (SELECT * FROM s WHERE content_changed)
+SELECT 'observations' AS "table", count(*) AS rows, max(observed_at) AS newest FROM obs UNION ALL SELECT 'versions', count(*), max(observed_at) FROM v UNION ALL SELECT 'facts', count(*), max(ts) FROM facts
+UNION ALL SELECT 'edges', count(*), max(valid_from) FROM edges UNION ALL SELECT 'changes', count(*), max(ts) FROM changes""", "obs", "facts", "changes", "edges")
+def t28_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T28."""
+    t = adapter.tables(spark, sf_dir)
+    return recipes.overview(versions=versions.versions(_marked(spark, sf_dir, False)), **t).drop("cluster_id")
+
+
+@_query(_V1 + " SELECT kind, count(DISTINCT object_id) AS objects, count(*) AS versions, CAST(sum(strlen(doc)) AS BIGINT) AS bytes FROM s WHERE content_changed GROUP BY kind", "obs")
+def t28_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T28."""
+    return recipes.kind_distribution(versions.versions(_marked(spark, sf_dir, False))).drop("cluster_id")

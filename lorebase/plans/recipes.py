@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -217,6 +218,45 @@ def edges_of(edges: DataFrame, prefix: str) -> DataFrame:
     return edges.where(F.col("edge_type").startswith(prefix)).groupBy("edge_type", "src_id", "dst_id").agg(F.max("valid_from").alias("last_seen"))
 
 
+def named_edges(edges: DataFrame, objects: DataFrame, wanted: Column) -> DataFrame:
+    """Wanted edges between objects that are known (cluster_id, object_id, kind, namespace, name), with kind, namespace and name of both ends."""
+    e = edges.where(wanted).groupBy("cluster_id", "edge_type", "src_id", "dst_id").agg(F.max("valid_from").alias("last_seen"))
+    end = lambda side, as_: objects.select("cluster_id", F.col("object_id").alias(f"{side}_id"), *(F.col(c).alias(f"{as_}_{c}") for c in ("kind", "namespace", "name")))
+    return e.join(end("src", "source"), ["cluster_id", "src_id"]).join(end("dst", "target"), ["cluster_id", "dst_id"])
+
+
+def rbac_chain(edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """Bindings with the roles they grant and the subjects they bind."""
+    return named_edges(edges, objects, F.col("edge_type").isin("rbac_binding_binds_subject", "rbac_binding_grants_role"))
+
+
+def webhook_services(edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """Webhooks of admission, conversion and API services, and the services behind them."""
+    return named_edges(edges, objects, F.col("edge_type").isin("webhook_uses_service", "crd_conversion_webhook_uses_service", "apiservice_uses_service"))
+
+
+def certificate_chain(edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """Certificates and what they were asked for, issued and stored by."""
+    return named_edges(edges, objects, F.col("edge_type").startswith("certmanager_"))
+
+
+def fact_inventory(facts: DataFrame) -> DataFrame:
+    """Fact keys with their rows, objects, values and worst severity."""
+    return facts.groupBy("fact_key").agg(F.count("*").alias("rows"), F.countDistinct("object_id").alias("objects"), F.countDistinct("fact_value").alias("values"), F.max("severity").alias("max_severity"))
+
+
+def overview(observations: DataFrame, versions: DataFrame, facts: DataFrame, edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rows and newest time of each table by cluster."""
+    parts = (("observations", observations, "observed_at"), ("versions", versions, "observed_at"), ("facts", facts, "ts"), ("edges", edges, "valid_from"), ("changes", changes, "ts"))
+    counts = [df.groupBy("cluster_id").agg(F.count("*").alias("rows"), F.max(when).alias("newest")).select("cluster_id", F.lit(name).alias("table"), "rows", "newest") for name, df, when in parts]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def kind_distribution(versions: DataFrame) -> DataFrame:
+    """Objects, versions and bytes by kind."""
+    return versions.groupBy("cluster_id", "kind").agg(F.countDistinct("object_id").alias("objects"), F.count("*").alias("versions"), F.sum("raw_size").alias("bytes"))
+
+
 def severe_facts(facts: DataFrame, least: int = 60, limit: int = 100) -> DataFrame:
     """Facts of a severity, newest first."""
     return facts.where(F.col("severity") >= least).orderBy(F.desc("ts"), "object_id", "fact_key").limit(limit)
@@ -259,7 +299,7 @@ def restarts_by_namespace(facts: DataFrame) -> DataFrame:
     return per.groupBy("cluster_id", "namespace").agg(F.sum("n").alias("restarts"), F.count(F.when(F.col("n") > 0, 1)).alias("pods"))
 
 
-RECIPES: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (coverage_latest, fact_rollup, change_rollup, allocation_rollup, container_rows, allocation_delta, presence_intervals, presence_peak, endpoint_readiness, node_capacity, node_lifecycle, interval_enrich, resize_candidates, value_history, doc_fields, object_proof, conditional_counts, transitions, churn, latest_pivot, node_totals, paired_facts, event_objects, two_hops, service_pods, edges_of, severe_facts, degraded_streams, service_topology_counts, inventory, message_search, reason_by_namespace, restarts_by_namespace)}
+RECIPES: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (coverage_latest, fact_rollup, change_rollup, allocation_rollup, container_rows, allocation_delta, presence_intervals, presence_peak, endpoint_readiness, node_capacity, node_lifecycle, interval_enrich, resize_candidates, value_history, doc_fields, object_proof, conditional_counts, transitions, churn, latest_pivot, node_totals, paired_facts, event_objects, two_hops, service_pods, edges_of, named_edges, rbac_chain, webhook_services, certificate_chain, fact_inventory, overview, kind_distribution, severe_facts, degraded_streams, service_topology_counts, inventory, message_search, reason_by_namespace, restarts_by_namespace)}
 
 
 def page_after(df: DataFrame, keys: list[str], after: tuple | None, size: int) -> DataFrame:
