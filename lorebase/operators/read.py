@@ -6,6 +6,7 @@ answer about one object collect, and only a bounded number of rows.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.documents import doc_diff
 from ..functions.scalars import clamp, moment
 from ..schema import Tables
+from .trigrams import TextIndex
 from .versions import OBJECT, canonicalize, latest, merged_offsets
 
 
@@ -144,9 +146,25 @@ def _hits(df: DataFrame, columns: list[str], terms: list[str]) -> Column:
     return ok
 
 
-def search(tables: Tables, query: str, cluster_id: str = "", kind: str = "", namespace: str = "", start: datetime | None = None, end: datetime | None = None, limit: int = 20, change_score: int = 15, documents: bool = False, cap_rows: bool = True) -> DataFrame:
+#: The columns that a search looks through, by table.
+SEARCHED = {"facts": ["fact_key", "fact_value", "detail"], "changes": ["change_family", "path", "old_scalar", "new_scalar"]}
+
+
+def search_indexes(tables: Tables, folder: str) -> dict[str, TextIndex]:
+    """Trigram indexes of the searched tables below a folder, with an entry for each object."""
+    return {t: TextIndex.build(tables[t], tuple(OBJECT), F.concat_ws("\n", *columns), f"{folder}/{t}") for t, columns in SEARCHED.items()}
+
+
+def _near(df: DataFrame, table: str, terms: list[str], indexes: Mapping[str, TextIndex] | None) -> DataFrame:
+    """Rows of objects that may have the terms, by the table's index if there is one."""
+    found = indexes[table].candidates(terms) if indexes and table in indexes else None
+    return df if found is None else df.join(found, OBJECT, "left_semi")
+
+
+def search(tables: Tables, query: str, cluster_id: str = "", kind: str = "", namespace: str = "", start: datetime | None = None, end: datetime | None = None, limit: int = 20, change_score: int = 15, documents: bool = False, cap_rows: bool = True, indexes: Mapping[str, TextIndex] | None = None) -> DataFrame:
     """Objects whose facts and changes (and newest documents) hold all terms of the query, best first.
 
+    With indexes (of search_indexes()) only rows of objects that have the terms' trigrams are looked at; the answer is the same.
     cap_rows keeps the columnar rule: of each table only the newest min(limit or 50, 500) x 20 hits count. Scores: facts 20 + severity, changes change_score + severity, documents 10.
     """
     terms = [t.strip("\"'") for t in query.split()]
@@ -154,10 +172,10 @@ def search(tables: Tables, query: str, cluster_id: str = "", kind: str = "", nam
     cap = min(limit or 50, 500) * 20
     newest = lambda df: df.orderBy(F.desc("ts"), "object_id").limit(cap) if cap_rows else df
     base = [*OBJECT, "kind", "namespace", "name", "ts"]
-    facts = between(matching(tables["facts"], **where), "ts", start, end)
-    facts = newest(facts.where(_hits(facts, ["fact_key", "fact_value", "detail"], terms))).select(*base, (F.lit(20) + F.col("severity")).alias("score"), F.concat(F.lit("fact:"), F.col("fact_key")).alias("reason"))
-    changes = between(matching(tables["changes"], **where), "ts", start, end)
-    changes = newest(changes.where(_hits(changes, ["change_family", "path", "old_scalar", "new_scalar"], terms))).select(*base, (F.lit(change_score) + F.col("severity")).alias("score"), F.concat(F.lit("change:"), F.col("path")).alias("reason"))
+    facts = _near(between(matching(tables["facts"], **where), "ts", start, end), "facts", terms, indexes)
+    facts = newest(facts.where(_hits(facts, SEARCHED["facts"], terms))).select(*base, (F.lit(20) + F.col("severity")).alias("score"), F.concat(F.lit("fact:"), F.col("fact_key")).alias("reason"))
+    changes = _near(between(matching(tables["changes"], **where), "ts", start, end), "changes", terms, indexes)
+    changes = newest(changes.where(_hits(changes, SEARCHED["changes"], terms))).select(*base, (F.lit(change_score) + F.col("severity")).alias("score"), F.concat(F.lit("change:"), F.col("path")).alias("reason"))
     hits = facts.unionByName(changes)
     if documents:
         docs = between(matching(tables["versions"], **where), "observed_at", start, end)

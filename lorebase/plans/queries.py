@@ -329,15 +329,15 @@ def paired_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(d, ["object_id", "fact_value"]).groupBy(F.col("fact_key").alias("value")).agg(F.sum(F.col("n") * F.col("errors")).alias("rows"), F.countDistinct("object_id").alias("objects"))
 
 
-@_query("""+ sc AS (SELECT object_id, 20 AS s FROM facts UNION ALL SELECT object_id, 15 FROM changes) SELECT object_id, CAST(sum(s) AS BIGINT) AS score FROM sc GROUP BY object_id""", "facts", "changes")
+@_query("""+ sc AS (SELECT object_id, 1 + severity AS s FROM facts UNION ALL SELECT object_id, 3 + severity FROM changes UNION ALL SELECT src_id, 1 FROM edges) SELECT object_id, CAST(sum(s) AS BIGINT) AS score FROM sc GROUP BY object_id""", "facts", "changes", "edges")
 def evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = adapter.tables(spark, sf_dir)
-    return read.evidence_scores(t | {"edges": t["edges"].where("false")}).drop("cluster_id")
+    """R21 by severity, over all evidence."""
+    return read.evidence_scores(adapter.tables(spark, sf_dir), by_severity=True).drop("cluster_id")
 
 
 @_query("""+ sc AS (SELECT object_id, 20 AS s FROM facts UNION ALL SELECT object_id, 15 FROM changes UNION ALL SELECT src_id, 10 FROM edges) SELECT object_id, CAST(sum(s) AS BIGINT) AS score FROM sc GROUP BY object_id""", "facts", "changes", "edges")
 def evidence_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R21 over all evidence, edges too; evidence_score and its SQL are facts and changes alone."""
+    """R21 by counts, over all evidence."""
     return read.evidence_scores(adapter.tables(spark, sf_dir)).drop("cluster_id")
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import filters, maintain, read, versions
+from ..sources.shared import new_folder
 from . import adapter, recipes
-from .queries import _V1, _V2, _marked, _query
+from .queries import _V1, _V2, ORACLE_SQL, _marked, _query
 
 
 def _text(c: str) -> Column:
@@ -48,6 +49,14 @@ def r13_search_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("object_id", "score", F.array_join("reasons", ",").alias("reasons"), "latest")
 
 
+@_query(ORACLE_SQL["search_score"])
+def r12_indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of search_score, through trigram indexes of facts and changes."""
+    t = adapter.tables(spark, sf_dir)
+    indexes = read.search_indexes(t, new_folder(spark, "search"))
+    return read.search(t, "error 1", limit=20, cap_rows=False, indexes=indexes).select("object_id", "score", "latest")
+
+
 @_query("""SELECT r AS resource, bool_or(d) AS discovered, CAST(sum(n) AS BIGINT) AS observations FROM (SELECT p_brand AS r, true AS d, 0 AS n FROM part WHERE p_size > 25 UNION ALL SELECT p_brand, false, count(*) FROM part WHERE p_size <= 40 GROUP BY p_brand) GROUP BY r""")
 def r32_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands as resources: discovered by large parts, ingested by small ones."""

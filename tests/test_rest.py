@@ -56,6 +56,17 @@ def test_documents_are_searched_on_request(spark, tables):
     assert find("OOMKilled", namespace="other", documents=True) == {}
 
 
+def test_search_by_index_equals_the_scan(spark, tables, tmp_path):
+    indexes = read.search_indexes(tables, str(tmp_path))
+    rows = lambda q, **o: [tuple(map(str, r)) for r in read.search(tables, q, **o).collect()]
+    for q in ("OOMKilled", "oomkilled pod_status", "web", "ab", "Ready False", "nothing-like-it", "'status' replace"):
+        assert rows(q, indexes=indexes, documents=True) == rows(q, documents=True), q
+    assert rows("OOMKilled", indexes=indexes)
+    many = tables["facts"].where("fact_value = 'OOMKilled'").limit(1).crossJoin(spark.range(30)).withColumn("ts", F.timestamp_seconds(F.col("id"))).drop("id")
+    capped = read.search(tables | {"facts": many, "changes": tables["changes"].where("false")}, "oomkilled", limit=1).first()  # 20 rows count of 30
+    assert capped["score"] == 20 * (20 + many.first()["severity"]) and capped["latest"] == many.agg(F.max("ts")).first()[0]
+
+
 def test_scores_by_severity(spark, tables):
     scores = {r["object_id"]: r["score"] for r in read.evidence_scores(tables, by_severity=True).collect()}
     want = {}
