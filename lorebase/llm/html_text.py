@@ -8,7 +8,7 @@ the body down to it is the threshold for what stands outside of it. Where most o
 bounds the result; an <article> is taken whole.
 
 What can be told by its element, role or class isn't weighed at all: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, comments of readers (SKIPPED, SKIPPED_ROLES, SKIPPED_NAMES). A header inside an article gives its headings only. A form that
+styles, comments of readers (SKIPPED, SKIPPED_ROLES, SKIPPED_NAMES). A <header> inside an article gives its headings only; what is merely named an article's header stays. A form that
 holds an article or a first heading is a wrapper, not a form.
 
 Character references are decoded, white space (as Unicode has it, no-break space included) inside a block becomes one space, <br> is white
@@ -56,6 +56,8 @@ share sharing social related recommended recommendations teaser teasers newslett
 """.split())
 #: Words of class names that say the next one isn't this element itself.
 _NOT_SELF = frozenset("has with no without not show hide".split())
+#: Words that make a header the article's own.
+_OF_ARTICLE = frozenset("article post entry content story".split())
 _MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _RAW_END = {name: re.compile(f"</{name}", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -67,12 +69,14 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if "=" in text or "hidden" in text.lower() else {}
 
 
-def _skipped_by_name(a: dict[str, str]) -> bool:
+def _skipped_by_name(a: dict[str, str], in_article: bool) -> bool:
     for names in (a.get("class", ""), a.get("id", "")):
         for name in names.split():
             parts = [x.lower() for x in _NAME_PART.findall(name)]
-            if any(x in SKIPPED_NAMES and not (i and parts[i - 1] in _NOT_SELF) for i, x in enumerate(parts)):
-                return True
+            for i, x in enumerate(parts):
+                before = parts[i - 1] if i else ""
+                if x in SKIPPED_NAMES and before not in _NOT_SELF and not (x == "header" and (in_article or before in _OF_ARTICLE)):
+                    return True
     return False
 
 
@@ -152,7 +156,7 @@ class Page:
             skip = False
         elif not skip:
             skip = name in SKIPPED or a.get("role", "").lower() in SKIPPED_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN_STYLE.search(a.get("style", "")))
-            skip = skip or (name != "main" and _skipped_by_name(a) and not (name == "article" and not self._counts["article"] and not self._counts["main"] and "comment" not in a.get("class", "").lower()))
+            skip = skip or (name != "main" and _skipped_by_name(a, bool(self._counts["article"])) and not (name == "article" and not self._counts["article"] and not self._counts["main"] and "comment" not in a.get("class", "").lower()))
         self.tag.append(name)
         self.parent.append(up)
         self.skipped.append(skip)

@@ -138,6 +138,8 @@ TEMPLATES = {
     "unclosed": f"<body><article><h1>Title</h1><p><b>{A}<br><p>{B}<p>{C}",
     "upper case": f"<BODY><ARTICLE><H1>Title</H1>{BODY.replace('<p>', '<P CLASS=x>').replace('</p>', '</P>')}</ARTICLE><NAV>menu</NAV></BODY>",
     "header in article": f"<article><header><h1>Title</h1><span>By someone</span></header>{BODY}<footer>Filed under this</footer></article>",
+    "named header": f"<div class=page-header>Site</div><div class=post><div class='post-header'><h1>Title</h1></div>{BODY}<div class='post-footer'>Tags</div></div>",
+    "header in article by name": f"<article><div class=header><h1>Title</h1></div>{BODY}</article>",
     "form around all": f"<form id=aspnet><nav>{MENU}</nav><article><h1>Title</h1>{BODY}</article><label>Search</label><input><select><option>x<option>y</select></form>",
     "white space": f"<article>\n <h1>\n Title\t</h1>{BODY.replace(' ', chr(10) + ' &#32;')}\n<p> &nbsp; </p></article>",
     "attributes": f"<article data-x='a>b' title=\"</article>\"><h1 class=has-sidebar>Title</h1>{BODY}</article>",
