@@ -1,55 +1,26 @@
 """Extractors: facts, edges and changes of documents.
 
-What is read from a document is told by tables of rules (paths with [*] for list items), not by code for each kind. A batch of
-documents is parsed once, and three arrays come out, which evidence() explodes to three DataFrames.
+A document is parsed once into its items: itself, and the elements of lists that a rule reads, each with its scalar members by path. All
+else is DataFrame work: items are exploded, edges come from joining them to a table of rules and to the resource table, facts and changes are
+expressions over an item and the few values of its document that they need. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.documents import dump
-from ..functions.scalars import SUFFIXES, fnv1a64_text
-from ..sources.resolver import Resolver
+from ..functions.scalars import fnv1a64, quantity_to_double
+from ..sources.resolver import Resolver, plural_of
 
 #: Severities of container reasons.
 SEVERE = ("OOMKilled", "CrashLoopBackOff", "Error", "Evicted")
-
-
-def walk(node: Any, path: str) -> Iterator[Any]:
-    """Values at a dotted path; a part ending in [*] goes through a list."""
-    head, _, rest = path.partition(".")
-    many, key = head.endswith("[*]"), head.removesuffix("[*]")
-    value = node.get(key) if isinstance(node, dict) else None
-    for item in (value if isinstance(value, list) else []) if many else [value]:
-        if item is None:
-            continue
-        if rest:
-            yield from walk(item, rest)
-        else:
-            yield item
-
-
-def maps(node: Any, path: str) -> Iterator[dict]:
-    """The maps among the values at a path."""
-    return (x for x in walk(node, path) if isinstance(x, dict))
-
-
-def text(node: dict, key: str) -> str:
-    """A member that is a string, else ''."""
-    value = node.get(key)
-    return value if isinstance(value, str) else ""
-
-
-def first(node: Any, path: str, kind: type = str) -> Any:
-    return next((x for x in walk(node, path) if isinstance(x, kind) and not (kind is not bool and isinstance(x, bool))), None)
+#: Kinds of resources up to which their table is broadcast.
+MOST_KINDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -159,239 +130,111 @@ SETS: dict[str, tuple[str, ...]] = {
 }
 
 
-class _Evidence:
-    """Collects what one document gives."""
-
-    def __init__(self, row: dict, resolver: Resolver):
-        self.row, self.resolver = row, resolver
-        self.facts: list[dict] = []
-        self.edges: list[dict] = []
-        self.changes: list[dict] = []
-
-    def fact(self, key: str, value: str, severity: int, number: float | None = None, detail: dict | None = None) -> None:
-        self.facts.append({"fact_key": key, "fact_value": value, "numeric_value": number, "severity": severity, "detail": dump(detail) if detail else ""})
-
-    def change(self, family: str, path: str, op: str, new: str, severity: int) -> None:
-        self.changes.append({"change_family": family, "path": path, "op": op, "old_scalar": "", "new_scalar": new, "severity": severity})
+#: Names a document's items and what is read of them: the columns that with_items() adds.
+ADDED = ("items", "fingerprint", "extractors")
+_LABEL = "metadata.labels.kubernetes~.io/service-name"
+_STATUSES = ("initContainerStatuses", "containerStatuses", "ephemeralContainerStatuses")
+_INGRESS = "status.loadBalancer.ingress[*]"
+_CONDITIONS = "status.conditions[*]"
+_REFERENCE_PARTS = ("group", "apiGroup", "apiVersion", "kind", "namespace", "name")
+_QUANTITIES = [(part, resource) for part in ("capacity", "allocatable") for resource in ("cpu", "memory", "pods", "ephemeral-storage")]
 
-    def edge(self, kind_of_edge: str, group: str, kind: str, namespace: str, name: str) -> None:
-        found = self.resolver.by_kind(group, kind)
-        if name and found:
-            parts = [self.row["cluster_id"], found.group, found.resource, namespace if found.namespaced else "", name]
-            self.edges.append({"edge_type": kind_of_edge, "dst_id": "/".join(p for p in parts if p), "dst_kind": kind})
 
+def _joined(*parts: str) -> str:
+    return ".".join(p for p in parts if p)
 
-def _number(x: Any) -> float | None:
-    return float(x) if isinstance(x, int | float) and not isinstance(x, bool) else None
 
+def _parted(path: str) -> tuple[str, str]:
+    """A rule's path as the list whose items it is about ('' is the document itself) and the member in such an item."""
+    head, mark, rest = path.rpartition("[*]")
+    return head + mark, rest.removeprefix(".")
 
-def _plain(x: float) -> str:
-    return str(int(x)) if x == int(x) else repr(x)
 
+def _edge_rules() -> list[tuple]:
+    """(extractor, kind or '' for all, list, member, name_member, edge, group, dst_kind, space, refers, cluster_wide) of each edge that a document may have.
 
-def _references(doc: dict, namespace: str, e: _Evidence) -> None:
-    kind = e.row["kind"]
+    space is where the target is: own (the object's namespace), none, named (the one that the item names), either (named, else own), subject.
+    refers: the item itself may name group and kind.
+    """
+    rules: list[tuple] = []
     for t in TARGETS:
-        if kind in t.kinds and t.edge != "pod_on_node":
-            for x in walk(doc, t.path):
-                name = x if isinstance(x, str) else x.get(t.name_key) if isinstance(x, dict) else None
-                if isinstance(name, str):
-                    e.edge(t.edge, t.group, t.kind, namespace if t.own else "", name)
+        at, member = _parted(t.path)
+        extractor = "pod" if t.edge == "pod_on_node" else "reference"
+        rules += [(extractor, kind, at, member, _joined(member, t.name_key), t.edge, t.group, t.kind, "own" if t.own else "none", False, "") for kind in t.kinds]
     for r in REFERENCES:
-        if not r.kinds or (kind in r.kinds and kind != "Event"):
-            for x in walk(doc, r.path):
-                if isinstance(x, dict):
-                    _refer(x, r, namespace, e)
-    for kinds, path, edge, key in SERVICES:
-        for x in maps(doc, path) if kind in kinds else ():
-            name, ns = text(x, "name"), text(x, "namespace")
-            if name:
-                e.edge(edge, "", "Service", ns, name)
-                value = f"{ns}/{name}" if ns else name
-                e.fact(key, value, 50)
-                e.change("reference", key, "replace", value, 50)
-    for hook in maps(doc, "webhooks[*]") if kind.endswith("WebhookConfiguration") else ():
-        policy, name = text(hook, "failurePolicy"), text(hook, "name")
-        if policy:
-            severity = 70 if policy == "Fail" else 40
-            e.fact("admission_webhook.failure_policy", policy, severity)
-            e.change("admission_webhook", f"webhooks.{name}.failurePolicy" if name else "webhooks.failurePolicy", "replace", policy, severity)
-    if kind in ("RoleBinding", "ClusterRoleBinding"):
-        _binding(doc, namespace, e)
-    for c in walk(doc, "status.conditions[*]"):
-        kind_of, value = first(c, "type"), first(c, "status")
-        if kind_of and value:
-            severity = 60 if value in ("False", "Unknown") else 20
-            e.fact(f"status_condition.{kind_of}", value, severity)
-            e.change("status", f"status.conditions.{kind_of}", "replace", value, severity)
-            if reason := first(c, "reason"):
-                e.fact(f"status_condition.{kind_of}.reason", reason, severity)
-
-
-def _refer(x: dict, r: Reference, namespace: str, e: _Evidence) -> None:
-    group = text(x, "group") or text(x, "apiGroup") or text(x, "apiVersion").rpartition("/")[0] or r.group
-    kind = text(x, "kind") or r.kind
-    own = "" if kind in r.cluster_wide else text(x, "namespace") or namespace
-    if kind and isinstance(x.get("name"), str):
-        e.edge(r.edge, group, kind, own, x["name"])
-
-
-def _binding(doc: dict, namespace: str, e: _Evidence) -> None:
-    role = next(maps(doc, "roleRef"), {})
-    if text(role, "name"):
-        value = f"{text(role, 'kind') or 'Role'}/{role['name']}"
-        e.fact("rbac.role_ref", value, 50)
-        e.change("rbac", "roleRef", "replace", value, 50)
-    for s in walk(doc, "subjects[*]"):
-        kind, name = first(s, "kind"), first(s, "name")
-        if not kind or not name:
-            continue
-        person = kind in ("User", "Group")
-        ns = "" if person else first(s, "namespace") or (namespace if kind == "ServiceAccount" else "")
-        e.edge("rbac_binding_binds_subject", "rbac.authorization.k8s.io" if person else "", kind, ns, name)
-        e.fact("rbac.subject", "/".join(p for p in (kind, ns, name) if p), 40)
-
-
-def _pod(doc: dict, namespace: str, e: _Evidence) -> None:
-    ready = next((text(c, "status") for c in maps(doc, "status.conditions[*]") if c.get("type") == "Ready"), None)
-    if ready:
-        severity = 50 if ready == "False" else 20
-        e.fact("pod_status.ready", ready, severity)
-        e.change("status", "status.conditions.Ready", "replace", ready, severity)
-    if node := first(doc, "spec.nodeName"):
-        e.edge("pod_on_node", "", "Node", "", node)
-    for where in ("initContainerStatuses", "containerStatuses", "ephemeralContainerStatuses"):
-        for c in maps(doc, f"status.{where}[*]"):
-            at = f"status.containerStatuses.{first(c, 'name') or ''}"
-            n = _number(c.get("restartCount"))
-            if n is not None:
-                e.fact("pod_status.restart_count", _plain(n), 30, n)
-                if n > 0:
-                    e.change("status", f"{at}.restartCount", "replace", _plain(n), 50)
-            for state, key in (("state", "reason"), ("lastState", "last_reason")):
-                reason = first(c, f"{state}.waiting.reason") or first(c, f"{state}.terminated.reason")
-                if reason:
-                    severity = 90 if reason in SEVERE else 50
-                    e.fact(f"pod_status.{key}", reason, severity)
-                    e.change("status", f"{at}.{state}.reason", "replace", reason, severity)
-    if e.row["observation_type"] == "DELETED":
-        e.fact("pod_placement.deleted", "true", 60)
-        e.change("status", "metadata.deletionTimestamp", "delete", "deleted", 60)
-
-
-def _quantity(x: Any) -> float | None:
-    if (n := _number(x)) is not None:
-        return n
-    text = str(x)
-    digits = text.rstrip("numkKMGTPEi")
-    try:
-        return float(digits) * SUFFIXES[text[len(digits) :]]
-    except (KeyError, ValueError):
-        try:
-            return float(text)
-        except ValueError:
-            return None
-
-
-def _node(doc: dict, namespace: str, e: _Evidence) -> None:
-    for part in ("capacity", "allocatable"):
-        for resource in ("cpu", "memory", "pods", "ephemeral-storage"):
-            value = next(walk(doc, f"status.{part}.{resource}"), None)
-            if value is not None:
-                e.fact(f"node_{part}.{resource.replace('-', '_')}", str(value), 10, _quantity(value))
-    for c in walk(doc, "status.conditions[*]"):
-        kind_of, value = first(c, "type"), first(c, "status")
-        if kind_of and value:
-            severity = 80 if kind_of != "Ready" and value == "True" else 20
-            e.fact(f"node_condition.{kind_of}", value, severity)
-            e.change("status", f"status.conditions.{kind_of}", "replace", value, severity)
-
-
-def _event(doc: dict, namespace: str, e: _Evidence) -> None:
-    for r in REFERENCES:
-        if r.kinds == ("Event",):
-            for x in walk(doc, r.path):
-                if isinstance(x, dict):
-                    _refer(x, r, namespace, e)
-    message = first(doc, "message") or first(doc, "note")
-    if message:
-        e.fact("k8s_event.message_fingerprint", fnv1a64_text(message), 20)
-        e.fact("k8s_event.message_preview", message[:512], 20)
-    for path, key in (("count", "k8s_event.count"), ("series.count", "k8s_event.series_count")):
-        n = _number(next(walk(doc, path), None))
-        if n is not None:
-            e.fact(key, _plain(n), 20, n)
-            e.change("event_rollup", path, "replace", _plain(n), 20)
-
-
-def _endpointslice(doc: dict, namespace: str, e: _Evidence) -> None:
-    service = text(next(maps(doc, "metadata.labels"), {}), "kubernetes.io/service-name")
-    if service and isinstance(doc.get("endpoints"), list):
-        e.edge("endpointslice_for_service", "", "Service", namespace, service)
-    for point in maps(doc, "endpoints[*]"):
-        target = next(maps(point, "targetRef"), {})
-        pod = text(target, "name") if service and target.get("kind") == "Pod" else None
-        if pod:
-            e.edge("endpointslice_targets_pod", "", "Pod", text(target, "namespace") or namespace, pod)
-            e.change("topology", "endpoints.targetRef", "add", f"Pod/{pod}", 30)
-        for key in ("ready", "serving", "terminating"):
-            value = next(maps(point, "conditions"), {}).get(key)
-            if isinstance(value, bool):
-                e.fact(f"endpoint.{key}", str(value).lower(), 20)
-                e.change("status", f"endpoints.{pod}.conditions.{key}" if pod else f"endpoints.conditions.{key}", "replace", str(value).lower(), 20)
-
-
-def _service(doc: dict, namespace: str, e: _Evidence) -> None:
-    kind = first(doc, "spec.type")
-    if kind:
-        e.change("spec", "spec.type", "replace", kind, 10)
-    address = first(doc, "spec.clusterIP")
-    if address and address != "None":
-        e.fact("service.cluster_ip", address, 10)
-    if kind == "LoadBalancer":
-        ingress = list(walk(doc, "status.loadBalancer.ingress[*]"))
-        e.fact("service.load_balancer.ingress_count", str(len(ingress)), 10, float(len(ingress)))
-        e.fact("service.load_balancer.pending", str(not ingress).lower(), 10 if ingress else 50)
-        if not ingress:
-            e.change("status", "status.loadBalancer.ingress", "replace", "pending", 50)
-        for x in maps(doc, "status.loadBalancer.ingress[*]"):
-            for key in ("ip", "hostname"):
-                if value := text(x, key):
-                    e.fact(f"service.load_balancer.ingress_{key}", value, 10, detail={"ipMode": x["ipMode"]} if x.get("ipMode") else None)
-                    e.change("status", f"status.loadBalancer.ingress.{key}", "replace", value, 10)
-    if e.row["observation_type"] == "DELETED":
-        e.fact("service.deleted", "true", 60)
-        e.change("status", "metadata.deletionTimestamp", "delete", "deleted", 60)
-
-
-#: Extractors by name: the kind they are for ('' for all) and what they do.
-EXTRACTORS = {"reference": ("", _references), "pod": ("Pod", _pod), "node": ("Node", _node), "event": ("Event", _event), "endpointslice": ("EndpointSlice", _endpointslice), "service": ("Service", _service)}
-
-
-def extract(row: dict, resolver: Resolver, names: tuple[str, ...] = SETS["default"]) -> tuple[list[dict], list[dict], list[dict]]:
-    """(facts, edges, changes) of one observation row."""
-    e = _Evidence(row, resolver)
+        at, member = _parted(r.path)
+        extractor = "event" if r.kinds == ("Event",) else "reference"
+        rules += [(extractor, kind, at, member, _joined(member, "name"), r.edge, r.group, r.kind, "either", True, " ".join(r.cluster_wide)) for kind in r.kinds or ("",)]
+    for kinds, path, edge, _ in SERVICES:
+        at, member = _parted(path)
+        rules += [("reference", kind, at, member, _joined(member, "name"), edge, "", "Service", "named", False, "") for kind in kinds]
+    rules += [("reference", kind, "subjects[*]", "", "name", "rbac_binding_binds_subject", "", "", "subject", True, "") for kind in ("RoleBinding", "ClusterRoleBinding")]
+    rules.append(("endpointslice", "EndpointSlice", "", "", _LABEL, "endpointslice_for_service", "", "Service", "own", False, ""))
+    rules.append(("endpointslice", "EndpointSlice", "endpoints[*]", "targetRef", "targetRef.name", "endpointslice_targets_pod", "", "Pod", "either", False, ""))
+    return rules
+
+
+_RULE = ("extractor", "rule_kind", "list", "member", "name_member", "edge_type", "group", "dst_kind", "space", "refers", "cluster_wide")
+EDGE_RULES = _edge_rules()
+
+
+def _wanted() -> dict[str, set[str]]:
+    """What is read: the members of the document ('') and of the items of each list. Lists that only lead to others are there too."""
+    read: dict[str, set[str]] = {"": {"roleRef.name", "roleRef.kind", "spec.clusterIP", "message", "note", "count", "series.count", *(f"status.{p}.{r}" for p, r in _QUANTITIES)}}
+    more = {
+        _CONDITIONS: ("type", "status", "reason"), "webhooks[*]": ("name", "failurePolicy"), "subjects[*]": ("kind", "name", "namespace"), _INGRESS: ("ip", "hostname", "ipMode"),
+        "endpoints[*]": ("targetRef.kind", "targetRef.namespace", "conditions.ready", "conditions.serving", "conditions.terminating"),
+        **{f"status.{s}[*]": ("name", "restartCount", *(f"{a}.{b}.reason" for a in ("state", "lastState") for b in ("waiting", "terminated"))) for s in _STATUSES},
+    }
+    for at, members in more.items():
+        read.setdefault(at, set()).update(members)
+    for _, _, path, _, _ in FACTS:
+        at, member = _parted(path)
+        read.setdefault(at, set()).add(member)
+    for rule in EDGE_RULES:
+        at, member, name_member, refers = rule[2], rule[3], rule[4], rule[9]
+        read.setdefault(at, set()).update({member, name_member, _joined(member, "namespace")}, {_joined(member, p) for p in _REFERENCE_PARTS} if refers else ())
+    for at in list(read):
+        while at:
+            at = _parted(at.removesuffix("[*]"))[0]
+            read.setdefault(at, set())
+    return read
+
+
+WANTED = _wanted()
+_ITEM = "array<struct<path:string,strings:map<string,string>,numbers:map<string,double>,flags:map<string,boolean>>>"
+
+
+def items_of(doc: str | None, wanted: dict[str, set[str]]) -> list[dict]:
+    """The items of a document that are wanted, the document itself first: scalar members by dotted path (dots and brackets of keys have a ~ before
+    them), and a flag for each wanted list. None where it isn't a JSON object."""
     try:
-        doc = json.loads(row["doc"])
-    except (TypeError, ValueError):
-        return [], [], []
-    if not isinstance(doc, dict):
-        return [], [], []
-    kind, namespace = row["kind"], row["namespace"]
-    for name in names:
-        scope, run = EXTRACTORS[name]
-        if scope in ("", kind):
-            for extractor, kinds, path, key, severity in FACTS:
-                for value in walk(doc, path) if extractor == name and kind in kinds else ():
-                    if isinstance(value, str) and value:
-                        e.fact(key, value, severity)
-            run(doc, namespace, e)
-    return e.facts, e.edges, e.changes
-
-
-_FACT = "array<struct<fact_key:string,fact_value:string,numeric_value:double,severity:int,detail:string>>"
-_EDGE = "array<struct<edge_type:string,dst_id:string,dst_kind:string>>"
-_CHANGE = "array<struct<change_family:string,path:string,op:string,old_scalar:string,new_scalar:string,severity:int>>"
+        root = json.loads(doc)
+    except (TypeError, ValueError, RecursionError):
+        return []
+    if not isinstance(root, dict):
+        return []
+    items, open_items = [], [("", root)]
+    for path, item in open_items:  # grows
+        strings, numbers, flags = {}, {}, {}
+        members = [("", item)]
+        while members:
+            at, x = members.pop()
+            if isinstance(x, dict):
+                members += [(_joined(at, k.replace(".", "~.").replace("[", "~[")), v) for k, v in x.items()]
+            elif isinstance(x, list):
+                if (below := f"{_joined(path, at)}[*]") in wanted:
+                    flags[f"{at}[*]"] = True
+                    open_items += [(below, y) for y in x if y is not None]
+            elif at in wanted[path]:
+                if isinstance(x, str):
+                    strings[at] = x
+                elif isinstance(x, bool):
+                    flags[at] = x
+                elif x is not None and abs(x) < 1e308:
+                    numbers[at] = float(x)
+        items.append({"path": path, "strings": list(strings.items()), "numbers": list(numbers.items()), "flags": list(flags.items())})
+    return items
 
 
 def unreadable(observations: DataFrame) -> DataFrame:
@@ -400,30 +243,208 @@ def unreadable(observations: DataFrame) -> DataFrame:
     return observations.where(bad).groupBy("cluster_id", "resource").agg(F.count("*").alias("rows"))
 
 
-def with_evidence(observations: DataFrame, resolver: Resolver | None = None, extractor_set: str | Column = "default", wanted: Column | None = None) -> DataFrame:
-    """observations with a column evidence of facts, edges and changes; rows that aren't wanted have none and aren't parsed."""
-    resolver = resolver or Resolver()
-    named = F.lit(extractor_set) if isinstance(extractor_set, str) else extractor_set
-    doc = F.col("doc") if wanted is None else F.when(wanted, F.col("doc"))
+def _known(x: Column) -> Column:
+    return F.coalesce(x, F.lit(""))
+
+
+def _first(*values: Column) -> Column:
+    """The first value that is there and not empty, else ''."""
+    return F.coalesce(*(F.when(v != "", v) for v in values), F.lit(""))
+
+
+def _at(kind: str, member: str | Column) -> Column:
+    """A member of the item: kind is strings, numbers or flags."""
+    return F.try_element_at(F.col(f"item.{kind}"), F.lit(member) if isinstance(member, str) else member)
+
 
-    @F.pandas_udf(f"facts {_FACT}, edges {_EDGE}, changes {_CHANGE}")
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([extract(r, resolver, SETS.get(r["extractor_set"], ())) for r in rows.fillna("").to_dict("records")], columns=["facts", "edges", "changes"])
+def _string(member: str | Column) -> Column:
+    return _known(_at("strings", member))
 
-    return observations.withColumn("evidence", run(F.struct("cluster_id", "observation_type", "kind", "namespace", "name", doc.alias("doc"), named.alias("extractor_set"))))
 
+def _plain(n: Column) -> Column:
+    whole = (n == F.floor(n)) & (F.abs(n) < 1e18)
+    return F.when(whole, n.cast("decimal(20,0)").cast("string")).otherwise(n.cast("string"))
 
-def split_evidence(out: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts, edges, changes) DataFrames of rows with evidence. Edges never close."""
-    obj = ["object_id", "kind", "namespace", "name"]
-    facts = out.select("cluster_id", F.col("observed_at").alias("ts"), *obj, F.explode("evidence.facts").alias("f")).select("cluster_id", "ts", *obj, "f.*")
-    edges = out.select("cluster_id", F.col("observed_at").alias("valid_from"), F.col("object_id").alias("src_id"), F.col("kind").alias("src_kind"), F.explode("evidence.edges").alias("x"))
+
+def with_items(observations: DataFrame, extractor_set: str | Column = "default", wanted: Column | None = None) -> DataFrame:
+    """observations with the items of their documents, the fingerprint of an event's message, and the names of the extractors that apply; rows that
+    aren't wanted have no items and aren't parsed. An unknown extractor set has no extractors."""
+    named = F.lit(extractor_set) if isinstance(extractor_set, str) else extractor_set
+    doc = F.col("doc") if wanted is None else F.when(wanted, F.col("doc"))
+    read = WANTED
+
+    @F.arrow_udf(_ITEM)
+    def run(docs: pa.Array) -> pa.Array:
+        members = lambda of: pa.map_(pa.string(), of)
+        kind = pa.list_(pa.struct([("path", pa.string()), ("strings", members(pa.string())), ("numbers", members(pa.float64())), ("flags", members(pa.bool_()))]))
+        return pa.array([items_of(d, read) for d in docs.to_pylist()], kind)
+
+    sets = F.create_map(*(x for name, of in SETS.items() for x in (F.lit(name), F.array(*map(F.lit, of)).cast("array<string>"))))
+    d = observations.withColumn("items", run(doc)).withColumn("extractors", F.coalesce(F.try_element_at(sets, named), F.array().cast("array<string>")))
+    root = F.get("items", 0)["strings"]
+    message = F.when(F.col("kind") == "Event", _first(F.try_element_at(root, F.lit("message")), F.try_element_at(root, F.lit("note"))))
+    return d.withColumn("fingerprint", fnv1a64(F.when(message != "", message)))
+
+
+def _item_rows(out: DataFrame) -> DataFrame:
+    """A row an item, with what is read of the document beside it: the status of its first Ready condition, the service of its label, the number of its ingress points."""
+    root = F.get("items", 0)["strings"]
+    ready = F.get(F.filter("items", lambda x: (x["path"] == _CONDITIONS) & (F.try_element_at(x["strings"], F.lit("type")) == "Ready")), 0)["strings"]
+    return out.select(
+        "cluster_id", "observed_at", "object_id", _known(F.col("kind")).alias("kind"), _known(F.col("namespace")).alias("namespace"), "name", "observation_type", "extractors", "fingerprint",
+        _known(F.try_element_at(ready, F.lit("status"))).alias("ready"), _known(F.try_element_at(root, F.lit(_LABEL))).alias("service"),
+        _known(F.try_element_at(root, F.lit("spec.type"))).alias("service_type"), F.size(F.filter("items", lambda x: x["path"] == _INGRESS)).alias("n_ingress"), F.explode("items").alias("item"),
+    )
+
+
+class _Found:
+    """Gathers facts and changes as expressions over a row of _item_rows(): each a structure, or null where its condition doesn't hold."""
+
+    def __init__(self) -> None:
+        self.facts: list[Column] = []
+        self.changes: list[Column] = []
+
+    def fact(self, when: Column, key: Column | str, value: Column, severity: Column | int, number: Column | None = None, detail: Column | None = None) -> None:
+        key, severity = F.lit(key), F.lit(severity)
+        number = F.lit(None).cast("double") if number is None else number
+        row = (key.alias("fact_key"), value.alias("fact_value"), number.alias("numeric_value"), severity.alias("severity"), _known(F.lit(None).cast("string") if detail is None else detail).alias("detail"))
+        self.facts.append(F.when(when, F.struct(*row)))
+
+    def change(self, when: Column, family: str, path: Column | str, value: Column, severity: Column | int, op: str = "replace") -> None:
+        row = (F.lit(family).alias("change_family"), F.lit(path).alias("path"), F.lit(op).alias("op"), F.lit("").alias("old_scalar"), value.alias("new_scalar"), F.lit(severity).alias("severity"))
+        self.changes.append(F.when(when, F.struct(*row)))
+
+
+def _found() -> _Found:
+    f = _Found()
+    kind, document = F.col("kind"), F.col("item.path") == ""
+    by = lambda name, *kinds: F.array_contains("extractors", name) & (kind.isin(*kinds) if kinds else F.lit(True))
+    of = lambda at: F.col("item.path") == at
+    for name, kinds, path, key, severity in FACTS:
+        at, member = _parted(path)
+        f.fact(by(name, *kinds) & of(at) & (_string(member) != ""), key, _string(member), severity)
+    # references
+    for kinds, path, _, key in SERVICES:
+        at, member = _parted(path)
+        name, space = _string(_joined(member, "name")), _string(_joined(member, "namespace"))
+        there, value = by("reference", *kinds) & of(at) & (name != ""), F.when(space != "", F.concat_ws("/", space, name)).otherwise(name)
+        f.fact(there, key, value, 50)
+        f.change(there, "reference", key, value, 50)
+    policy, hook = _string("failurePolicy"), _string("name")
+    there, severity = by("reference") & kind.endswith("WebhookConfiguration") & of("webhooks[*]") & (policy != ""), F.when(policy == "Fail", 70).otherwise(40)
+    f.fact(there, "admission_webhook.failure_policy", policy, severity)
+    f.change(there, "admission_webhook", F.concat_ws(".", F.lit("webhooks"), F.when(hook != "", hook), F.lit("failurePolicy")), policy, severity)
+    role = F.concat_ws("/", _first(_string("roleRef.kind"), F.lit("Role")), _string("roleRef.name"))
+    binds = by("reference", "RoleBinding", "ClusterRoleBinding")
+    f.fact(binds & document & (_string("roleRef.name") != ""), "rbac.role_ref", role, 50)
+    f.change(binds & document & (_string("roleRef.name") != ""), "rbac", "roleRef", role, 50)
+    whom, space = _string("kind"), _subject_space()
+    f.fact(binds & of("subjects[*]") & (whom != "") & (hook != ""), "rbac.subject", F.concat_ws("/", whom, F.when(space != "", space), hook), 40)
+    type_of, status, reason = _string("type"), _string("status"), _string("reason")
+    condition = of(_CONDITIONS) & (type_of != "") & (status != "")
+    severity = F.when(status.isin("False", "Unknown"), 60).otherwise(20)
+    f.fact(by("reference") & condition, F.concat(F.lit("status_condition."), type_of), status, severity)
+    f.change(by("reference") & condition, "status", F.concat(F.lit("status.conditions."), type_of), status, severity)
+    f.fact(by("reference") & condition & (reason != ""), F.concat(F.lit("status_condition."), type_of, F.lit(".reason")), reason, severity)
+    # pods
+    pod, ready = by("pod", "Pod"), F.col("ready")
+    severity = F.when(ready == "False", 50).otherwise(20)
+    f.fact(pod & document & (ready != ""), "pod_status.ready", ready, severity)
+    f.change(pod & document & (ready != ""), "status", "status.conditions.Ready", ready, severity)
+    container = pod & F.col("item.path").isin(*(f"status.{s}[*]" for s in _STATUSES))
+    place, n = F.concat(F.lit("status.containerStatuses."), hook), _at("numbers", "restartCount")
+    f.fact(container & n.isNotNull(), "pod_status.restart_count", _plain(n), 30, n)
+    f.change(container & (n > 0), "status", F.concat(place, F.lit(".restartCount")), _plain(n), 50)
+    for state, key in (("state", "reason"), ("lastState", "last_reason")):
+        why = _first(_string(f"{state}.waiting.reason"), _string(f"{state}.terminated.reason"))
+        severity = F.when(why.isin(*SEVERE), 90).otherwise(50)
+        f.fact(container & (why != ""), f"pod_status.{key}", why, severity)
+        f.change(container & (why != ""), "status", F.concat(place, F.lit(f".{state}.reason")), why, severity)
+    for name, kind_of, key in (("pod", "Pod", "pod_placement.deleted"), ("service", "Service", "service.deleted")):
+        gone = by(name, kind_of) & document & (F.col("observation_type") == "DELETED")
+        f.fact(gone, key, F.lit("true"), 60)
+        f.change(gone, "status", "metadata.deletionTimestamp", F.lit("deleted"), 60, "delete")
+    # nodes
+    node = by("node", "Node")
+    for part, resource in _QUANTITIES:
+        member = f"status.{part}.{resource}"
+        number, written = _at("numbers", member), _at("strings", member)
+        f.fact(node & document & (number.isNotNull() | written.isNotNull()), f"node_{part}.{resource.replace('-', '_')}", F.coalesce(written, _plain(number)), 10, F.coalesce(number, quantity_to_double(written)))
+    severity = F.when((type_of != "Ready") & (status == "True"), 80).otherwise(20)
+    f.fact(node & condition, F.concat(F.lit("node_condition."), type_of), status, severity)
+    f.change(node & condition, "status", F.concat(F.lit("status.conditions."), type_of), status, severity)
+    # events
+    event, message = by("event", "Event") & document, _first(_string("message"), _string("note"))
+    f.fact(event & (message != ""), "k8s_event.message_fingerprint", F.col("fingerprint"), 20)
+    f.fact(event & (message != ""), "k8s_event.message_preview", F.substring(message, 1, 512), 20)
+    for path, key in (("count", "k8s_event.count"), ("series.count", "k8s_event.series_count")):
+        n = _at("numbers", path)
+        f.fact(event & n.isNotNull(), key, _plain(n), 20, n)
+        f.change(event & n.isNotNull(), "event_rollup", path, _plain(n), 20)
+    # Endpoint slices
+    point = by("endpointslice", "EndpointSlice") & of("endpoints[*]")
+    target = F.when((F.col("service") != "") & (_string("targetRef.kind") == "Pod"), _string("targetRef.name")).otherwise("")
+    f.change(point & (target != ""), "topology", "endpoints.targetRef", F.concat(F.lit("Pod/"), target), 30, "add")
+    for key in ("ready", "serving", "terminating"):
+        flag = _at("flags", f"conditions.{key}")
+        f.fact(point & flag.isNotNull(), f"endpoint.{key}", flag.cast("string"), 20)
+        f.change(point & flag.isNotNull(), "status", F.concat_ws(".", F.lit("endpoints"), F.when(target != "", target), F.lit(f"conditions.{key}")), flag.cast("string"), 20)
+    # E5: services
+    service, type_of, address = by("service", "Service"), _string("spec.type"), _string("spec.clusterIP")
+    balanced, n = service & document & (type_of == "LoadBalancer"), F.col("n_ingress")
+    f.change(service & document & (type_of != ""), "spec", "spec.type", type_of, 10)
+    f.fact(service & document & ~address.isin("", "None"), "service.cluster_ip", address, 10)
+    f.fact(balanced, "service.load_balancer.ingress_count", n.cast("string"), 10, n.cast("double"))
+    f.fact(balanced, "service.load_balancer.pending", (n == 0).cast("string"), F.when(n == 0, 50).otherwise(10))
+    f.change(balanced & (n == 0), "status", "status.loadBalancer.ingress", F.lit("pending"), 50)
+    for key in ("ip", "hostname"):
+        there = service & of(_INGRESS) & (F.col("service_type") == "LoadBalancer") & (_string(key) != "")
+        f.fact(there, f"service.load_balancer.ingress_{key}", _string(key), 10, detail=F.when(_string("ipMode") != "", F.to_json(F.struct(_string("ipMode").alias("ipMode")))))
+        f.change(there, "status", f"status.loadBalancer.ingress.{key}", _string(key), 10)
+    return f
+
+
+def _subject_space() -> Column:
+    """The namespace of a binding's subject: none for persons, else its own, else for a service account that of the binding."""
+    whom = _string("kind")
+    return F.when(whom.isin("User", "Group"), "").otherwise(_first(_string("namespace"), F.when(whom == "ServiceAccount", F.col("namespace"))))
+
+
+def _edge_rows(rows: DataFrame, resolver: Resolver) -> DataFrame:
+    """Edges: items met by their rules, then by the resource table, both small and broadcast."""
+    spark = rows.sparkSession
+    columns = list(zip(*EDGE_RULES, strict=True))
+    rules = spark.createDataFrame(pa.table(dict(zip(_RULE, map(list, columns), strict=True))))
+    d = rows.join(F.broadcast(rules), (F.col("item.path") == F.col("list")) & F.col("rule_kind").isin("", F.col("kind")) & F.array_contains("extractors", F.col("extractor")))
+    part = lambda p: _string(F.concat_ws(".", F.when(F.col("member") != "", F.col("member")), F.lit(p)))
+    subject, refers = F.col("space") == "subject", F.col("refers")
+    name = F.coalesce(F.when(F.col("space").isin("own", "none"), _at("strings", F.col("member"))), _string(F.col("name_member")))
+    to_kind = F.when(refers, _first(part("kind"), F.col("dst_kind"))).otherwise(F.col("dst_kind"))
+    group = F.when(subject, F.when(part("kind").isin("User", "Group"), "rbac.authorization.k8s.io").otherwise(""))
+    group = group.when(refers, _first(part("group"), part("apiGroup"), F.regexp_extract(part("apiVersion"), "^(.*)/", 1), F.col("group"))).otherwise(F.col("group"))
+    space = F.when(subject, _subject_space()).when(F.col("space") == "own", F.col("namespace")).when(F.col("space") == "named", part("namespace"))
+    space = space.when(F.col("space") == "either", F.when(F.array_contains(F.split("cluster_wide", " "), to_kind), "").otherwise(_first(part("namespace"), F.col("namespace")))).otherwise("")
+    holds = F.when(F.col("edge_type") == "endpointslice_for_service", _at("flags", "endpoints[*]")).when(F.col("edge_type") == "endpointslice_targets_pod", (F.col("service") != "") & (part("kind") == "Pod")).otherwise(True)
+    d = d.where(holds).select("cluster_id", "observed_at", "object_id", "kind", "edge_type", name.alias("to_name"), to_kind.alias("dst_kind"), group.alias("to_group"), space.alias("to_space"))
+    d = d.where("to_name <> '' AND dst_kind <> ''")
+    known = resolver.lookup()
+    resources = spark.createDataFrame(pa.table({c: [r[i] for r in known] for i, c in enumerate(("asked", "of_kind", "r_group", "resource", "namespaced"))}))
+    resources = F.broadcast(resources) if len(known) <= MOST_KINDS else resources
+    d = d.join(resources, (F.col("to_group") == F.col("asked")) & (F.col("dst_kind") == F.col("of_kind")), "left")
+    parts = [F.col("cluster_id"), F.coalesce("r_group", "to_group"), F.coalesce("resource", plural_of(F.col("dst_kind"))), F.when(F.coalesce("namespaced", F.lit(True)), F.col("to_space")), F.col("to_name")]
+    dst = F.concat_ws("/", *(F.when(p != "", p) for p in parts))
     ends = [F.lit(None).cast("timestamp").alias("valid_to"), F.lit("").alias("detail")]
-    edges = edges.select("cluster_id", "x.edge_type", "src_id", "x.dst_id", "src_kind", "x.dst_kind", "valid_from", *ends)
-    changes = out.select("cluster_id", F.col("observed_at").alias("ts"), *obj, F.explode("evidence.changes").alias("c")).select("cluster_id", "ts", *obj, "c.*")
-    return facts, edges, changes
+    return d.select("cluster_id", "edge_type", F.col("object_id").alias("src_id"), dst.alias("dst_id"), F.col("kind").alias("src_kind"), "dst_kind", F.col("observed_at").alias("valid_from"), *ends)
+
+
+def split_evidence(out: DataFrame, resolver: Resolver | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts, edges, changes) DataFrames of rows with items. Edges never close."""
+    rows, found = _item_rows(out), _found()
+    obj = ["cluster_id", F.col("observed_at").alias("ts"), "object_id", "kind", "namespace", "name"]
+    facts, changes = (rows.select(*obj, F.explode(F.array_compact(F.array(*of))).alias("x")).select("cluster_id", "ts", "object_id", "kind", "namespace", "name", "x.*") for of in (found.facts, found.changes))
+    return facts, _edge_rows(rows, resolver or Resolver()), changes
 
 
 def evidence(observations: DataFrame, resolver: Resolver | None = None, extractor_set: str | Column = "default") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(facts, edges, changes) DataFrames of observation rows that have an object_id. extractor_set: a set's name, or a column of names; an unknown set matches nothing."""
-    return split_evidence(with_evidence(observations, resolver, extractor_set))
+    return split_evidence(with_items(observations, extractor_set), resolver)

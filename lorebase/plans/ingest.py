@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..operators import filters, profiles
-from ..operators.extract import split_evidence, with_evidence
+from ..operators.extract import ADDED, split_evidence, with_items
 from ..operators.versions import OBJECT, alias_rows, canonicalize, changed, infer_kinds, prior_state, versions
 from ..schema import TABLES, Tables
 from ..sources.resolver import Resolver
@@ -30,7 +30,7 @@ def ingest(
     batch, and those that the lookup finds for (cluster_id, alias_id)), empty kinds by the resource in the id; else reads do that.
 
     prior is the state before the batch, or a lookup of it by (cluster_id, object_id). Filters run once, in the rows that stage gets as
-    "filtered", and extraction once, in those that it gets as "evidence"; without a stage each table repeats them.
+    "filtered", and documents are parsed for evidence once, in those that it gets as "evidence"; without a stage each table repeats them.
 
     Beside the tables of the schema: latest_raw, the newest document of each live object as it came, secrets redacted; latest_raw_updates, the same
     with deleted objects marked; filter_rollup; object_state, what the next batch goes on from; canonical_ids.
@@ -46,9 +46,9 @@ def ingest(
     stored = filters.kept(filtered).withColumn("doc_hash", identity.doc_hash(F.col("doc")))
     before = prior(stored.select(*OBJECT).distinct()) if callable(prior) else prior
     marked = changed(stored, readd_versions, prior=before)
-    found = stage(with_evidence(marked, resolver, F.col("extractor_set") if extractor_set is None else extractor_set, F.col("content_changed")), "evidence")
-    facts, edges, changes = split_evidence(found)
-    marked = found.drop("evidence")
+    found = stage(with_items(marked, F.col("extractor_set") if extractor_set is None else extractor_set, F.col("content_changed")), "evidence")
+    facts, edges, changes = split_evidence(found, resolver)
+    marked = found.drop(*ADDED)
     alias = alias_rows(marked)
 
     detail, rollup = filters.persisted_decisions(filters.decision_rows(filtered))

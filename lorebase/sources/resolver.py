@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,13 @@ def plural(kind: str) -> str:
     return f"{k}es" if k.endswith(("s", "x", "ch", "sh")) else f"{k}s"
 
 
+def plural_of(kind: Column) -> Column:
+    """plural() of a column."""
+    k = F.lower(kind)
+    by_rule = F.when(k.rlike("[^aeiou]y$"), F.regexp_replace(k, "y$", "ies")).when(k.endswith("endpoints"), k)
+    return by_rule.when(k.rlike("(s|x|ch|sh)$"), F.concat(k, F.lit("es"))).otherwise(F.concat(k, F.lit("s")))
+
+
 @dataclass
 class Resolver:
     """Looks resources up by group and kind, or by kind alone where no group is given."""
@@ -74,6 +81,13 @@ class Resolver:
             found = next((r for (_, k), r in self.known.items() if k == kind), None)
         return found or Resource(group, "", plural(kind), kind, True)
 
+    def lookup(self) -> list[tuple[str, str, str, str, bool]]:
+        """(group asked for, kind, group, resource, namespaced) of all that by_kind() knows; what isn't here has its plural by rule."""
+        asked = dict(self.known)
+        for (_, kind), r in self.known.items():
+            asked.setdefault(("", kind), r)
+        return [(group, kind, r.group, r.resource, r.namespaced) for (group, kind), r in asked.items()]
+
     def with_crds(self, crd_docs: DataFrame) -> Resolver:
         """Adds the resources that custom resource definitions (column doc) define: a row a group and kind, the newest where observed_at is there.
         Definitions that aren't JSON, or have no kind, add nothing."""
