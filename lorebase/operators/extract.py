@@ -130,6 +130,8 @@ SETS: dict[str, tuple[str, ...]] = {
 }
 
 
+#: Extractors and the kind that each is for ('' for all).
+EXTRACTORS = {"reference": "", "pod": "Pod", "node": "Node", "event": "Event", "endpointslice": "EndpointSlice", "service": "Service"}
 #: Names a document's items and what is read of them: the columns that with_items() adds.
 ADDED = ("items", "fingerprint", "extractors")
 _LABEL = "metadata.labels.kubernetes~.io/service-name"
@@ -174,7 +176,7 @@ def _edge_rules() -> list[tuple]:
     return rules
 
 
-_RULE = ("extractor", "rule_kind", "list", "member", "name_member", "edge_type", "group", "dst_kind", "space", "refers", "cluster_wide")
+_RULE = ("extractor", "rule_kind", "rule_list", "member", "name_member", "edge_type", "group", "dst_kind", "space", "refers", "cluster_wide")
 EDGE_RULES = _edge_rules()
 
 
@@ -261,11 +263,6 @@ def _string(member: str | Column) -> Column:
     return _known(_at("strings", member))
 
 
-def _plain(n: Column) -> Column:
-    whole = (n == F.floor(n)) & (F.abs(n) < 1e18)
-    return F.when(whole, n.cast("decimal(20,0)").cast("string")).otherwise(n.cast("string"))
-
-
 def with_items(observations: DataFrame, extractor_set: str | Column = "default", wanted: Column | None = None) -> DataFrame:
     """observations with the items of their documents, the fingerprint of an event's message, and the names of the extractors that apply; rows that
     aren't wanted have no items and aren't parsed. An unknown extractor set has no extractors."""
@@ -288,141 +285,159 @@ def with_items(observations: DataFrame, extractor_set: str | Column = "default",
 
 def _item_rows(out: DataFrame) -> DataFrame:
     """A row an item, with what is read of the document beside it: the status of its first Ready condition, the service of its label, the number of its ingress points."""
-    root = F.get("items", 0)["strings"]
+    root, numbers = F.get("items", 0)["strings"], F.get("items", 0)["numbers"]
+    measured = lambda key: F.coalesce(F.try_element_at(numbers, F.concat(F.lit("status."), key)), quantity_to_double(F.try_element_at(root, F.concat(F.lit("status."), key))))
+    keys = F.array(*(F.lit(f"{part}.{resource}") for part, resource in _QUANTITIES))
+    quantities = F.when(F.col("kind") == "Node", F.map_from_arrays(keys, F.transform(keys, measured)))
     ready = F.get(F.filter("items", lambda x: (x["path"] == _CONDITIONS) & (F.try_element_at(x["strings"], F.lit("type")) == "Ready")), 0)["strings"]
-    return out.select(
-        "cluster_id", "observed_at", "object_id", _known(F.col("kind")).alias("kind"), _known(F.col("namespace")).alias("namespace"), "name", "observation_type", "extractors", "fingerprint",
-        _known(F.try_element_at(ready, F.lit("status"))).alias("ready"), _known(F.try_element_at(root, F.lit(_LABEL))).alias("service"),
-        _known(F.try_element_at(root, F.lit("spec.type"))).alias("service_type"), F.size(F.filter("items", lambda x: x["path"] == _INGRESS)).alias("n_ingress"), F.explode("items").alias("item"),
+    by = (F.array_contains("extractors", name) & ((F.col("kind") == kind) if kind else F.lit(True)) for name, kind in EXTRACTORS.items())
+    read = out.select(
+        "cluster_id", "observed_at", "object_id", _known(F.col("kind")).alias("kind"), _known(F.col("namespace")).alias("namespace"), "name", "observation_type", "extractors", "fingerprint", "items",
+        *(b.alias(f"by_{name}") for b, name in zip(by, EXTRACTORS, strict=True)), _known(F.try_element_at(ready, F.lit("status"))).alias("ready"), _known(F.try_element_at(root, F.lit(_LABEL))).alias("service"),
+        _known(F.try_element_at(root, F.lit("spec.type"))).alias("service_type"), F.size(F.filter("items", lambda x: x["path"] == _INGRESS)).alias("n_ingress"), quantities.alias("quantities"),
     )
+    return read.select("*", F.explode("items").alias("item")).drop("items").withColumn("list", F.col("item.path"))
+
+
+#: The namespace of a binding's subject: none for persons, else its own, else for a service account that of the binding.
+_SUBJECT_SPACE = """CASE WHEN try_element_at(item.strings, 'kind') IN ('User', 'Group') THEN ''
+    ELSE coalesce(nullif(try_element_at(item.strings, 'namespace'), ''), if(try_element_at(item.strings, 'kind') = 'ServiceAccount', namespace, '')) END"""
 
 
 class _Found:
-    """Gathers facts and changes as expressions over a row of _item_rows(): each a structure, or null where its condition doesn't hold."""
+    """Gathers facts and changes as SQL expressions over a row of _item_rows(): each a structure, or null where its condition doesn't hold. They are
+    text, as building some hundred of them call by call takes seconds of the driver."""
 
     def __init__(self) -> None:
-        self.facts: list[Column] = []
-        self.changes: list[Column] = []
+        self.facts: list[str] = []
+        self.changes: list[str] = []
+
+    def fact(self, when: str, key: str, value: str, severity: str | int, number: str = "CAST(NULL AS DOUBLE)", detail: str = "''") -> None:
+        row = {"fact_key": key, "fact_value": value, "numeric_value": number, "severity": severity, "detail": detail}
+        self.facts.append(_struct(when, row))
+
+    def change(self, when: str, family: str, path: str, value: str, severity: str | int, op: str = "replace") -> None:
+        row = {"change_family": _q(family), "path": path, "op": _q(op), "old_scalar": "''", "new_scalar": value, "severity": severity}
+        self.changes.append(_struct(when, row))
+
+    def both(self, when: str, key: str, family: str, path: str, value: str, severity: str | int, number: str = "CAST(NULL AS DOUBLE)", op: str = "replace") -> None:
+        self.fact(when, key, value, severity, number)
+        self.change(when, family, path, value, severity, op)
+
+
+def _q(text: str) -> str:
+    return f"'{text}'"
+
 
-    def fact(self, when: Column, key: Column | str, value: Column, severity: Column | int, number: Column | None = None, detail: Column | None = None) -> None:
-        key, severity = F.lit(key), F.lit(severity)
-        number = F.lit(None).cast("double") if number is None else number
-        row = (key.alias("fact_key"), value.alias("fact_value"), number.alias("numeric_value"), severity.alias("severity"), _known(F.lit(None).cast("string") if detail is None else detail).alias("detail"))
-        self.facts.append(F.when(when, F.struct(*row)))
+def _struct(when: str, row: dict[str, str | int]) -> str:
+    return f"CASE WHEN {when} THEN named_struct({', '.join(f'{_q(c)}, {v}' for c, v in row.items())}) END"
 
-    def change(self, when: Column, family: str, path: Column | str, value: Column, severity: Column | int, op: str = "replace") -> None:
-        row = (F.lit(family).alias("change_family"), F.lit(path).alias("path"), F.lit(op).alias("op"), F.lit("").alias("old_scalar"), value.alias("new_scalar"), F.lit(severity).alias("severity"))
-        self.changes.append(F.when(when, F.struct(*row)))
+
+def _text(member: str) -> str:
+    """A string member of the item, '' where it has none."""
+    return f"coalesce(try_element_at(item.strings, '{member}'), '')"
+
+
+def _number(member: str) -> str:
+    return f"try_element_at(item.numbers, '{member}')"
+
+
+def _either(*values: str) -> str:
+    """The first value that isn't empty, else ''."""
+    return f"coalesce({', '.join(f'nullif({v}, {_q("")})' for v in values)}, '')"
+
+
+def _plain_text(n: str) -> str:
+    return f"CASE WHEN {n} = floor({n}) AND abs({n}) < 1e18 THEN CAST(CAST({n} AS DECIMAL(20, 0)) AS STRING) ELSE CAST({n} AS STRING) END"
+
+
+def _in(column: str, values: tuple[str, ...]) -> str:
+    return f"{column} IN ({', '.join(map(_q, values))})"
 
 
 def _found() -> _Found:
     f = _Found()
-    kind, document = F.col("kind"), F.col("item.path") == ""
-    by = lambda name, *kinds: F.array_contains("extractors", name) & (kind.isin(*kinds) if kinds else F.lit(True))
-    of = lambda at: F.col("item.path") == at
-    for name, kinds, path, key, severity in FACTS:
+    of = lambda at: f"list = '{at}'"
+    name, status, type_of, reason = (_text(m) for m in ("name", "status", "type", "reason"))
+    for extractor, kinds, path, key, severity in FACTS:
         at, member = _parted(path)
-        f.fact(by(name, *kinds) & of(at) & (_string(member) != ""), key, _string(member), severity)
+        f.fact(f"{of(at)} AND by_{extractor} AND {_in('kind', kinds)} AND {_text(member)} <> ''", _q(key), _text(member), severity)
     # references
     for kinds, path, _, key in SERVICES:
         at, member = _parted(path)
-        name, space = _string(_joined(member, "name")), _string(_joined(member, "namespace"))
-        there, value = by("reference", *kinds) & of(at) & (name != ""), F.when(space != "", F.concat_ws("/", space, name)).otherwise(name)
-        f.fact(there, key, value, 50)
-        f.change(there, "reference", key, value, 50)
-    policy, hook = _string("failurePolicy"), _string("name")
-    there, severity = by("reference") & kind.endswith("WebhookConfiguration") & of("webhooks[*]") & (policy != ""), F.when(policy == "Fail", 70).otherwise(40)
-    f.fact(there, "admission_webhook.failure_policy", policy, severity)
-    f.change(there, "admission_webhook", F.concat_ws(".", F.lit("webhooks"), F.when(hook != "", hook), F.lit("failurePolicy")), policy, severity)
-    role = F.concat_ws("/", _first(_string("roleRef.kind"), F.lit("Role")), _string("roleRef.name"))
-    binds = by("reference", "RoleBinding", "ClusterRoleBinding")
-    f.fact(binds & document & (_string("roleRef.name") != ""), "rbac.role_ref", role, 50)
-    f.change(binds & document & (_string("roleRef.name") != ""), "rbac", "roleRef", role, 50)
-    whom, space = _string("kind"), _subject_space()
-    f.fact(binds & of("subjects[*]") & (whom != "") & (hook != ""), "rbac.subject", F.concat_ws("/", whom, F.when(space != "", space), hook), 40)
-    type_of, status, reason = _string("type"), _string("status"), _string("reason")
-    condition = of(_CONDITIONS) & (type_of != "") & (status != "")
-    severity = F.when(status.isin("False", "Unknown"), 60).otherwise(20)
-    f.fact(by("reference") & condition, F.concat(F.lit("status_condition."), type_of), status, severity)
-    f.change(by("reference") & condition, "status", F.concat(F.lit("status.conditions."), type_of), status, severity)
-    f.fact(by("reference") & condition & (reason != ""), F.concat(F.lit("status_condition."), type_of, F.lit(".reason")), reason, severity)
+        service, space = _text(_joined(member, "name")), _text(_joined(member, "namespace"))
+        f.both(f"{of(at)} AND by_reference AND {_in('kind', kinds)} AND {service} <> ''", _q(key), "reference", _q(key), f"concat_ws('/', nullif({space}, ''), {service})", 50)
+    policy = _text("failurePolicy")
+    path = f"concat_ws('.', 'webhooks', nullif({name}, ''), 'failurePolicy')"
+    f.both(f"{of('webhooks[*]')} AND by_reference AND endswith(kind, 'WebhookConfiguration') AND {policy} <> ''", _q("admission_webhook.failure_policy"), "admission_webhook", path, policy, f"if({policy} = 'Fail', 70, 40)")
+    role, binds = _text("roleRef.name"), "by_reference AND kind IN ('RoleBinding', 'ClusterRoleBinding')"
+    f.both(f"list = '' AND {binds} AND {role} <> ''", _q("rbac.role_ref"), "rbac", _q("roleRef"), f"concat_ws('/', {_either(_text('roleRef.kind'), _q('Role'))}, {role})", 50)
+    whom = _text("kind")
+    f.fact(f"{of('subjects[*]')} AND {binds} AND {whom} <> '' AND {name} <> ''", _q("rbac.subject"), f"concat_ws('/', {whom}, nullif({_SUBJECT_SPACE}, ''), {name})", 40)
+    condition = f"{of(_CONDITIONS)} AND {type_of} <> '' AND {status} <> ''"
+    path, severity = f"concat('status.conditions.', {type_of})", f"if({status} IN ('False', 'Unknown'), 60, 20)"
+    f.both(f"{condition} AND by_reference", f"concat('status_condition.', {type_of})", "status", path, status, severity)
+    f.fact(f"{condition} AND by_reference AND {reason} <> ''", f"concat('status_condition.', {type_of}, '.reason')", reason, severity)
     # pods
-    pod, ready = by("pod", "Pod"), F.col("ready")
-    severity = F.when(ready == "False", 50).otherwise(20)
-    f.fact(pod & document & (ready != ""), "pod_status.ready", ready, severity)
-    f.change(pod & document & (ready != ""), "status", "status.conditions.Ready", ready, severity)
-    container = pod & F.col("item.path").isin(*(f"status.{s}[*]" for s in _STATUSES))
-    place, n = F.concat(F.lit("status.containerStatuses."), hook), _at("numbers", "restartCount")
-    f.fact(container & n.isNotNull(), "pod_status.restart_count", _plain(n), 30, n)
-    f.change(container & (n > 0), "status", F.concat(place, F.lit(".restartCount")), _plain(n), 50)
+    f.both("list = '' AND by_pod AND ready <> ''", _q("pod_status.ready"), "status", _q("status.conditions.Ready"), "ready", "if(ready = 'False', 50, 20)")
+    container = f"{_in('list', tuple(f'status.{s}[*]' for s in _STATUSES))} AND by_pod"
+    place, n = f"concat('status.containerStatuses.', {name}, ", _number("restartCount")
+    f.fact(f"{container} AND {n} IS NOT NULL", _q("pod_status.restart_count"), _plain_text(n), 30, n)
+    f.change(f"{container} AND {n} > 0", "status", f"{place}'.restartCount')", _plain_text(n), 50)
     for state, key in (("state", "reason"), ("lastState", "last_reason")):
-        why = _first(_string(f"{state}.waiting.reason"), _string(f"{state}.terminated.reason"))
-        severity = F.when(why.isin(*SEVERE), 90).otherwise(50)
-        f.fact(container & (why != ""), f"pod_status.{key}", why, severity)
-        f.change(container & (why != ""), "status", F.concat(place, F.lit(f".{state}.reason")), why, severity)
-    for name, kind_of, key in (("pod", "Pod", "pod_placement.deleted"), ("service", "Service", "service.deleted")):
-        gone = by(name, kind_of) & document & (F.col("observation_type") == "DELETED")
-        f.fact(gone, key, F.lit("true"), 60)
-        f.change(gone, "status", "metadata.deletionTimestamp", F.lit("deleted"), 60, "delete")
+        why = _either(_text(f"{state}.waiting.reason"), _text(f"{state}.terminated.reason"))
+        f.both(f"{container} AND {why} <> ''", _q(f"pod_status.{key}"), "status", f"{place}'.{state}.reason')", why, f"if({_in(why, SEVERE)}, 90, 50)")
+    for extractor, key in (("pod", "pod_placement.deleted"), ("service", "service.deleted")):
+        f.both(f"list = '' AND by_{extractor} AND observation_type = 'DELETED'", _q(key), "status", _q("metadata.deletionTimestamp"), "'true'", 60, op="delete")
+        f.changes[-1] = f.changes[-1].replace("'true'", "'deleted'")
     # nodes
-    node = by("node", "Node")
     for part, resource in _QUANTITIES:
-        member = f"status.{part}.{resource}"
-        number, written = _at("numbers", member), _at("strings", member)
-        f.fact(node & document & (number.isNotNull() | written.isNotNull()), f"node_{part}.{resource.replace('-', '_')}", F.coalesce(written, _plain(number)), 10, F.coalesce(number, quantity_to_double(written)))
-    severity = F.when((type_of != "Ready") & (status == "True"), 80).otherwise(20)
-    f.fact(node & condition, F.concat(F.lit("node_condition."), type_of), status, severity)
-    f.change(node & condition, "status", F.concat(F.lit("status.conditions."), type_of), status, severity)
+        number, written = _number(f"status.{part}.{resource}"), f"try_element_at(item.strings, 'status.{part}.{resource}')"
+        value = f"coalesce({written}, {_plain_text(number)})"
+        f.fact(f"list = '' AND by_node AND {value} IS NOT NULL", _q(f"node_{part}.{resource.replace('-', '_')}"), value, 10, f"try_element_at(quantities, '{part}.{resource}')")
+    severity = f"if({type_of} <> 'Ready' AND {status} = 'True', 80, 20)"
+    f.both(f"{condition} AND by_node", f"concat('node_condition.', {type_of})", "status", path, status, severity)
     # events
-    event, message = by("event", "Event") & document, _first(_string("message"), _string("note"))
-    f.fact(event & (message != ""), "k8s_event.message_fingerprint", F.col("fingerprint"), 20)
-    f.fact(event & (message != ""), "k8s_event.message_preview", F.substring(message, 1, 512), 20)
-    for path, key in (("count", "k8s_event.count"), ("series.count", "k8s_event.series_count")):
-        n = _at("numbers", path)
-        f.fact(event & n.isNotNull(), key, _plain(n), 20, n)
-        f.change(event & n.isNotNull(), "event_rollup", path, _plain(n), 20)
+    message = _either(_text("message"), _text("note"))
+    f.fact(f"list = '' AND by_event AND {message} <> ''", _q("k8s_event.message_fingerprint"), "fingerprint", 20)
+    f.fact(f"list = '' AND by_event AND {message} <> ''", _q("k8s_event.message_preview"), f"substring({message}, 1, 512)", 20)
+    for member, key in (("count", "k8s_event.count"), ("series.count", "k8s_event.series_count")):
+        n = _number(member)
+        f.both(f"list = '' AND by_event AND {n} IS NOT NULL", _q(key), "event_rollup", _q(member), _plain_text(n), 20, n)
     # Endpoint slices
-    point = by("endpointslice", "EndpointSlice") & of("endpoints[*]")
-    target = F.when((F.col("service") != "") & (_string("targetRef.kind") == "Pod"), _string("targetRef.name")).otherwise("")
-    f.change(point & (target != ""), "topology", "endpoints.targetRef", F.concat(F.lit("Pod/"), target), 30, "add")
+    point, pod = f"{of('endpoints[*]')} AND by_endpointslice", f"if(service <> '' AND {_text('targetRef.kind')} = 'Pod', {_text('targetRef.name')}, '')"
+    f.change(f"{point} AND {pod} <> ''", "topology", _q("endpoints.targetRef"), f"concat('Pod/', {pod})", 30, "add")
     for key in ("ready", "serving", "terminating"):
-        flag = _at("flags", f"conditions.{key}")
-        f.fact(point & flag.isNotNull(), f"endpoint.{key}", flag.cast("string"), 20)
-        f.change(point & flag.isNotNull(), "status", F.concat_ws(".", F.lit("endpoints"), F.when(target != "", target), F.lit(f"conditions.{key}")), flag.cast("string"), 20)
+        flag = f"try_element_at(item.flags, 'conditions.{key}')"
+        f.both(f"{point} AND {flag} IS NOT NULL", _q(f"endpoint.{key}"), "status", f"concat_ws('.', 'endpoints', nullif({pod}, ''), 'conditions.{key}')", f"CAST({flag} AS STRING)", 20)
     # E5: services
-    service, type_of, address = by("service", "Service"), _string("spec.type"), _string("spec.clusterIP")
-    balanced, n = service & document & (type_of == "LoadBalancer"), F.col("n_ingress")
-    f.change(service & document & (type_of != ""), "spec", "spec.type", type_of, 10)
-    f.fact(service & document & ~address.isin("", "None"), "service.cluster_ip", address, 10)
-    f.fact(balanced, "service.load_balancer.ingress_count", n.cast("string"), 10, n.cast("double"))
-    f.fact(balanced, "service.load_balancer.pending", (n == 0).cast("string"), F.when(n == 0, 50).otherwise(10))
-    f.change(balanced & (n == 0), "status", "status.loadBalancer.ingress", F.lit("pending"), 50)
+    f.change("list = '' AND by_service AND service_type <> ''", "spec", _q("spec.type"), "service_type", 10)
+    f.fact(f"list = '' AND by_service AND {_text('spec.clusterIP')} NOT IN ('', 'None')", _q("service.cluster_ip"), _text("spec.clusterIP"), 10)
+    balanced = "list = '' AND by_service AND service_type = 'LoadBalancer'"
+    f.fact(balanced, _q("service.load_balancer.ingress_count"), "CAST(n_ingress AS STRING)", 10, "CAST(n_ingress AS DOUBLE)")
+    f.fact(balanced, _q("service.load_balancer.pending"), "CAST(n_ingress = 0 AS STRING)", "if(n_ingress = 0, 50, 10)")
+    f.change(f"{balanced} AND n_ingress = 0", "status", _q("status.loadBalancer.ingress"), "'pending'", 50)
+    mode = _text("ipMode")
     for key in ("ip", "hostname"):
-        there = service & of(_INGRESS) & (F.col("service_type") == "LoadBalancer") & (_string(key) != "")
-        f.fact(there, f"service.load_balancer.ingress_{key}", _string(key), 10, detail=F.when(_string("ipMode") != "", F.to_json(F.struct(_string("ipMode").alias("ipMode")))))
-        f.change(there, "status", f"status.loadBalancer.ingress.{key}", _string(key), 10)
+        there = f"{of(_INGRESS)} AND by_service AND service_type = 'LoadBalancer' AND {_text(key)} <> ''"
+        f.fact(there, _q(f"service.load_balancer.ingress_{key}"), _text(key), 10, detail=f"if({mode} <> '', to_json(named_struct('ipMode', {mode})), '')")
+        f.change(there, "status", _q(f"status.loadBalancer.ingress.{key}"), _text(key), 10)
     return f
 
 
-def _subject_space() -> Column:
-    """The namespace of a binding's subject: none for persons, else its own, else for a service account that of the binding."""
-    whom = _string("kind")
-    return F.when(whom.isin("User", "Group"), "").otherwise(_first(_string("namespace"), F.when(whom == "ServiceAccount", F.col("namespace"))))
-
-
 def _edge_rows(rows: DataFrame, resolver: Resolver) -> DataFrame:
     """Edges: items met by their rules, then by the resource table, both small and broadcast."""
     spark = rows.sparkSession
     columns = list(zip(*EDGE_RULES, strict=True))
     rules = spark.createDataFrame(pa.table(dict(zip(_RULE, map(list, columns), strict=True))))
-    d = rows.join(F.broadcast(rules), (F.col("item.path") == F.col("list")) & F.col("rule_kind").isin("", F.col("kind")) & F.array_contains("extractors", F.col("extractor")))
+    d = rows.join(F.broadcast(rules), (F.col("list") == F.col("rule_list")) & F.col("rule_kind").isin("", F.col("kind")) & F.array_contains("extractors", F.col("extractor")))
     part = lambda p: _string(F.concat_ws(".", F.when(F.col("member") != "", F.col("member")), F.lit(p)))
     subject, refers = F.col("space") == "subject", F.col("refers")
     name = F.coalesce(F.when(F.col("space").isin("own", "none"), _at("strings", F.col("member"))), _string(F.col("name_member")))
     to_kind = F.when(refers, _first(part("kind"), F.col("dst_kind"))).otherwise(F.col("dst_kind"))
     group = F.when(subject, F.when(part("kind").isin("User", "Group"), "rbac.authorization.k8s.io").otherwise(""))
     group = group.when(refers, _first(part("group"), part("apiGroup"), F.regexp_extract(part("apiVersion"), "^(.*)/", 1), F.col("group"))).otherwise(F.col("group"))
-    space = F.when(subject, _subject_space()).when(F.col("space") == "own", F.col("namespace")).when(F.col("space") == "named", part("namespace"))
+    space = F.when(subject, F.expr(_SUBJECT_SPACE)).when(F.col("space") == "own", F.col("namespace")).when(F.col("space") == "named", part("namespace"))
     space = space.when(F.col("space") == "either", F.when(F.array_contains(F.split("cluster_wide", " "), to_kind), "").otherwise(_first(part("namespace"), F.col("namespace")))).otherwise("")
     holds = F.when(F.col("edge_type") == "endpointslice_for_service", _at("flags", "endpoints[*]")).when(F.col("edge_type") == "endpointslice_targets_pod", (F.col("service") != "") & (part("kind") == "Pod")).otherwise(True)
     d = d.where(holds).select("cluster_id", "observed_at", "object_id", "kind", "edge_type", name.alias("to_name"), to_kind.alias("dst_kind"), group.alias("to_group"), space.alias("to_space"))
@@ -441,7 +456,7 @@ def split_evidence(out: DataFrame, resolver: Resolver | None = None) -> tuple[Da
     """(facts, edges, changes) DataFrames of rows with items. Edges never close."""
     rows, found = _item_rows(out), _found()
     obj = ["cluster_id", F.col("observed_at").alias("ts"), "object_id", "kind", "namespace", "name"]
-    facts, changes = (rows.select(*obj, F.explode(F.array_compact(F.array(*of))).alias("x")).select("cluster_id", "ts", "object_id", "kind", "namespace", "name", "x.*") for of in (found.facts, found.changes))
+    facts, changes = (rows.select(*obj, F.explode(F.array_compact(F.expr(f"array({', '.join(of)})"))).alias("x")).select("cluster_id", "ts", "object_id", "kind", "namespace", "name", "x.*") for of in (found.facts, found.changes))
     return facts, _edge_rows(rows, resolver or Resolver()), changes
 
 
