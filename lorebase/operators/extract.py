@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -180,20 +181,27 @@ _RULE = ("extractor", "rule_kind", "rule_list", "member", "name_member", "edge_t
 EDGE_RULES = _edge_rules()
 
 
-def _wanted() -> dict[str, set[str]]:
-    """What is read: the members of the document ('') and of the items of each list. Lists that only lead to others are there too."""
+@lru_cache(1024)
+def wanted(kind: str) -> dict[str, set[str]]:
+    """What is read of documents of a kind: the members of the document ('') and of the items of each list. Lists that only lead to others are there too."""
     read: dict[str, set[str]] = {"": {"roleRef.name", "roleRef.kind", "spec.clusterIP", "message", "note", "count", "series.count", *(f"status.{p}.{r}" for p, r in _QUANTITIES)}}
     more = {
         _CONDITIONS: ("type", "status", "reason"), "webhooks[*]": ("name", "failurePolicy"), "subjects[*]": ("kind", "name", "namespace"), _INGRESS: ("ip", "hostname", "ipMode"),
         "endpoints[*]": ("targetRef.kind", "targetRef.namespace", "conditions.ready", "conditions.serving", "conditions.terminating"),
         **{f"status.{s}[*]": ("name", "restartCount", *(f"{a}.{b}.reason" for a in ("state", "lastState") for b in ("waiting", "terminated"))) for s in _STATUSES},
     }
+    hooks, bindings = kind.endswith("WebhookConfiguration"), kind in ("RoleBinding", "ClusterRoleBinding")
+    needed = {"webhooks[*]": hooks, "subjects[*]": bindings, _INGRESS: kind == "Service", "endpoints[*]": kind == "EndpointSlice", _CONDITIONS: True}
     for at, members in more.items():
-        read.setdefault(at, set()).update(members)
-    for _, _, path, _, _ in FACTS:
-        at, member = _parted(path)
-        read.setdefault(at, set()).add(member)
+        if needed.get(at, kind == "Pod"):
+            read.setdefault(at, set()).update(members)
+    for _, kinds, path, _, _ in FACTS:
+        if kind in kinds:
+            at, member = _parted(path)
+            read.setdefault(at, set()).add(member)
     for rule in EDGE_RULES:
+        if rule[1] not in ("", kind):
+            continue
         at, member, name_member, refers = rule[2], rule[3], rule[4], rule[9]
         read.setdefault(at, set()).update({member, name_member, _joined(member, "namespace")}, {_joined(member, p) for p in _REFERENCE_PARTS} if refers else ())
     for at in list(read):
@@ -203,12 +211,11 @@ def _wanted() -> dict[str, set[str]]:
     return read
 
 
-WANTED = _wanted()
 _ITEM = "array<struct<path:string,strings:map<string,string>,numbers:map<string,double>,flags:map<string,boolean>>>"
 
 
-def items_of(doc: str | None, wanted: dict[str, set[str]]) -> list[dict]:
-    """The items of a document that are wanted, the document itself first: scalar members by dotted path (dots and brackets of keys have a ~ before
+def items_of(doc: str | None, kind: str) -> list[dict]:
+    """The items of a document that are read of its kind, the document itself first: scalar members by dotted path (dots and brackets of keys have a ~ before
     them), and a flag for each wanted list. None where it isn't a JSON object."""
     try:
         root = json.loads(doc)
@@ -216,7 +223,7 @@ def items_of(doc: str | None, wanted: dict[str, set[str]]) -> list[dict]:
         return []
     if not isinstance(root, dict):
         return []
-    items, open_items = [], [("", root)]
+    read, items, open_items = wanted(kind), [], [("", root)]
     for path, item in open_items:  # grows
         strings, numbers, flags = {}, {}, {}
         members = [("", item)]
@@ -225,10 +232,10 @@ def items_of(doc: str | None, wanted: dict[str, set[str]]) -> list[dict]:
             if isinstance(x, dict):
                 members += [(_joined(at, k.replace(".", "~.").replace("[", "~[")), v) for k, v in x.items()]
             elif isinstance(x, list):
-                if (below := f"{_joined(path, at)}[*]") in wanted:
+                if (below := f"{_joined(path, at)}[*]") in read:
                     flags[f"{at}[*]"] = True
                     open_items += [(below, y) for y in x if y is not None]
-            elif at in wanted[path]:
+            elif at in read[path]:
                 if isinstance(x, str):
                     strings[at] = x
                 elif isinstance(x, bool):
@@ -268,16 +275,15 @@ def with_items(observations: DataFrame, extractor_set: str | Column = "default",
     aren't wanted have no items and aren't parsed. An unknown extractor set has no extractors."""
     named = F.lit(extractor_set) if isinstance(extractor_set, str) else extractor_set
     doc = F.col("doc") if wanted is None else F.when(wanted, F.col("doc"))
-    read = WANTED
 
     @F.arrow_udf(_ITEM)
-    def run(docs: pa.Array) -> pa.Array:
+    def run(docs: pa.Array, kinds: pa.Array) -> pa.Array:
         members = lambda of: pa.map_(pa.string(), of)
         kind = pa.list_(pa.struct([("path", pa.string()), ("strings", members(pa.string())), ("numbers", members(pa.float64())), ("flags", members(pa.bool_()))]))
-        return pa.array([items_of(d, read) for d in docs.to_pylist()], kind)
+        return pa.array([items_of(d, k) for d, k in zip(docs.to_pylist(), kinds.to_pylist(), strict=True)], kind)
 
     sets = F.create_map(*(x for name, of in SETS.items() for x in (F.lit(name), F.array(*map(F.lit, of)).cast("array<string>"))))
-    d = observations.withColumn("items", run(doc)).withColumn("extractors", F.coalesce(F.try_element_at(sets, named), F.array().cast("array<string>")))
+    d = observations.withColumn("items", run(doc, _known(F.col("kind")))).withColumn("extractors", F.coalesce(F.try_element_at(sets, named), F.array().cast("array<string>")))
     root = F.get("items", 0)["strings"]
     message = F.when(F.col("kind") == "Event", _first(F.try_element_at(root, F.lit("message")), F.try_element_at(root, F.lit("note"))))
     return d.withColumn("fingerprint", fnv1a64(F.when(message != "", message)))
