@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import Tables
+from ..sources.shared import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
+    e = dealt(e.select("user_id", "ts", "event_id", "event_type"), e.count(), "user_id")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     severity = F.when(F.col("event_type") == "error", 90).otherwise(20)
     c = e.withColumn("old", F.coalesce(F.lag("event_type").over(w), F.lit(""))).where(F.col("old") != F.col("event_type"))
@@ -42,7 +44,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         begin = at(start) if start else F.lit("1990-01-01 00:00:00").cast("timestamp_ntz")
         return df.select(F.lit("c1").alias("cluster_id"), F.lit(kind).alias("edge_type"), ident(src, src_col).alias("src_id"), ident(dst, dst_col).alias("dst_id"), F.lit(src).alias("src_kind"), F.lit(dst).alias("dst_kind"), begin.alias("valid_from"), at(end).alias("valid_to"), F.lit("").alias("detail"))
 
-    lines = t("lineitem").join(t("orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows_of_lines = t("lineitem").count()  # of the files' footers
+    lines = dealt(t("lineitem"), rows_of_lines, "l_orderkey").join(dealt(t("orders").select("o_orderkey", "o_orderdate"), rows_of_lines, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return (
         rows(lines, "order_part", "order", "l_orderkey", "part", "l_partkey", "o_orderdate", "l_shipdate")
         .union(rows(lines, "order_supplier", "order", "l_orderkey", "supplier", "l_suppkey", "o_orderdate", "l_shipdate"))

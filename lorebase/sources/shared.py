@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task gets about where dealt() deals them.
+ROWS_PER_TASK = 500_000
+
 _own: list[str] = []
 
 
@@ -31,3 +34,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by keys over as many partitions as rows ask for, so that a task's share doesn't grow with the table, whatever the session's number of
+    partitions. A few million rows are left to Spark. Sides of a join are to be dealt by the same rows."""
+    parts = rows // ROWS_PER_TASK
+    return df.repartition(parts, *keys) if parts > 8 else df

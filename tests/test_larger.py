@@ -1,13 +1,32 @@
 """What larger and odd tables showed: times before 1970, and plans whose tasks don't grow with the tables."""
 
 import duckdb
+import pytest
 from lorebase.plans.queries import ORACLE_SQL, QUERIES
+from lorebase.sources import shared
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_bucket_div_before_1970(spark, tmp_path):
     times = ["1969-12-31 23:30:00", "1969-12-31 23:00:00", "1969-12-31 23:00:00.0005", "1969-12-31 22:59:59.9995", "1969-12-31 23:59:59.9995", "1900-02-03 04:05:06", "1970-01-01 00:30:00", "0001-01-01 00:00:00", "9999-12-31 23:59:59"]
     db = duckdb.connect()
-    db.sql(f"COPY (SELECT CAST(unnest({times + [None]}) AS TIMESTAMP) AS ts) TO '{tmp_path}/events.parquet'")
+    db.sql(f"COPY (SELECT CAST(unnest({times} || [NULL]) AS TIMESTAMP) AS ts) TO '{tmp_path}/events.parquet'")
     db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     got = QUERIES["bucket_div"](spark, str(tmp_path)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, db.sql(ORACLE_SQL["bucket_div"]).fetchall()))
+
+
+@pytest.mark.parametrize("name", ["t27_service_topology", "distinct_union", "t4_allocation", "evidence_score", "evidence_score_all", "t28_overview"])
+def test_tasks_by_rows(spark, monkeypatch, name):
+    """Joins and windows are dealt over as many tasks as their rows ask for, also if the session has few, with the SQL's rows."""
+    monkeypatch.setattr(shared, "ROWS_PER_TASK", 60)
+    out = QUERIES[name](spark, SF)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    db = duckdb.connect()
+    for t in ("events", "orders", "lineitem", "customer", "nation"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    rows = {t: db.sql(f"SELECT count(*) FROM {t}").fetchall()[0][0] // 60 for t in ("events", "lineitem")}
+    assert any(f", {n})" in plan and "REPARTITION_BY_NUM" in plan for n in (rows["events"], rows["lineitem"]))
+    want = db.sql(ORACLE_SQL[name])
+    assert sorted(map(str, map(tuple, out.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
