@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import filters, maintain, read, versions
-from ..sources.shared import new_folder
+from ..sources.shared import dealt, new_folder
 from . import adapter, recipes
 from .queries import _V1, _V2, ORACLE_SQL, _marked, _query
 
@@ -120,7 +120,7 @@ def t27_service_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     ident = lambda kind, c: F.concat(F.lit(f"{kind}/"), _text(c))
     s = lines.select(F.lit("c1").alias("cluster_id"), F.lit("endpointslice_for_service").alias("edge_type"), ident("part", "l_partkey").alias("src_id"), ident("order", "l_orderkey").alias("dst_id"))
     p = lines.where("l_linenumber = 1").select(F.lit("c1").alias("cluster_id"), F.lit("endpointslice_targets_pod").alias("edge_type"), ident("part", "l_partkey").alias("src_id"), ident("supplier", "l_suppkey").alias("dst_id"))
-    return recipes.service_topology_counts(s.unionByName(p)).drop("cluster_id")
+    return recipes.service_topology_counts(s.unionByName(p), lines.count()).drop("cluster_id")
 
 
 def _pod_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
