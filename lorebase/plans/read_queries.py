@@ -128,9 +128,11 @@ def _pod_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = adapter.table(spark, sf_dir, "lineitem")
     requests = F.when(F.col("l_linenumber") % 5 != 0, F.struct(F.concat(_text("l_suppkey"), F.lit("m")).alias("cpu"), F.concat(_text("l_linenumber"), F.lit("Mi")).alias("memory")))
     container = F.struct(F.concat(F.lit("c"), _text("l_linenumber")).alias("name"), F.lit("i").alias("image"), F.struct(requests.alias("requests")).alias("resources"))
-    pods = lines.groupBy("l_orderkey").agg(F.collect_list(container).alias("containers")).join(adapter.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.count()
+    pods = dealt(lines, rows, "l_orderkey").groupBy("l_orderkey").agg(F.collect_list(container).alias("containers")).join(dealt(adapter.table(spark, sf_dir, "orders"), rows, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     doc = F.to_json(F.struct(F.struct("containers").alias("spec")))
-    return pods.select(F.lit("c1").alias("cluster_id"), F.col("o_orderdate").alias("observed_at"), F.lit("ADDED").alias("observation_type"), F.lit("Pod").alias("kind"), F.lower("o_orderstatus").alias("namespace"), F.concat(F.lit("o-"), _text("o_orderkey")).alias("name"), _text("o_orderkey").alias("uid"), doc.alias("doc"))
+    docs = pods.select(F.lit("c1").alias("cluster_id"), F.col("o_orderdate").alias("observed_at"), F.lit("ADDED").alias("observation_type"), F.lit("Pod").alias("kind"), F.lower("o_orderstatus").alias("namespace"), F.concat(F.lit("o-"), _text("o_orderkey")).alias("name"), _text("o_orderkey").alias("uid"), doc.alias("doc"))
+    return dealt(docs, rows, "uid")
 
 
 @_query("""SELECT lower(o_orderstatus) AS namespace, count(*) AS containers, count(*) FILTER (WHERE l_linenumber % 5 = 0) AS without_requests, CAST(round(sum(CASE WHEN l_linenumber % 5 <> 0 THEN l_suppkey END)) AS BIGINT) AS millicores,
