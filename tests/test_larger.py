@@ -30,3 +30,16 @@ def test_tasks_by_rows(spark, monkeypatch, name):
     assert any(f", {n})" in plan and "REPARTITION_BY_NUM" in plan for n in (rows["events"], rows["lineitem"]))
     want = db.sql(ORACLE_SQL[name])
     assert sorted(map(str, map(tuple, out.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_trigram_postings_are_gathered(spark, tmp_path):
+    """A gram has a row for each part of the table, not for each text; long texts and marks beyond 16 bits are found."""
+    from lorebase.operators.trigrams import PIECE, TextIndex
+    from pyspark.sql import functions as F
+
+    rows = spark.range(500).select("id", F.when(F.col("id") == 7, F.concat(F.repeat(F.lit("x"), PIECE - 4), F.lit("End \U0001f600 of it"))).when(F.col("id") == 8, F.lit(None)).otherwise("some words").alias("t"))
+    index = TextIndex.build(rows, ("id",), F.col("t"), f"{tmp_path}/index")
+    assert index._postings().where("gram = 'wor'").count() <= 2 * spark.sparkContext.defaultParallelism
+    assert index._postings().agg(F.sum("n")).first()[0] > 498 * 8
+    assert [r["id"] for r in index.search(rows, F.col("t"), ["end \U0001f600 of"]).collect()] == [7]
+    assert index.search(rows, F.col("t"), ["some", "WORDS"]).count() == 498
