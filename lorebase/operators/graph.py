@@ -35,14 +35,17 @@ class Adjacency:
     schema: StructType
 
     @staticmethod
-    def build(edges: DataFrame, folder: str, buckets: int | None = None) -> Adjacency:
-        """Writes the layout. A folder of a hot id is written by many tasks, as rows are dealt by id and edge."""
+    def build(edges: DataFrame, folder: str, buckets: int | None = None, rows: int | None = None) -> Adjacency:
+        """Writes the layout. A folder of a hot id is written by many tasks, as rows are dealt by id and edge. rows: the number of edges, counted where it isn't given."""
+        rows = edges.count() if rows is None and buckets is None else rows or 0
         if buckets is None:
-            buckets = max(16, min(MOST_BUCKETS, 2 * edges.count() // ROWS_PER_BUCKET))
+            buckets = max(16, min(MOST_BUCKETS, 2 * rows // ROWS_PER_BUCKET))
         spread = F.explode(F.array(F.struct(F.col("src_id").alias("near_id"), F.lit("out").alias("direction")), F.struct(F.col("dst_id").alias("near_id"), F.lit("in").alias("direction"))))
         both = edges.select("cluster_id", *_EDGE, spread.alias("s")).select("cluster_id", *_EDGE, "s.*").withColumn("bucket", Adjacency._of(F.col("near_id"), buckets))
-        dealt = both.repartition("bucket", F.pmod(F.xxhash64("src_id", "dst_id"), F.lit(8)))
-        dealt.sortWithinPartitions("bucket", "near_id").write.option("parquet.bloom.filter.enabled#near_id", "true").partitionBy("bucket").parquet(folder)
+        by = ("bucket", F.pmod(F.xxhash64("src_id", "dst_id"), F.lit(8)))
+        tasks = 2 * rows // ROWS_PER_BUCKET
+        spread_out = both.repartition(tasks, *by) if tasks > 8 else both.repartition(*by)
+        spread_out.sortWithinPartitions("bucket", "near_id").write.partitionBy("bucket").parquet(folder)  # sorted, so ranges tell where an id is
         return Adjacency(edges.sparkSession, folder, buckets, both.schema)
 
     @staticmethod
