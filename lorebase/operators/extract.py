@@ -211,6 +211,8 @@ def wanted(kind: str) -> dict[str, set[str]]:
     return read
 
 
+#: Documents whose items a worker holds as Python objects at one time.
+DOCS = 500
 _ITEM = "array<struct<path:string,strings:map<string,string>,numbers:map<string,double>,flags:map<string,boolean>>>"
 
 
@@ -280,7 +282,8 @@ def with_items(observations: DataFrame, extractor_set: str | Column = "default",
     def run(docs: pa.Array, kinds: pa.Array) -> pa.Array:
         members = lambda of: pa.map_(pa.string(), of)
         kind = pa.list_(pa.struct([("path", pa.string()), ("strings", members(pa.string())), ("numbers", members(pa.float64())), ("flags", members(pa.bool_()))]))
-        return pa.array([items_of(d, k) for d, k in zip(docs.to_pylist(), kinds.to_pylist(), strict=True)], kind)
+        parts = ((docs.slice(i, DOCS), kinds.slice(i, DOCS)) for i in range(0, max(len(docs), 1), DOCS))
+        return pa.concat_arrays([pa.array([items_of(d, k) for d, k in zip(a.to_pylist(), b.to_pylist(), strict=True)], kind) for a, b in parts])
 
     sets = F.create_map(*(x for name, of in SETS.items() for x in (F.lit(name), F.array(*map(F.lit, of)).cast("array<string>"))))
     d = observations.withColumn("items", run(doc, _known(F.col("kind")))).withColumn("extractors", F.coalesce(F.try_element_at(sets, named), F.array().cast("array<string>")))

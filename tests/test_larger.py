@@ -43,3 +43,18 @@ def test_trigram_postings_are_gathered(spark, tmp_path):
     assert index._postings().agg(F.sum("n")).first()[0] > 498 * 8
     assert [r["id"] for r in index.search(rows, F.col("t"), ["end \U0001f600 of"]).collect()] == [7]
     assert index.search(rows, F.col("t"), ["some", "WORDS"]).count() == 498
+
+
+def test_items_are_made_in_slices(spark, monkeypatch):
+    """A batch's documents become items a few at a time, in their order, with nothing lost at the edges of a slice."""
+    import json
+
+    from lorebase.operators import extract
+    from pyspark.sql import functions as F
+
+    assert extract.DOCS <= 500
+    doc = F.to_json(F.struct(F.struct(F.concat(F.lit("n-"), F.col("id")).alias("nodeName")).alias("spec")))
+    rows = spark.range(0, 1203, 1, 1).select("id", F.when(F.col("id") != 500, doc).alias("doc"), F.lit("Pod").alias("kind"))
+    found = {r["id"]: r["items"] for r in extract.with_items(rows).select("id", "items").collect()}
+    assert len(found) == 1203 and found[500] == []
+    assert all(x[0]["strings"] == {"spec.nodeName": f"n-{i}"} for i, x in found.items() if i != 500), json.dumps(str(found[0]))
