@@ -8,6 +8,7 @@ expressions over an item and the few values of its document that they need. Noth
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -211,6 +212,32 @@ def wanted(kind: str) -> dict[str, set[str]]:
     return read
 
 
+class _Node:
+    """A member that is read, or leads to one: its path in the item, whether its scalar is read, the path of its list's items, and its own members by key."""
+
+    __slots__ = ("at", "below", "items", "read")
+
+    def __init__(self, at: str, items: str | None) -> None:
+        self.at, self.items, self.read, self.below = at, items, False, {}
+
+
+@lru_cache(1024)
+def _tree(kind: str) -> dict[str, _Node]:
+    """wanted() as a tree of keys for the items of each list, so that what no rule reads isn't walked."""
+    read = wanted(kind)
+    node_of = lambda path, at: _Node(at, below if (below := f"{_joined(path, at)}[*]") in read else None)
+    roots = {path: node_of(path, "") for path in read}
+    lists = [(path, at, False) for below in read if below for path, at in [_parted(below.removesuffix("[*]"))]]
+    for path, at, scalar in lists + [(path, at, True) for path, members in read.items() for at in members]:
+        node = roots[path]
+        key = ""
+        for step in re.split(r"(?<!~)\.", at) if at else ():
+            key = _joined(key, step)
+            node = node.below.setdefault(step.replace("~.", ".").replace("~[", "["), node_of(path, key))
+        node.read = node.read or scalar
+    return roots
+
+
 #: Documents whose items a worker holds as Python objects at one time.
 DOCS = 500
 _ITEM = "array<struct<path:string,strings:map<string,string>,numbers:map<string,double>,flags:map<string,boolean>>>"
@@ -225,29 +252,49 @@ def items_of(doc: str | None, kind: str) -> list[dict]:
         return []
     if not isinstance(root, dict):
         return []
-    read, items, open_items = wanted(kind), [], [("", root)]
+    read, items, open_items = _tree(kind), [], [("", root)]
     for path, item in open_items:  # grows
         strings, numbers, flags = {}, {}, {}
-        members = [("", item)]
+        members = [(read[path], item)]
         while members:
-            at, x = members.pop()
+            node, x = members.pop()
             if isinstance(x, dict):
-                members += [(_joined(at, k.replace(".", "~.").replace("[", "~[")), v) for k, v in x.items()]
+                members += [(below, x[k]) for k, below in node.below.items() if k in x]
             elif isinstance(x, list):
-                if (below := f"{_joined(path, at)}[*]") in read:
-                    flags[f"{at}[*]"] = True
-                    open_items += [(below, y) for y in x if y is not None]
-            elif at in read[path]:
+                if node.items is not None:
+                    flags[f"{node.at}[*]"] = True
+                    open_items += [(node.items, y) for y in x if y is not None]
+            elif node.read:
                 if isinstance(x, str):
-                    strings[at] = x
+                    strings[node.at] = x
                 elif isinstance(x, bool):
-                    flags[at] = x
+                    flags[node.at] = x
                 elif x is not None and abs(x) < 1e308:
-                    numbers[at] = float(x)
-        items.append({"path": path, "strings": list(strings.items()), "numbers": list(numbers.items()), "flags": list(flags.items())})
+                    numbers[node.at] = float(x)
+        items.append({"path": path, "strings": strings, "numbers": numbers, "flags": flags})
     return items
 
 
+def _items_array(docs: list[str | None], kinds: list[str]) -> pa.Array:
+    """items_of() of each document, laid flat: Arrow takes several times as long to find the members of nested Python objects by itself."""
+    ends, paths = [0], []
+    parts = {name: ([0], [], []) for name in ("strings", "numbers", "flags")}
+    for doc, kind in zip(docs, kinds, strict=True):
+        for item in items_of(doc, kind):
+            paths.append(item["path"])
+            for name, (member_ends, keys, values) in parts.items():
+                if of := item[name]:
+                    keys += of.keys()
+                    values += of.values()
+                member_ends.append(len(keys))
+        ends.append(len(paths))
+    whole = lambda x: pa.array(x, pa.int32())
+    columns = [pa.array(paths, pa.string())]
+    for (member_ends, keys, values), of in zip(parts.values(), (pa.string(), pa.float64(), pa.bool_()), strict=True):
+        columns.append(pa.MapArray.from_arrays(whole(member_ends), pa.array(keys, pa.string()), pa.array(values, of)))
+    return pa.ListArray.from_arrays(whole(ends), pa.StructArray.from_arrays(columns, ["path", *parts]))
+
+
 def unreadable(observations: DataFrame) -> DataFrame:
     """Rows whose document isn't a JSON object, which give no evidence: (cluster_id, resource, rows)."""
     bad = F.col("doc").isNull() | F.expr("try_parse_json(doc) IS NULL OR NOT startswith(schema_of_variant(try_parse_json(doc)), 'OBJECT')")
@@ -280,11 +327,11 @@ def with_items(observations: DataFrame, extractor_set: str | Column = "default",
 
     @F.arrow_udf(_ITEM)
     def run(docs: pa.Array, kinds: pa.Array) -> pa.Array:
-        members = lambda of: pa.map_(pa.string(), of)
-        kind = pa.list_(pa.struct([("path", pa.string()), ("strings", members(pa.string())), ("numbers", members(pa.float64())), ("flags", members(pa.bool_()))]))
         parts = ((docs.slice(i, DOCS), kinds.slice(i, DOCS)) for i in range(0, max(len(docs), 1), DOCS))
-        return pa.concat_arrays([pa.array([items_of(d, k) for d, k in zip(a.to_pylist(), b.to_pylist(), strict=True)], kind) for a, b in parts])
+        return pa.concat_arrays([_items_array(a.to_pylist(), b.to_pylist()) for a, b in parts])
 
+    # so that Spark doesn't parse a second time in a filter on the number of items that it adds before their explode
+    run = run.asNondeterministic()
     sets = F.create_map(*(x for name, of in SETS.items() for x in (F.lit(name), F.array(*map(F.lit, of)).cast("array<string>"))))
     d = observations.withColumn("items", run(doc, _known(F.col("kind")))).withColumn("extractors", F.coalesce(F.try_element_at(sets, named), F.array().cast("array<string>")))
     root = F.get("items", 0)["strings"]

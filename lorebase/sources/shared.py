@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a task gets about where dealt() deals them.
 ROWS_PER_TASK = 500_000
+#: Documents that a task gets about where they are parsed.
+DOCS_PER_TASK = 50_000
 
 _own: list[str] = []
 
@@ -36,8 +38,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, rows: int, *keys: str, per_task: int | None = None) -> DataFrame:
     """df by keys over as many partitions as rows ask for, so that a task's share doesn't grow with the table, whatever the session's number of
-    partitions. A few million rows are left to Spark. Sides of a join are to be dealt by the same rows."""
-    parts = rows // ROWS_PER_TASK
+    partitions. Rows for up to eight tasks are left to Spark. Sides of a join are to be dealt by the same rows."""
+    parts = rows // (per_task or ROWS_PER_TASK)
     return df.repartition(parts, *keys) if parts > 8 else df

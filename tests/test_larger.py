@@ -1,5 +1,7 @@
 """What larger and odd tables showed: times before 1970, and plans whose tasks don't grow with the tables."""
 
+import json
+
 import duckdb
 import pytest
 from lorebase.plans.queries import ORACLE_SQL, QUERIES
@@ -58,3 +60,30 @@ def test_items_are_made_in_slices(spark, monkeypatch):
     found = {r["id"]: r["items"] for r in extract.with_items(rows).select("id", "items").collect()}
     assert len(found) == 1203 and found[500] == []
     assert all(x[0]["strings"] == {"spec.nodeName": f"n-{i}"} for i, x in found.items() if i != 500), json.dumps(str(found[0]))
+
+
+@pytest.mark.parametrize("name", ["extract_pod_edges", "extract_pod_facts"])
+def test_documents_are_parsed_once(spark, monkeypatch, name):
+    """A document's items are made once, in tasks that its table's rows ask for, with the SQL's rows."""
+    monkeypatch.setattr(shared, "DOCS_PER_TASK", 60)
+    out = QUERIES[name](spark, SF)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [run(") == 1
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW orders AS SELECT * FROM '{SF}/orders.parquet'")
+    assert f", {db.sql('SELECT count(*) FROM orders').fetchall()[0][0] // 60})" in plan and "REPARTITION_BY_NUM" in plan
+    want = db.sql(ORACLE_SQL[name])
+    assert sorted(map(str, map(tuple, out.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_items_hold_what_is_read_alone():
+    """Keys with dots and brackets, scalars in lists, lists in lists, members of the wrong type."""
+    from lorebase.operators import extract
+
+    service = {"metadata": {"labels": {"kubernetes.io/service-name": "web", "other": "x"}, "managedFields": [{"deep": {"er": 1}}]}, "endpoints": [{"conditions": {"ready": True, "serving": 1}, "targetRef": {"kind": "Pod", "name": "p"}}, None, "text", [1]]}
+    items = extract.items_of(json.dumps(service), "EndpointSlice")
+    assert [x["path"] for x in items] == ["", "endpoints[*]", "endpoints[*]", "endpoints[*]"]
+    assert items[0]["strings"] == {"metadata.labels.kubernetes~.io/service-name": "web"} and items[0]["flags"] == {"endpoints[*]": True}
+    assert items[1]["strings"] == {"targetRef.kind": "Pod", "targetRef.name": "p"} and items[1]["flags"] == {"conditions.ready": True} and items[1]["numbers"] == {"conditions.serving": 1.0}
+    found = extract._items_array(["{", None, '{"spec": {"nodeName": "n"}}'], ["Pod"] * 3).to_pylist()
+    assert [len(x) for x in found] == [0, 0, 1] and found[2][0] == {"path": "", "strings": [("spec.nodeName", "n")], "numbers": [], "flags": []}
