@@ -33,9 +33,13 @@ OVER, UNDER = 4, 5
 _PLACES = 1 << 16
 #: Words above which a line has a second signature; lines with a word (as its place counts them) above which the word is joined on with another one.
 _LONG, HEAVY = 80, 1 << 14
+#: Lines of a key up to which they all meet; those of longer lists meet the earliest one first.
+CROWD = 256
 #: Classes of keys that are joined one after the other, so that a third of all lists is shuffled at a time, whatever the input's size.
 PARTS = 3
 _LAST = (1 << 63) - 1
+#: Turns the bits of the keys of one side into those of another.
+_SIDE = 0x5851F42D4C957F2D
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -71,16 +75,15 @@ def _place_of(h: Column) -> Column:
 
 
 def _rarity(distinct: DataFrame) -> tuple[Column, int]:
-    """The rank of each hashed place by the count of its words, rarest first, in the upper half of an integer, as a constant array; and the
-    first of these that is heavy."""
+    """The rank of each hashed place by the count of its words, rarest first, around 0, as a constant array; and the first of these that is heavy."""
     words = distinct.select(F.explode(_words(F.col("line"))).alias("w"))
     counts = dict(words.select(_place_of(F.xxhash64("w")).alias("place")).groupBy("place").count().collect())  # at most 65,536 rows
     order = sorted(range(_PLACES), key=lambda p: (counts.get(p, 0), p))
     ranks = [0] * _PLACES
     for rank, place in enumerate(order):
-        ranks[place] = (rank - _PLACES // 2) << 16
+        ranks[place] = rank - _PLACES // 2
     n_light = sum(counts.get(p, 0) <= HEAVY for p in order)
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>"), (n_light - _PLACES // 2) << 16
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>"), (n_light - _PLACES // 2) << 16
 
 
 def _prefix(n: str, over: int, under: int) -> Column:
@@ -91,39 +94,48 @@ def _prefix(n: str, over: int, under: int) -> Column:
 def _marks(distinct: DataFrame, ranks: Column) -> DataFrame:
     """(lid, lid2, doc, n, sig, sig2, keys) of each line: keys are its first words in order of rarity, and one more.
 
+    A word is its hash with the lowest 16 bits replaced by the rank of their place, which comes first: all words stay apart, and one function is called for each. Keys are the upper halves of such numbers.
+
     A signature has a bit for each of 64 hashed classes of words, set where the line has an odd number of them. Each word that
     two lines don't share changes one bit at most. Long lines also have the signature of one half of all words, which gives that of the
     other half, and so 128 classes.
     """
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    d = distinct.select("lid", "lid2", "doc", F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("h"))
-    key = F.transform("h", lambda h: F.coalesce(F.get(ranks, _place_of(h)), F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 48).cast("int")))
-    d = d.select("lid", "lid2", "doc", F.size("h").alias("n"), key.alias("keys"))
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)  # noqa: E731  (modulo 64)
+
+    def ranked(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return F.shiftleft(F.coalesce(F.get(ranks, _place_of(h)), F.lit(0).cast("long")), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
+
+    words = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), ranked)), ranked(F.lit("")))
+    d = distinct.select("lid", "lid2", "doc", words.alias("words"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
     sig = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
-    half = F.filter("keys", lambda k: k.bitwiseAND(64) != 0)
+    half = F.filter("words", lambda k: k.bitwiseAND(64) != 0)
+    d = d.withColumn("n", F.size("words"))
     sig2 = F.when(F.col("n") > _LONG, sig(half)).otherwise(F.lit(0).cast("long"))
-    d = d.select("lid", "lid2", "doc", "n", sig("keys").alias("sig"), sig2.alias("sig2"), F.sort_array("keys").alias("keys"))
-    return d.withColumn("keys", F.slice("keys", F.lit(1), _prefix("n", OVER, UNDER) + 1))
+    first = F.slice(F.sort_array("words"), F.lit(1), _prefix("n", OVER, UNDER) + 1)
+    return d.select("lid", "lid2", "doc", "n", sig("words").alias("sig"), sig2.alias("sig2"), F.transform(first, lambda k: F.shiftright(k, 32).cast("int")).alias("keys"))
 
 
-def _postings(marks: DataFrame, heavy: int, part: int, short: bool, *more: str) -> DataFrame:
-    """(key, lid, doc, n, at, sig, sig2, *more) for one of PARTS classes of keys. short: of the words that a line shares with longer ones."""
+def _postings(marks: DataFrame, heavy: int, part: int | None, short: bool, *more: str) -> DataFrame:
+    """(key, lid, doc, place, sig, sig2, *more) for one of PARTS classes of keys, or all; place is n and the word's place among the line's, in one number, as each column
+    takes 8 bytes of a shuffle's rows. short: of the words that a line shares with longer ones."""
     length = _prefix("n", 2 * OVER, OVER + UNDER) if short else _prefix("n", OVER, UNDER)
-    own = ("lid", "doc", "n", "sig", "sig2", *more)
-    d = marks.select(*own, "keys", length.alias("length"), F.posexplode("keys").alias("at", "word"))
-    d = d.where((F.col("at") < F.col("length")) & (F.pmod("word", F.lit(PARTS)) == part))
+    own = ("lid", "doc", "sig", "sig2", *more)
+    d = marks.select(*own, "n", "keys", length.alias("length"))
+    d = d.select(*own, "n", "keys", "length", F.posexplode(F.slice("keys", F.lit(1), F.col("length"))).alias("at", "word"))
+    d = d if part is None else d.where(F.pmod("word", F.lit(PARTS)) == part)
     # a heavy word goes with each word behind it, up to the first that isn't in the prefix
     alone = (F.col("word") < heavy) | (F.col("n") == 1)
-    beside = F.when(alone, F.slice("keys", 1, 1)).otherwise(F.slice("keys", F.col("at") + 2, F.col("length") - F.col("at")))
-    d = d.select(*own, "at", "word", alone.alias("alone"), F.explode(beside).alias("beside"))
+    beside = F.when(alone, F.lit([0]).cast("array<int>")).otherwise(F.slice("keys", F.col("at") + 2, F.col("length") - F.col("at")))
+    d = d.select(*own, "n", "at", "word", alone.alias("alone"), F.explode(beside).alias("beside"))
     second = F.when(F.col("alone"), F.lit(0).cast("long")).otherwise(F.lit(1 << 31) + F.col("beside"))
-    return d.select((F.col("word").cast("long") * (1 << 32) + second).alias("key"), "at", *own)
+    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+    return d.select((F.col("word").cast("long") * (1 << 32) + second).alias("key"), place.alias("place"), *own)
 
 
 def _may_match(x: str, y: str) -> Column:
     """The length filter, the positional filter at the first shared word (one word and all after it must be able to give the overlap), and the signatures: what isn't shared may be a ninth of both lines."""
-    a, b, i, j = (F.col(f"{c}") for c in (f"{x}n", f"{y}n", f"{x}at", f"{y}at"))
+    (a, i), (b, j) = ((F.shiftright(p, 32), p.bitwiseAND((1 << 32) - 1)) for p in (F.col(f"{x}place"), F.col(f"{y}place")))
     overlap = 1 + F.least(a - i - 1, b - j - 1)
     most = (UNDER - OVER) * (a + b)
     bits = lambda c: F.bit_count(c) * (OVER + UNDER)
@@ -148,9 +160,9 @@ def _verified(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     return later
 
 
-def _in_parts(pairs_of: Callable[[int], DataFrame], distinct: DataFrame) -> DataFrame:
-    """The later lines of the pairs of all classes of keys, found one class after the other."""
-    parts = [materialize(pairs_of(part), "part") for part in range(PARTS)]
+def _in_parts(pairs_of: Callable[[int | None], DataFrame], distinct: DataFrame, at_once: bool = False) -> DataFrame:
+    """The later lines of the pairs of all classes of keys, found one class after the other, or at once."""
+    parts = [materialize(pairs_of(part), "part") for part in ([None] if at_once else range(PARTS))]
     later = _verified(reduce(DataFrame.union, parts), distinct)
     drop_table(*parts)
     return later
@@ -163,33 +175,43 @@ def _removed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = entries.where("pos > 0")
     ranks, heavy = _rarity(distinct)
     marks = materialize(_marks(distinct, ranks), "marks")
+    # keys whose lists are long; those of the other keys meet each other whole
+    hot = materialize(_postings(marks, heavy, None, True).groupBy("key").count().where(F.col("count") > CROWD), "hot")
+    n_hot, n_listed = hot.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    n_all = marks.agg(F.coalesce(F.sum(_prefix("n", 2 * OVER, OVER + UNDER)), F.lit(0))).first()[0]
+    hot_keys = few(hot.select("key", F.lit(True).alias("hot")))
     by_word = Window.partitionBy("key").orderBy("doc", "lid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def with_lead(part: int) -> DataFrame:
+    def with_lead(part: int | None) -> DataFrame:
         # the words that two lines of one length must share one of; which of a group's lines meet their lead first doesn't matter
-        listed = _postings(marks, heavy, part, short=True).withColumn("lead", F.first(F.struct("lid", "n", "at", "sig", "sig2")).over(by_word)).where("lead.lid <> lid")
-        return listed.select("*", *(F.col(f"lead.{c}").alias(f"y_{c}") for c in ("n", "at", "sig", "sig2"))).where(_may_match("", "y_")).select(F.col("lid").alias("x"), F.col("lead.lid").alias("y"))
+        listed = _postings(marks, heavy, part, True).join(hot_keys, "key", "left_semi").withColumn("lead", F.first(F.struct("lid", "place", "sig", "sig2")).over(by_word)).where("lead.lid <> lid")
+        return listed.select("*", *(F.col(f"lead.{c}").alias(f"y_{c}") for c in ("place", "sig", "sig2"))).where(_may_match("", "y_")).select(F.col("lid").alias("x"), F.col("lead.lid").alias("y"))
 
-    settled = _in_parts(with_lead, distinct)
+    settled = _in_parts(with_lead, distinct, n_listed * PARTS <= n_all) if n_hot else materialize(distinct.select("lid", "lid2").limit(0), "later")
     known = marks.join(few(settled.withColumn("settled", F.lit(True))), ["lid", "lid2"], "left").withColumn("settled", F.col("settled").isNotNull())
 
-    def met(part: int) -> DataFrame:
-        # side 0: open lines meet all shorter ones; side 1: settled lines meet the open shorter ones
-        side = F.when(F.col("settled"), F.lit(1)).otherwise(F.lit(0))
-        sides = F.explode(F.when(F.col("settled"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
-        x, y = (
-            _postings(known, heavy, part, short, "settled").select("key", of.alias("side"), *(F.col(c).alias(f"{s}_{c}") for c in ("lid", "n", "at", "sig", "sig2")))
-            for s, short, of in (("x", False, side), ("y", True, sides))
-        )
-        once = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_lid") > F.col("y_lid")))
-        return x.join(y, ["key", "side"]).where(once & _may_match("x_", "y_")).select(F.col("x_lid").alias("x"), F.col("y_lid").alias("y"))
+    def met(part: int | None) -> DataFrame:
+        # by keys with long lists, open lines meet all shorter ones on side 0, and settled lines meet the open shorter ones on side 1, which is told by the
+        # key; by other keys all meet
+        def side(short: bool, s: str) -> DataFrame:
+            d = _postings(known, heavy, part, short, "settled")
+            if n_hot:
+                both = F.lit([0, _SIDE]).cast("array<bigint>")
+                sides = (F.when(F.col("hot") & ~F.col("settled"), both) if short else F.when(F.col("hot") & F.col("settled"), F.slice(both, 2, 1))).otherwise(F.slice(both, 1, 1))
+                d = d.join(hot_keys, "key", "left").withColumn("side", F.explode(sides)).withColumn("key", F.col("key").bitwiseXOR(F.col("side")))
+            return d.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("lid", "place", "sig", "sig2")))
+
+        x, y = side(False, "x"), side(True, "y")
+        x_n, y_n = (F.shiftright(f"{s}_place", 32) for s in "xy")
+        once = (x_n > y_n) | ((x_n == y_n) & (F.col("x_lid") > F.col("y_lid")))
+        return x.join(y, "key").where(once & _may_match("x_", "y_")).select(F.col("x_lid").alias("x"), F.col("y_lid").alias("y"))
 
     late = settled.union(_in_parts(met, distinct)).distinct()
     late = late.withColumn("late", F.lit(True))
     first = distinct.select("lid", "lid2", *(F.col(c).alias(f"f_{c}") for c in ("doc", "rid", "pos")), "copies")
     place = materialize(first.join(late, ["lid", "lid2"], "left").where("copies > 1 OR late").drop("copies"), "places")
     repeated = materialize(entries.where("pos = 0").select("doc", "rid"), "repeated")
-    drop_table(entries, marks, settled)
+    drop_table(entries, marks, settled, hot)
     again = F.col("late").isNotNull() | (F.struct("doc", "rid", "pos") != F.struct("f_doc", "f_rid", "f_pos"))
     gone = _lines(df).select("doc", "rid", "pos", "lid", "lid2").join(few(place), ["lid", "lid2"]).where(again).select("doc", "rid", "pos")
     return gone, repeated
