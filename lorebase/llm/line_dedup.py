@@ -75,15 +75,16 @@ def _place_of(h: Column) -> Column:
 
 
 def _rarity(distinct: DataFrame) -> tuple[Column, int]:
-    """The rank of each hashed place by the count of its words, rarest first, around 0, as a constant array; and the first of these that is heavy."""
+    """The rank of each hashed place by the count of its words, rarest first, in the upper half of an integer, as a constant array; and the
+    first of these that is heavy."""
     words = distinct.select(F.explode(_words(F.col("line"))).alias("w"))
     counts = dict(words.select(_place_of(F.xxhash64("w")).alias("place")).groupBy("place").count().collect())  # at most 65,536 rows
     order = sorted(range(_PLACES), key=lambda p: (counts.get(p, 0), p))
     ranks = [0] * _PLACES
     for rank, place in enumerate(order):
-        ranks[place] = rank - _PLACES // 2
+        ranks[place] = (rank - _PLACES // 2) << 16
     n_light = sum(counts.get(p, 0) <= HEAVY for p in order)
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>"), (n_light - _PLACES // 2) << 16
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>"), (n_light - _PLACES // 2) << 16
 
 
 def _prefix(n: str, over: int, under: int) -> Column:
@@ -94,26 +95,20 @@ def _prefix(n: str, over: int, under: int) -> Column:
 def _marks(distinct: DataFrame, ranks: Column) -> DataFrame:
     """(lid, lid2, doc, n, sig, sig2, keys) of each line: keys are its first words in order of rarity, and one more.
 
-    A word is its hash with the lowest 16 bits replaced by the rank of their place, which comes first: all words stay apart, and one function is called for each. Keys are the upper halves of such numbers.
-
     A signature has a bit for each of 64 hashed classes of words, set where the line has an odd number of them. Each word that
     two lines don't share changes one bit at most. Long lines also have the signature of one half of all words, which gives that of the
     other half, and so 128 classes.
     """
-
-    def ranked(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.coalesce(F.get(ranks, _place_of(h)), F.lit(0).cast("long")), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
-
-    words = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), ranked)), ranked(F.lit("")))
-    d = distinct.select("lid", "lid2", "doc", words.alias("words"))
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    d = distinct.select("lid", "lid2", "doc", F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("h"))
+    key = F.transform("h", lambda h: F.coalesce(F.get(ranks, _place_of(h)), F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 48).cast("int")))
+    d = d.select("lid", "lid2", "doc", F.size("h").alias("n"), key.alias("keys"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)  # noqa: E731  (modulo 64)
     sig = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
-    half = F.filter("words", lambda k: k.bitwiseAND(64) != 0)
-    d = d.withColumn("n", F.size("words"))
+    half = F.filter("keys", lambda k: k.bitwiseAND(64) != 0)
     sig2 = F.when(F.col("n") > _LONG, sig(half)).otherwise(F.lit(0).cast("long"))
-    first = F.slice(F.sort_array("words"), F.lit(1), _prefix("n", OVER, UNDER) + 1)
-    return d.select("lid", "lid2", "doc", "n", sig("words").alias("sig"), sig2.alias("sig2"), F.transform(first, lambda k: F.shiftright(k, 32).cast("int")).alias("keys"))
+    d = d.select("lid", "lid2", "doc", "n", sig("keys").alias("sig"), sig2.alias("sig2"), F.sort_array("keys").alias("keys"))
+    return d.withColumn("keys", F.slice("keys", F.lit(1), _prefix("n", OVER, UNDER) + 1))
 
 
 def _postings(marks: DataFrame, heavy: int, part: int | None, short: bool, *more: str) -> DataFrame:
@@ -187,8 +182,15 @@ def _removed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         listed = _postings(marks, heavy, part, True).join(hot_keys, "key", "left_semi").withColumn("lead", F.first(F.struct("lid", "place", "sig", "sig2")).over(by_word)).where("lead.lid <> lid")
         return listed.select("*", *(F.col(f"lead.{c}").alias(f"y_{c}") for c in ("place", "sig", "sig2"))).where(_may_match("", "y_")).select(F.col("lid").alias("x"), F.col("lead.lid").alias("y"))
 
-    settled = _in_parts(with_lead, distinct, n_listed * PARTS <= n_all) if n_hot else materialize(distinct.select("lid", "lid2").limit(0), "later")
-    known = marks.join(few(settled.withColumn("settled", F.lit(True))), ["lid", "lid2"], "left").withColumn("settled", F.col("settled").isNotNull())
+    if n_hot:
+        settled = _in_parts(with_lead, distinct, n_listed * PARTS <= n_all)
+        # written, as each class of keys reads it twice
+        known = marks.join(few(settled.withColumn("settled", F.lit(True))), ["lid", "lid2"], "left").withColumn("settled", F.col("settled").isNotNull())
+        known = materialize(known, "known")
+        drop_table(marks)
+    else:
+        settled = materialize(distinct.select("lid", "lid2").limit(0), "later")
+        known = marks.withColumn("settled", F.lit(False))
 
     def met(part: int | None) -> DataFrame:
         # by keys with long lists, open lines meet all shorter ones on side 0, and settled lines meet the open shorter ones on side 1, which is told by the
@@ -211,7 +213,7 @@ def _removed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = distinct.select("lid", "lid2", *(F.col(c).alias(f"f_{c}") for c in ("doc", "rid", "pos")), "copies")
     place = materialize(first.join(late, ["lid", "lid2"], "left").where("copies > 1 OR late").drop("copies"), "places")
     repeated = materialize(entries.where("pos = 0").select("doc", "rid"), "repeated")
-    drop_table(entries, marks, settled, hot)
+    drop_table(entries, known, settled, hot)
     again = F.col("late").isNotNull() | (F.struct("doc", "rid", "pos") != F.struct("f_doc", "f_rid", "f_pos"))
     gone = _lines(df).select("doc", "rid", "pos", "lid", "lid2").join(few(place), ["lid", "lid2"]).where(again).select("doc", "rid", "pos")
     return gone, repeated
