@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,16 +54,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def _no_shuffle_files_left(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_CLEANUP)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(_CLEANUP, before)
+            spark.conf.set(name, before)
+
+
+def _no_shuffle_files_left(spark: SparkSession) -> AbstractContextManager[None]:
+    return _setting(spark, _CLEANUP, "true")
+
+
+def no_dictionary(spark: SparkSession) -> AbstractContextManager[None]:
+    """Parquet files written inside have no dictionaries: among hashes, looking for repeated values is in vain."""
+    return _setting(spark, "parquet.enable.dictionary", "false")
 
 
 def few(df: DataFrame, limit: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ hashed places, so its size is fixed; ties by hash). The first word in that order
 n / 5 + 1 words of the longer line and the first n / 9 + 1 of the shorter, so the longer line's list meets the shorter line's. A word that
 stands in more than HEAVY lines is joined on together with the next shared word, which is at most one place further on, so lists don't grow
 with the corpus as words do. Lists are made by plain explodes, without higher-order functions, which would end code generation. Lengths, places in the order and parity signatures rule out more (and no similar pair). The
-word sets themselves are then compared. In a first pass each line meets the earliest line of each of its lists, which
+word sets themselves are then compared, as 64-bit hashes of their words. In a first pass each line meets the earliest line of each of its lists, which
 settles the lines of large groups; two settled lines never meet again.
 
 Lines are told apart by two 64-bit hashes, documents by their id and a 64-bit hash of their text.
@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FEW, drop_table, few, materialize
+from .common import FEW, drop_table, few, materialize, no_dictionary
 
 #: Similarity is 4 / 5; whole numbers keep the comparison exact.
 OVER, UNDER = 4, 5
@@ -55,6 +55,11 @@ def _words(line: Column) -> Column:
     return F.split(line, " ")
 
 
+def _hashes(line: Column) -> Column:
+    """The 64-bit hashes of the distinct words of a line of _lines()."""
+    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
 def _places(df: DataFrame) -> DataFrame:
     """df's (doc, rid): the id (null last), and a hash of the id and the text."""
     return df.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "rid": F.xxhash64("doc_id", "text")})
@@ -66,7 +71,7 @@ def _lines(df: DataFrame, rows: bool = False) -> DataFrame:
     d = _places(df).select("doc", "rid", F.posexplode(F.concat(F.array(F.lit("")), split) if rows else split).alias("pos", "line"))
     d = d if rows else d.withColumn("pos", F.col("pos") + 1)
     row = F.col("pos") == 0
-    d = d.where(row | F.col("line").rlike(_HAS_WORD))
+    d = d.where(row | (F.trim("line") != ""))
     return d.withColumns({"lid": F.when(row, F.col("rid")).otherwise(F.xxhash64("line")), "lid2": F.when(row, F.col("doc")).otherwise(F.xxhash64(F.lit(1), "line"))})
 
 
@@ -74,17 +79,17 @@ def _place_of(h: Column) -> Column:
     return h.bitwiseAND(_PLACES - 1).cast("int")
 
 
-def _rarity(distinct: DataFrame) -> tuple[Column, int]:
+def _rarity(distinct: DataFrame) -> tuple[Column, int, int]:
     """The rank of each hashed place by the count of its words, rarest first, in the upper half of an integer, as a constant array; and the
-    first of these that is heavy."""
+    first of these that is heavy, and that has more than CROWD words."""
     words = distinct.select(F.explode(_words(F.col("line"))).alias("w"))
     counts = dict(words.select(_place_of(F.xxhash64("w")).alias("place")).groupBy("place").count().collect())  # at most 65,536 rows
     order = sorted(range(_PLACES), key=lambda p: (counts.get(p, 0), p))
     ranks = [0] * _PLACES
     for rank, place in enumerate(order):
         ranks[place] = (rank - _PLACES // 2) << 16
-    n_light = sum(counts.get(p, 0) <= HEAVY for p in order)
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>"), (n_light - _PLACES // 2) << 16
+    above = lambda most: (sum(counts.get(p, 0) <= most for p in order) - _PLACES // 2) << 16
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>"), above(HEAVY), above(CROWD)
 
 
 def _prefix(n: str, over: int, under: int) -> Column:
@@ -99,9 +104,9 @@ def _marks(distinct: DataFrame, ranks: Column) -> DataFrame:
     two lines don't share changes one bit at most. Long lines also have the signature of one half of all words, which gives that of the
     other half, and so 128 classes.
     """
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    d = distinct.select("lid", "lid2", "doc", F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("h"))
-    key = F.transform("h", lambda h: F.coalesce(F.get(ranks, _place_of(h)), F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 48).cast("int")))
+    # few steps for each word, as they are interpreted; coalesce() says that none is null, so that plain integers are sorted
+    d = distinct.select("lid", "lid2", "doc", _hashes(F.col("line")).alias("h"))
+    key = F.transform("h", lambda h: F.coalesce(ranks[h.bitwiseAND(_PLACES - 1)].bitwiseOR(F.shiftrightunsigned(h, 48).cast("int")), F.lit(0)))
     d = d.select("lid", "lid2", "doc", F.size("h").alias("n"), key.alias("keys"))
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)  # noqa: E731  (modulo 64)
     sig = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
@@ -143,9 +148,9 @@ def _verified(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(lid, lid2) of the later line of each pair (x, y) whose word sets are similar enough."""
     pairs = materialize(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("x").alias("lid")).union(pairs.select("y")).distinct()
-    words = F.array_remove(F.array_distinct(_words(F.col("line"))), "")
     needed = distinct.join(F.broadcast(ids) if pairs.count() <= FEW else ids, "lid", "left_semi")
-    needed = materialize(needed.select("lid", words.alias("w"), F.struct("doc", "rid", "pos", "lid", "lid2").alias("o")), "needed")
+    # word sets as 64-bit hashes: whole numbers are compared without strings
+    needed = materialize(needed.select("lid", _hashes(F.col("line")).alias("w"), F.struct("doc", "rid", "pos", "lid", "lid2").alias("o")), "needed")
     side = lambda c: needed.select(F.col("lid").alias(c), F.col("w").alias(f"{c}_w"), F.col("o").alias(f"{c}_o"))
     met = pairs.join(side("x"), "x").join(side("y"), "y")
     shared = F.size(F.array_intersect("x_w", "y_w"))
@@ -168,10 +173,11 @@ def _removed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     entries = _lines(df, rows=True).groupBy("lid", "lid2").agg(F.min(F.struct("doc", "rid", "pos", "line")).alias("f"), F.count("*").alias("copies"))
     entries = materialize(entries.select("lid", "lid2", "f.*", "copies").where("pos > 0 OR copies > 1"), "lines")
     distinct = entries.where("pos > 0")
-    ranks, heavy = _rarity(distinct)
-    marks = materialize(_marks(distinct, ranks), "marks")
-    # keys whose lists are long; those of the other keys meet each other whole
-    hot = materialize(_postings(marks, heavy, None, True).groupBy("key").count().where(F.col("count") > CROWD), "hot")
+    ranks, heavy, crowded = _rarity(distinct)
+    with no_dictionary(df.sparkSession):
+        marks = materialize(_marks(distinct, ranks), "marks")
+    # keys whose lists are long; those of the other keys meet each other whole. A list has no more lines than its word's place has words
+    hot = materialize(_postings(marks, heavy, None, True).where(F.shiftright("key", 32) >= crowded).groupBy("key").count().where(F.col("count") > CROWD), "hot")
     n_hot, n_listed = hot.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
     n_all = marks.agg(F.coalesce(F.sum(_prefix("n", 2 * OVER, OVER + UNDER)), F.lit(0))).first()[0]
     hot_keys = few(hot.select("key", F.lit(True).alias("hot")))
@@ -184,9 +190,10 @@ def _removed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     if n_hot:
         settled = _in_parts(with_lead, distinct, n_listed * PARTS <= n_all)
-        # written, as each class of keys reads it twice
         known = marks.join(few(settled.withColumn("settled", F.lit(True))), ["lid", "lid2"], "left").withColumn("settled", F.col("settled").isNotNull())
-        known = materialize(known, "known")
+        # written, as each class of keys reads it twice
+        with no_dictionary(df.sparkSession):
+            known = materialize(known, "known")
         drop_table(marks)
     else:
         settled = materialize(distinct.select("lid", "lid2").limit(0), "later")

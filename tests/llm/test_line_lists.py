@@ -51,3 +51,19 @@ def test_lists_of_any_length(spark, monkeypatch, crowd, heavy):
     # no pass of leads where no list is long, so that lists are made and shuffled once
     parts = written.count("part")
     assert parts == line_dedup.PARTS if crowd == 256 else parts > line_dedup.PARTS
+
+
+def test_pairs_are_verified_on_hashes(spark, monkeypatch):
+    written = []
+    real = line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: written.append((name, df.schema)) or real(df, name))
+    line_dedup.line_dedup_report(spark.createDataFrame([(1, "a b c d e\na b c d e f"), (2, "x y")], SCHEMA)).collect()
+    assert {schema["w"].dataType.simpleString() for name, schema in written if name == "needed"} == {"array<bigint>"}
+
+
+def test_a_list_is_no_longer_than_its_place(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", 2)
+    lines = spark.createDataFrame([("a b",), ("a c",), ("a d",), ("b e",)], "line string")
+    _, heavy, crowded = line_dedup._rarity(lines)
+    # three words' places have one word, b's two, a's three: a's alone can have a long list
+    assert crowded == (line_dedup._PLACES // 2 - 1) << 16 and heavy == (line_dedup._PLACES // 2) << 16
