@@ -1,8 +1,9 @@
 """Bounded searches of the evidence graph over an adjacency layout.
 
-The layout has each edge twice, by source and by target, in folders by the hash of that end, sorted by it. A round of a search reads the folders of
-its frontier's ids and no others. Each round takes at most limit edges, newest first, as the reference behaviour has it, so what
-is held on the way is bounded by rounds x limit, whatever the graph; ids go by their canonical form through the aliases.
+The layout has each edge twice, by source and by target, in folders by the hash of that end, sorted by it; a row names that end and the far one. A round
+of a search reads the folders of its frontier's ids and no others. The layout is written in turns of some folders each, so that what is shuffled at a
+time is a share of it. Each round takes at most limit edges, newest first, as the reference behaviour has it, so what is held on the way is bounded by
+rounds x limit, whatever the graph; ids go by their canonical form through the aliases.
 """
 
 from __future__ import annotations
@@ -12,16 +13,21 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.scalars import clamp
 from ..schema import Tables
+from ..sources.shared import no_shuffle_files_left
 from .read import between, overlapping
 
-#: Rows that a folder has about, and the most folders; the least and greatest number of folders' files is up to the write.
+#: Rows that a folder has about, and the most folders of a direction; the least and greatest number of folders' files is up to the write.
 ROWS_PER_BUCKET, MOST_BUCKETS = 500_000, 4096
+#: Edges that are shuffled in a turn about, and the most turns: each reads the edges once more.
+EDGES_PER_TURN, MOST_TURNS = 16_000_000, 8
 #: Default and greatest number of edges a round, and of alias rows a lookup.
 LIMIT, MOST, MOST_ALIASES = 100, 10_000, 10_000
+#: Columns of an edge besides its ends.
+_BESIDES = ["cluster_id", "edge_type", "src_kind", "dst_kind", "valid_from", "valid_to"]
 _EDGE = ["edge_type", "src_id", "dst_id", "src_kind", "dst_kind", "valid_from", "valid_to"]
 
 
@@ -32,21 +38,35 @@ class Adjacency:
     spark: SparkSession
     folder: str
     buckets: int
-    schema: StructType
+    schema: StructType  # of the edges
 
     @staticmethod
     def build(edges: DataFrame, folder: str, buckets: int | None = None, rows: int | None = None) -> Adjacency:
-        """Writes the layout. A folder of a hot id is written by many tasks, as rows are dealt by id and edge. rows: the number of edges, counted where it isn't given."""
+        """Writes the layout: the edges by source, then from these files the same by target. rows: the number of edges, counted where it isn't given."""
         rows = edges.count() if rows is None and buckets is None else rows or 0
         if buckets is None:
-            buckets = max(16, min(MOST_BUCKETS, 2 * rows // ROWS_PER_BUCKET))
-        spread = F.explode(F.array(F.struct(F.col("src_id").alias("near_id"), F.lit("out").alias("direction")), F.struct(F.col("dst_id").alias("near_id"), F.lit("in").alias("direction"))))
-        both = edges.select("cluster_id", *_EDGE, spread.alias("s")).select("cluster_id", *_EDGE, "s.*").withColumn("bucket", Adjacency._of(F.col("near_id"), buckets))
-        by = ("bucket", F.pmod(F.xxhash64("src_id", "dst_id"), F.lit(8)))
-        tasks = 2 * rows // ROWS_PER_BUCKET
-        spread_out = both.repartition(tasks, *by) if tasks > 8 else both.repartition(*by)
-        spread_out.sortWithinPartitions("bucket", "near_id").write.partitionBy("bucket").parquet(folder)  # sorted, so ranges tell where an id is
-        return Adjacency(edges.sparkSession, folder, buckets, both.schema)
+            buckets = max(16, min(MOST_BUCKETS, rows // ROWS_PER_BUCKET))
+        graph = Adjacency(edges.sparkSession, folder, buckets, edges.select("cluster_id", *_EDGE).schema)
+        graph._write(edges, "out", rows)
+        stored = graph.spark.read.schema(graph._stored()).parquet(f"{folder}/direction=out")
+        graph._write(stored.select(*_BESIDES, F.col("near_id").alias("src_id"), F.col("far_id").alias("dst_id")), "in", rows)
+        return graph
+
+    def _write(self, edges: DataFrame, direction: str, rows: int) -> None:
+        """Edges by one end. A turn writes the folders of its own ids and its shuffle files go as it ends. Spark splits what is dealt to a task where an id is hot."""
+        near, far = ("src_id", "dst_id") if direction == "out" else ("dst_id", "src_id")
+        turns = max(1, min(MOST_TURNS, rows // EDGES_PER_TURN))
+        tasks = rows // turns // ROWS_PER_BUCKET
+        half = edges.select(*_BESIDES, F.col(near).alias("near_id"), F.col(far).alias("far_id"), self._of(F.col(near), self.buckets).alias("bucket"))
+        with no_shuffle_files_left(self.spark):
+            for turn in range(turns):
+                mine = half.where(F.col("bucket") % turns == turn) if turns > 1 else half
+                spread_out = mine.hint("rebalance", tasks, "bucket") if tasks > 8 else mine.hint("rebalance", "bucket")
+                spread_out.sortWithinPartitions("bucket", "near_id").write.mode("append" if turn else "error").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.folder}/direction={direction}")  # sorted, so ranges tell where an id is
+
+    def _stored(self) -> StructType:
+        ids = [StructField(n, StringType()) for n in ("near_id", "far_id")]
+        return StructType([*(self.schema[c] for c in _BESIDES), *ids])
 
     @staticmethod
     def _of(near: Column, buckets: int) -> Column:
@@ -56,7 +76,10 @@ class Adjacency:
         """Edges that touch any of the ids, once for each end that does. Folders of other ids aren't read."""
         wanted = self.spark.createDataFrame([(i,) for i in ids], "near_id string")
         folders = sorted(r[0] for r in wanted.select(self._of(F.col("near_id"), self.buckets)).distinct().collect())
-        found = self.spark.read.schema(self.schema).parquet(self.folder).where(F.col("bucket").isin(folders) & F.col("near_id").isin(ids))
+        stored = self.spark.read.schema(self._stored().add("direction", "string").add("bucket", "integer")).parquet(self.folder)
+        out = F.col("direction") == "out"
+        ends = [F.when(out, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("near_id", "far_id", "src_id"), ("far_id", "near_id", "dst_id"))]
+        found = stored.where(F.col("bucket").isin(folders) & F.col("near_id").isin(ids)).select(*_BESIDES, *ends, "near_id", "direction", "bucket")
         return found.where(F.col("cluster_id") == cluster_id) if cluster_id else found
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +14,9 @@ ROWS_PER_TASK = 500_000
 #: Documents that a task gets about where they are parsed.
 DOCS_PER_TASK = 50_000
 
+#: The setting by which Spark deletes the shuffle files of a query that has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: list[str] = []
 
 
@@ -38,6 +43,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def no_shuffle_files_left(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of a write inside as it ends."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def dealt(df: DataFrame, rows: int, *keys: str, per_task: int | None = None) -> DataFrame:
     """df by keys over as many partitions as rows ask for, so that a task's share doesn't grow with the table, whatever the session's number of
     partitions. Rows for up to eight tasks are left to Spark. Sides of a join are to be dealt by the same rows."""

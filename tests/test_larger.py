@@ -96,3 +96,27 @@ def test_items_hold_what_is_read_alone():
     assert items[1]["strings"] == {"targetRef.kind": "Pod", "targetRef.name": "p"} and items[1]["flags"] == {"conditions.ready": True} and items[1]["numbers"] == {"conditions.serving": 1.0}
     found = extract._items_array(["{", None, '{"spec": {"nodeName": "n"}}'], ["Pod"] * 3).to_pylist()
     assert [len(x) for x in found] == [0, 0, 1] and found[2][0] == {"path": "", "strings": [("spec.nodeName", "n")], "numbers": [], "flags": []}
+
+
+def test_layout_of_edges_is_written_in_turns(spark, tmp_path, monkeypatch):
+    """A share of the edges is shuffled at a time, a row holds each id once, and every edge is found by both ends."""
+    from lorebase.operators import graph
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(graph, "EDGES_PER_TURN", 5_000, raising=False)
+    ident = lambda c: F.sha2(c.cast("string"), 256)
+    src, dst = ident(F.col("id")), F.when(F.col("id") % 4 == 0, "hub").otherwise(ident(-F.col("id")))
+    edges = spark.range(20_000).select(F.lit("c").alias("cluster_id"), F.lit("t").alias("edge_type"), src.alias("src_id"), dst.alias("dst_id"), F.lit("k").alias("src_kind"), F.lit("k").alias("dst_kind"), F.lit(None).cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
+    jvm, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {(x := got.apply(i)).stageId(): x.shuffleWriteRecords() for got in [store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)] for i in range(got.size())}
+    before = set(stages())
+    g = graph.Adjacency.build(edges, str(tmp_path / "g"), rows=20_000)
+    written = [n for i, n in stages().items() if i not in before]
+    assert sum(written) == 40_000 and max(written) < 10_000  # nearly a quarter of the edges hang on one id
+    assert sum(f.stat().st_size for f in (tmp_path / "g").rglob("*.parquet")) < 20_000 * 4 * 40  # an id has 64 hex digits
+    assert g.touching(["hub"]).where("direction = 'in' AND dst_id = 'hub'").select("src_id").distinct().count() == 5_000
+    some = edges.where("dst_id <> 'hub'").orderBy("src_id").limit(20).collect()
+    for near, way in (("src_id", "out"), ("dst_id", "in")):
+        found = g.touching([x[near] for x in some]).where(F.col("direction") == way).select(*edges.columns)
+        assert sorted(map(str, found.collect())) == sorted(map(str, some))
+    assert graph.search_edges(g, [some[0]["src_id"]], rounds=2).select("src_id", "dst_id").collect() == [(some[0]["src_id"], some[0]["dst_id"])]
