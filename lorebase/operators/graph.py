@@ -23,7 +23,7 @@ from .read import between, overlapping
 #: Rows that a folder has about, and the most folders of a direction; the least and greatest number of folders' files is up to the write.
 ROWS_PER_BUCKET, MOST_BUCKETS = 500_000, 4096
 #: Edges that are shuffled in a turn about, and the most turns: each reads the edges once more.
-EDGES_PER_TURN, MOST_TURNS = 16_000_000, 8
+EDGES_PER_TURN, MOST_TURNS = 8_000_000, 8
 #: Default and greatest number of edges a round, and of alias rows a lookup.
 LIMIT, MOST, MOST_ALIASES = 100, 10_000, 10_000
 #: Columns of an edge besides its ends.
